@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankmill.llm.bpe import op3_byte_bpe
 from rankmill.llm.chat import op7_chat_formatting
 from rankmill.llm.digests import op9_fingerprints
+from rankmill.llm.jaccard import op10_ngram_jaccard
 from rankmill.llm.licenses import op4_license_scans
 from rankmill.llm.packing import op1_packing
 from rankmill.llm.quality import op2_quality_classifier
@@ -12,6 +13,6 @@ from rankmill.llm.token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints)
+    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard)
 }
 SQL: dict[str, str] = {}
