@@ -318,8 +318,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns; documents without words stay."""
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Documents without words or without an id stay; of several rows with the id that stays, one does.
+    """
     del sf_dir
-    found = link(docs)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"]).select([docs[c] for c in docs.columns])
+    kept = common.Scratch(spark, "kept").keep(link(docs).where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept__id")).agg(F.count("*").alias("kept__rows")), "kept")
+    out = docs.join(kept, docs["doc_id"] == kept["kept__id"], "left").where(F.col("kept__id").isNotNull() | docs["doc_id"].isNull())
+    out = out.select([docs[c] for c in docs.columns])
+    if kept.where("kept__rows > 1").isEmpty():
+        return out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
