@@ -7,6 +7,7 @@ from rankmill.llm.chat import op7_chat_formatting
 from rankmill.llm.digests import op9_fingerprints
 from rankmill.llm.jaccard import op10_ngram_jaccard
 from rankmill.llm.licenses import op4_license_scans
+from rankmill.llm.neighbours import op5_nearest_neighbours
 from rankmill.llm.packing import op1_packing
 from rankmill.llm.quality import op2_quality_classifier
 from rankmill.llm.secrets import op6_secret_scans
@@ -14,6 +15,6 @@ from rankmill.llm.token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard)
+    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op5_nearest_neighbours, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard)
 }
 SQL: dict[str, str] = {}
