@@ -28,7 +28,8 @@ from rankmill.llm import common
 DEGREE = 20
 TREES = 5
 LEAF = 768  # nodes of a block that are compared with each other at first
-ROUNDS = 2
+MOST_ROUNDS = 8
+SETTLED = 0.03  # of the edges new in a round: then the graph is good enough
 GROUP = 48  # neighbours that are introduced to each other at once
 BEAM = 128
 EXPAND = 32  # nodes of a beam that are expanded in a round
@@ -101,6 +102,7 @@ def _first_edges(nodes: DataFrame, tree: int, leaf: int, degree: int) -> DataFra
         yield from _nearest(np.concatenate([b.column("node").to_numpy() for b in held if b.num_rows]), x, degree)
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, nodes.count() // (4 * leaf)))
     placed = nodes.select("node", "vector").mapInArrow(place, "node bigint, code bigint, along double, vector array<float>")
     dealt = placed.repartitionByRange(parts, "code", "along").sortWithinPartitions("code", "along", "node").select("node", "vector")
     return dealt.mapInArrow(run, common.spark_schema(EDGES))
@@ -163,15 +165,40 @@ def _introduce(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     return met.repartition("center", "part").sortWithinPartitions("center", "part").mapInArrow(run, common.spark_schema(schema))
 
 
-def build(scratch: common.Scratch, nodes: DataFrame, *, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+def _landmark_edges(nodes: DataFrame, degree: int) -> DataFrame:
+    """Edges from every node to the first ``degree`` + 1 nodes, so that none is without any, however the blocks fall."""
+    found = nodes.orderBy("node").limit(degree + 1).collect()
+    ids, x = np.array([r["node"] for r in found], np.int64), np.array([r["vector"] for r in found], float)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, y = batch.column("node").to_numpy(), _matrix(batch, "vector")
+            d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (y @ x.T), 0))
+            i, j = np.nonzero(own[:, None] != ids[None, :])
+            yield common.record_batch(EDGES, {"node": own[i], "nbr": ids[j], "d": d[i, j]})
+
+    return common.map_arrow(nodes.select("node", "vector"), run, EDGES)
+
+
+def build(scratch: common.Scratch, nodes: DataFrame, *, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, settled: float = SETTLED) -> DataFrame:
     """The graph's edges (node, nbr, d)."""
-    edges = _first_edges(nodes, 0, leaf, degree)
-    for t in range(1, trees):
+    edges = _landmark_edges(nodes, degree)
+    for t in range(trees):
         edges = edges.union(_first_edges(nodes, t, leaf, degree))
     edges = scratch.keep(_best(edges, degree), "edges0")
-    for k in range(1, rounds + 1):
-        edges = scratch.keep(_best(edges.union(_introduce(edges, nodes, degree)), degree), f"edges{k}")
+    for k in range(1, MOST_ROUNDS + 1):
+        # equal edges from both sides were there before; what is nearest of both has the old ones at the same distance
+        met = _introduce(edges, nodes, degree).withColumn("new", F.lit(1))
+        order = Window.partitionBy("node").orderBy("d", "nbr")
+        both = edges.withColumn("new", F.lit(0)).union(met).groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        after = scratch.keep(both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= degree).drop("k"), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
+        changed = after.agg(F.avg("new").alias("share")).first()["share"]
+        edges = after.select("node", "nbr", "d")
+        if not changed or changed < settled:
+            break
     return edges
 
 
