@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +48,13 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     parts = [F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit("not available"))) for name in ("n", "auc", "accuracy", "precision", "recall", "f1", "r", "rho")]
     cells = F.concat(F.lit("matrix: tn "), F.col("tn"), F.lit(" fp "), F.col("fp"), F.lit(" fn "), F.col("fn"), F.lit(" tp "), F.col("tp"))
     return metrics.select(F.concat_ws("\n", *parts, cells, F.concat(F.lit("discrimination: "), area), F.concat(F.lit("correlation: "), strength)).alias("value"))
+
+
+def stage_store(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """Keeps each stage's table in a shared folder and gives it back as read from there.
+
+    So plans stay small from stage to stage, a restart begins at the last table, and a lost executor loses none. The
+    folder is the given one, else one under spark.checkpoint.dir; a local one only where that is unset, as in tests.
+    """
+    base = path or f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rankmill-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    return lambda df, name: write_stage(df, f"{base}/{name}")
