@@ -12,9 +12,9 @@ shingle's would. The boundary is where enumerating costs more than posting and s
 
 In a list every member is first compared with the list's leader, its member that shares most lists; linked members are
 merged into components. Lists whose members are then in one component are done, and of those with the same members one
-is kept; in what remains every pair across components is compared, in blocks of members. So no pairs within groups of
-copies are made, and yet each pair that shares a list is in one component or has been compared. Comparisons are of
-whole sets.
+is kept; in what remains every pair across components is met, in blocks of members, first by parity sketches, which bound
+how much two sets can share, and where that leaves it open by the sets. So no pairs within groups of copies are made,
+and yet each pair that shares a list is in one component or has been compared. What links is decided by whole sets.
 
 Defined cases: a text without words, or a null one, has an empty set and links with nothing; a row with a null doc_id has
 its set's size, a null component and no links; rows with one doc_id and different texts link through their own sets, and
@@ -124,7 +124,7 @@ class Scheme:
 
 
 POSTED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
-SETS = pa.schema([("set_id", pa.int64()), ("elements", pa.binary())])
+SETS = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("elements", pa.binary())])
 
 
 def _set_id(own: np.ndarray, mixed: np.ndarray) -> int:
@@ -136,6 +136,17 @@ def _set_id(own: np.ndarray, mixed: np.ndarray) -> int:
     return int(x.astype(np.int64)[0]) or 1
 
 
+def sketch(mixed: np.ndarray) -> bytes:
+    """For each of a power of two of places, about as many as elements, whether an odd number of elements falls there.
+
+    Two sketches differ in no more places than their sets differ in elements. A sketch whose halves are laid over each
+    other, odd on odd giving even, is the sketch of half the places.
+    """
+    bits = 1 << max(6, (len(mixed) - 1).bit_length())
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _each_set(batches, n: int, most: int = 8_000_000):
     for batch in bpe.by_size(batches, most):
         flat, at = shingles.sets(batch.column("text"), n)
@@ -163,8 +174,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         gc.disable()
         for batch, found in _each_set(batches, n):
-            kept = [(w, own.tobytes()) for w, (own, mixed) in zip(batch.column("wanted").to_pylist(), found, strict=True) if _set_id(own, mixed) == w]
-            yield common.record_batch(SETS, {"set_id": [k for k, _ in kept], "elements": [e for _, e in kept]})
+            kept = [(w, len(own), sketch(mixed), own.tobytes()) for w, (own, mixed) in zip(batch.column("wanted").to_pylist(), found, strict=True) if _set_id(own, mixed) == w]
+            yield common.record_batch(SETS, {name: [k[i] for k in kept] for i, name in enumerate(SETS.names)})
 
     return docs.mapInArrow(run, common.spark_schema(SETS))
 
@@ -192,44 +203,43 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
 
 
 def _blocks(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows (part, side, component, set_id, elements), sorted by part and side -> links across components.
+    """Rows (part, side, component, set_id, size, sketch), sorted by part and side -> pairs across components that may link.
 
-    A part has the members of two blocks of a list, on sides 0 and 1, or of one, on side 0, to compare with itself.
+    A part has the members of two blocks of a list, on sides 0 and 1, or of one, on side 0, to compare with itself. A
+    pair goes on unless its sketches alone show that too few elements are common.
     """
 
-    def links(held):
-        own = [np.frombuffer(h[3], np.uint64) for h in held]
-        side, component = (np.array([h[i] for h in held]) for i in (0, 1))
-        size = np.array([len(o) for o in own], np.int64)
-        values, index, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        shared = times[index] > 1  # what only one member has is in no overlap
-        column = np.cumsum(times > 1)[index] - 1
-        row = np.repeat(np.arange(len(own)), size)
-        both = np.zeros((len(own), len(own)), np.float32)
-        width = int((times > 1).sum())
-        step = max(1, 40_000_000 // max(1, len(own)))
-        for at in range(0, width, step):
-            part = shared & (column >= at) & (column < at + step)
-            matrix = np.zeros((len(own), min(step, width - at)), np.float32)
-            matrix[row[part], column[part] - at] = 1
-            both += matrix @ matrix.T
-        ok = scheme.linked(both.astype(np.int64), size[:, None], size[None, :]) & (component[:, None] != component[None, :])
-        ok &= side[:, None] != side[None, :] if side.any() else np.triu(np.ones_like(ok), 1)
-        i, j = np.nonzero(ok)
-        keep = i < j
-        ids = np.array([h[2] for h in held], np.int64)
-        return ids[i[keep]], ids[j[keep]]
+    def pairs(held):
+        side, component, ids, size = (np.array([h[i] for h in held], np.int64) for i in range(4))
+        bits = [np.unpackbits(np.frombuffer(h[4], np.uint8)) for h in held]
+        width = np.array([len(x) for x in bits])
+        ok = component[:, None] != component[None, :]
+        ok &= side[:, None] != side[None, :] if side.any() else True
+        found = []
+        for w in np.unique(width):
+            who = np.flatnonzero(width >= w)
+            flat = np.stack([np.bitwise_xor.reduce(bits[i].reshape(-1, w), 0) for i in who]).astype(np.float32)
+            ones = flat.sum(1)
+            apart = (ones[:, None] + ones[None, :] - 2 * (flat @ flat.T)).astype(np.int64)
+            total = size[who][:, None] + size[who][None, :]
+            most = np.minimum((total - apart) // 2, np.minimum(size[who][:, None], size[who][None, :]))
+            may = ok[np.ix_(who, who)] & (scheme.den * most >= scheme.num * (total - most)) & (np.minimum(width[who][:, None], width[who][None, :]) == w)
+            i, j = np.nonzero(np.triu(may, 1))
+            found.append((ids[who[i]], ids[who[j]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches):
         def stream():
             for batch in common.slices(batches):
-                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "side", "component", "set_id", "elements")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "side", "component", "set_id", "size", "sketch")), strict=True)
 
         for _, group in itertools.groupby(stream(), key=lambda r: r[0]):
             held = [r[1:] for r in group]
             if len(held) > 1:
-                a, b = links(held)
-                yield common.record_batch(LINKS, {"a": a, "b": b})
+                a, b = pairs(held)
+                if len(a):
+                    yield common.record_batch(LINKS, {"a": a, "b": b})
 
     return rows.mapInArrow(run, common.spark_schema(LINKS))
 
@@ -278,9 +288,12 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
     wanted = degree.select("set_id").join(groups, F.col("set_id") == F.col("group_id")).select(F.col("set_id").alias("wanted"), "least_doc")
     texts = rows.join(wanted, F.col("doc_id") == F.col("least_doc")).select("text", "wanted")
     sets = scratch.keep(_sets(texts, n).dropDuplicates(["set_id"]), "sets")
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("own")), "a")
-    compared = _compare(left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("other")), "b"), scheme)
-    first = scratch.keep(compared, "first")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("own")), "a")
+        return _compare(left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("other")), "b"), scheme)
+
+    first = scratch.keep(compare(pairs), "first")
     found = components(scratch, first, "by_leader")
     # what is left: lists with members of several components, one of those with equal members
     inside = shared.join(found, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -292,8 +305,10 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
     blocks = F.ceil(F.col("members") / BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     held = held.select("*", other.alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), (F.col("block") > F.col("other")).cast("int").alias("side"), "component", "set_id")
-    last = _blocks(held.join(sets, "set_id").repartition("part").sortWithinPartitions("part", "side", "set_id").select("part", "side", "component", "set_id", "elements"), scheme)
-    second = scratch.keep(last, "second")
+    light = sets.select("set_id", "size", "sketch")
+    likely = _blocks(held.join(light, "set_id").repartition("part").sortWithinPartitions("part", "side", "set_id").select("part", "side", "component", "set_id", "size", "sketch"), scheme)
+    pairs = scratch.keep(likely.distinct(), "likely")
+    second = scratch.keep(compare(pairs), "second")
     # components of documents: links between sets, and rows of one document with several sets
     several = named.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     bound = named.join(several, "doc_id").select("doc_id", F.col("set_id").alias("b")).join(named.groupBy("doc_id").agg(F.min("set_id").alias("a")), "doc_id").where("a <> b").select("a", "b")
@@ -303,7 +318,7 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
     ids = scratch.keep(classes.join(least, "class").select(F.col("group_id").alias("set_id"), "component_id"), "ids")
     out = posted.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    scratch.drop("shared", "sets", "first", "second")
+    scratch.drop("shared", "sets", "first", "likely", "second")
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
