@@ -4,8 +4,8 @@ Equal vectors are one node, so copies make no edges among themselves; a node kee
 as any answer can need. The graph begins with the neighbours within blocks of nodes that random projections bring
 together, and is then refined: in each round every node introduces its neighbours, and those it is a neighbour of, to each
 other, by joins of the edges with the vectors, and a node keeps its ``degree`` nearest. A node that very many have for a
-neighbour introduces them in groups. Queries begin at their own node and, round by round, expand the nearest nodes of
-their beam that aren't expanded yet, until there are none. Distances of the answers are computed in double precision
+neighbour introduces them in groups. Queries begin at their own node and, round by round, expand the nodes of their beam
+that aren't expanded yet, until there are none. Distances of the answers are computed in double precision
 from the original vectors.
 
 Every row takes part in the graph. Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 
 from rankmill.llm import common
 
-DEGREE = 20
+DEGREE = 24
 TREES = 5
 LEAF = 768  # nodes of a block that are compared with each other at first
 MOST_ROUNDS = 8
-SETTLED = 0.03  # of the edges new in a round: then the graph is good enough
-GROUP = 48  # neighbours that are introduced to each other at once
-BEAM = 128
-EXPAND = 32  # nodes of a beam that are expanded in a round
+SETTLED = 0.01  # of the edges new in a round: then the graph is good enough
+GROUP = 56  # neighbours that are introduced to each other at once
+BEAM = 320
 EDGES = pa.schema([("node", pa.int64()), ("nbr", pa.int64()), ("d", pa.float64())])
 
 
@@ -202,24 +201,28 @@ def build(scratch: common.Scratch, nodes: DataFrame, *, degree: int = DEGREE, tr
     return edges
 
 
-def search(scratch: common.Scratch, starts: DataFrame, nodes: DataFrame, edges: DataFrame, *, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def search(scratch: common.Scratch, starts: DataFrame, nodes: DataFrame, edges: DataFrame, *, beam: int = BEAM) -> DataFrame:
     """Of each start node its beam: (start, node, d), at most ``beam`` rows, the start itself among them."""
-    ways = scratch.keep(edges.select("node", "nbr").union(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct(), "ways")
-    asked = starts.join(nodes, starts["start"] == nodes["node"]).select("start", F.col("vector").alias("asked"))
+    # what every round joins stays dealt by its key; a lost part is read again from its table
+    ways = edges.select("node", "nbr").union(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct().repartition("node").persist()
+    known = nodes.select("node", "vector").repartition("node").persist()
+    asked = starts.join(nodes, starts["start"] == nodes["node"]).select("start", F.col("vector").alias("asked")).repartition("start").persist()
     held = scratch.keep(starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "beam0")
     near = Window.partitionBy("start").orderBy("d", "node")
     for k in itertools.count(1):
-        # what has been seen stays with its distance, so that nothing is measured twice; only the beam is expanded
-        ranked = held.withColumn("place", F.row_number().over(near))
-        open_ = ranked.where((F.col("place") <= beam) & ~F.col("done")).withColumn("turn", F.row_number().over(near)).where(F.col("turn") <= expand).select("start", "node")
-        turn = scratch.keep(open_, f"turn{k}")
+        # what has been seen stays with its distance; what is in the beam and hasn't been expanded is, all at once
+        ranked = scratch.keep(held.withColumn("place", F.row_number().over(near)), f"ranked{k}")
+        turn = ranked.where((F.col("place") <= beam) & ~F.col("done")).select("start", "node")
         if turn.isEmpty():
+            for table in (ways, known, asked):
+                table.unpersist()
             return ranked.where(F.col("place") <= beam).select("start", "node", "d")
-        new = turn.join(ways, "node").select("start", F.col("nbr").alias("node")).distinct().join(held.select("start", "node"), ["start", "node"], "left_anti")
-        measured = new.join(nodes, "node").join(asked, "start").select("start", "node", distance("vector", "asked").alias("d"), F.lit(False).alias("done"))
-        gone = held.join(turn.withColumn("now", F.lit(True)), ["start", "node"], "left").select("start", "node", "d", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        held = scratch.keep(gone.union(measured), f"beam{k}")
-        scratch.drop(f"beam{k - 1}", f"turn{k}")
+        new = turn.join(ways, "node").select("start", F.col("nbr").alias("node")).repartition("node").distinct()
+        measured = new.join(known, "node").join(asked, "start").select("start", "node", distance("vector", "asked").alias("d"), F.lit(False).alias("done"))
+        before = ranked.select("start", "node", "d", (F.col("done") | (F.col("place") <= beam)).alias("done"))
+        held = before.union(measured).groupBy("start", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
+        if k > 1:
+            scratch.drop(f"ranked{k - 1}")
 
 
 def nearest(table: DataFrame, *, every: int, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
