@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import itertools
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from rankmill.llm import bpe, common
 BREAK = "▁"
 LOOSE = 1 << 21  # a character that isn't a piece has this plus its code point for an id
 NOTHING = 2 * LOOSE - 1
+NEVER = float("-inf")
 _UNITS = re.compile(f"{BREAK}+[^{BREAK}]*|[^{BREAK}]+")
 
 
@@ -125,15 +127,16 @@ class PrefixCounter:
     def _encode(self, text: str) -> list[str]:
         """Pieces by merging, again and again, the leftmost pair of best score."""
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        score = self.score.get
+        pairs = [score(a + b, NEVER) for a, b in itertools.pairwise(parts)]
+        while pairs and (best := max(pairs)) != NEVER:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
         return parts
 
     def _text(self, i: int) -> str:
@@ -212,6 +215,12 @@ class PrefixCounter:
         return at
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> PrefixCounter:
+    """One counter for all tasks of a worker: what it has learnt of pairs stays."""
+    return PrefixCounter(path)
+
+
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fitting_chars", pa.int64())])
 
 
@@ -220,7 +229,7 @@ def count_tokens(docs: DataFrame, *, model: str = "piece_bpe_32k.model", limit:
 
     def run(batches):
         gc.disable()  # nothing here makes cycles, and the many strings are slow to walk
-        counter = PrefixCounter(common.tokenizer_path(model))
+        counter = counter_of(common.tokenizer_path(model))
         for batch in bpe.by_size(batches):
             texts = bpe.texts_of(batch)
             n, chars = counter.count(texts), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -235,7 +244,7 @@ def prefix_table(docs: DataFrame, *, model: str = "piece_bpe_32k.model", id_col:
     """doc_id and prefix_tokens, the number of tokens of each prefix, for the functions below."""
 
     def run(batches):
-        counter = PrefixCounter(common.tokenizer_path(model))
+        counter = counter_of(common.tokenizer_path(model))
         for batch in common.slices(batches, 64):
             counter.stands.trim()
             rows = [counter.prefixes(t).tolist() for t in bpe.texts_of(batch).to_pylist()]
