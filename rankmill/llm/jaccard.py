@@ -197,6 +197,27 @@ def _compare(pairs: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.select("a", "b", "own", "other").mapInArrow(run, common.spark_schema(LINKS))
 
 
+def _open(pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b, sizes, sketches) -> the (a, b) that their sketches don't show to be apart."""
+
+    def run(batches):
+        for batch in common.slices(batches, 4096):
+            size, other = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
+            apart = np.array([_apart(p, q) for p, q in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True)], np.int64)
+            most = np.minimum((size + other - apart) // 2, np.minimum(size, other))
+            yield batch.select(["a", "b"]).filter(pa.array(scheme.linked(most, size, other)))
+
+    return pairs.select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, common.spark_schema(LINKS))
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """In how many places two sketches differ, the longer one laid over itself."""
+    x, y = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    n = min(len(x), len(y))
+    odd = np.bitwise_xor.reduce(x.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), 0)
+    return int(np.bitwise_count(odd).sum())
+
+
 def _common(p: np.ndarray, q: np.ndarray) -> int:
     x = np.sort(np.concatenate([p, q]))
     return int((x[1:] == x[:-1]).sum())
@@ -293,7 +314,10 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
         left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("own")), "a")
         return _compare(left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("other")), "b"), scheme)
 
-    first = scratch.keep(compare(pairs), "first")
+    light = sets.select("set_id", "size", "sketch")
+    for side in "ab":
+        pairs = pairs.join(light.select(*[F.col(c).alias(name) for c, name in (("set_id", side), ("size", f"{side}_size"), ("sketch", f"{side}_sketch"))]), side)
+    first = scratch.keep(compare(_open(pairs, scheme)), "first")
     found = components(scratch, first, "by_leader")
     # what is left: lists with members of several components, one of those with equal members
     inside = shared.join(found, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -305,7 +329,6 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
     blocks = F.ceil(F.col("members") / BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     held = held.select("*", other.alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), (F.col("block") > F.col("other")).cast("int").alias("side"), "component", "set_id")
-    light = sets.select("set_id", "size", "sketch")
     likely = _blocks(held.join(light, "set_id").repartition("part").sortWithinPartitions("part", "side", "set_id").select("part", "side", "component", "set_id", "size", "sketch"), scheme)
     pairs = scratch.keep(likely.distinct(), "likely")
     second = scratch.keep(compare(pairs), "second")
