@@ -34,6 +34,7 @@ NONZERO = 4
 REACH = 2
 THRESHOLD = 0.3
 PRIOR = 12
+BATCH = 4_000_000  # bytes of text that are held as words at once
 MOST_LABELLED = 20_000  # labelled documents that the network is fitted on, at most
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -123,7 +124,7 @@ def word_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         gc.disable()
         held = ContextSums()
-        for batch in bpe.by_size(batches):
+        for batch in bpe.by_size(batches, BATCH):
             held.add(*words(bpe.texts_of(batch)))
         used = np.flatnonzero(held.seen)
         for part in np.array_split(used, max(1, len(used) // 4096)):
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, id_col
 
     def run(batches):
         gc.disable()
-        for batch in bpe.by_size(batches):
+        for batch in bpe.by_size(batches, BATCH):
             x = pool(shared.value, *words(bpe.texts_of(batch))).astype(np.float32)
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, DIMENSIONS, dtype=np.int32), x.ravel())
             yield common.record_batch(POOLED, {"pooled": lists, "quality": batch.column("quality")})
@@ -251,7 +252,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, *, id_col: str
     def run(batches):
         gc.disable()
         vectors, network = shared.value
-        for batch in bpe.by_size(batches):
+        for batch in bpe.by_size(batches, BATCH):
             x = pool(vectors, *words(bpe.texts_of(batch)))
             yield common.record_batch(SCORED, {"doc_id": batch.column("doc_id"), "score": network.probability(x)})
 
@@ -273,7 +274,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     def run(batches):
         gc.disable()
         vectors, network = shared.value
-        for batch in bpe.by_size(batches):
+        for batch in bpe.by_size(batches, BATCH):
             x = pool(vectors, *words(bpe.texts_of(batch)))
             yield batch.filter(pa.array(network.probability(x) >= THRESHOLD))
 
