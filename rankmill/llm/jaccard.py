@@ -16,8 +16,14 @@ is kept; in what remains every pair across components is met, in blocks of membe
 how much two sets can share, and where that leaves it open by the sets. So no pairs within groups of copies are made,
 and yet each pair that shares a list is in one component or has been compared. What links is decided by whole sets.
 
+Links are counted where that is asked for, all of them and not only those that components need. Linked sets are in one
+component, and their sizes in the same or adjacent bands of a geometric scale. So the members of each component are dealt
+into blocks by band, every block is compared with itself and with all others in its band and the next one by a product of
+whole sets, and only the numbers leave the task. n_links of a row is the number of other documents whose text has an
+equal or a linked set; a document counts once for each of its different sets.
+
 Defined cases: a text without words, or a null one, has an empty set and links with nothing; a row with a null doc_id has
-its set's size, a null component and no links; rows with one doc_id and different texts link through their own sets, and
+its set's size, a null component and no links, and isn't counted as one; rows with one doc_id and different texts link through their own sets, and
 the document's component is the smallest one of its rows; repeated rows each give a row; an empty table gives none;
 further columns are ignored; texts of any length are taken whole.
 """
@@ -38,6 +44,9 @@ from rankmill.llm import bpe, common, shingles
 SCAN_COST = 3.0  # of a posting in an inverted list, against that of a subset
 MOST_LIGHT = 64
 BLOCK = 512  # members of a list that one task compares with as many others
+MEMBERS = 2048  # most sets in a block of those whose links are counted, and about the most elements in it
+ELEMENTS = 1_000_000
+WIDE = 4096  # elements in one product of such blocks
 _ALL = (1 << 64) - 1
 
 
@@ -265,6 +274,91 @@ def _blocks(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return rows.mapInArrow(run, common.spark_schema(LINKS))
 
 
+COUNTED = pa.schema([("set_id", pa.int64()), ("n", pa.int64())])
+
+
+def _linked_docs(alone: bool, left: np.ndarray, sets: list[np.ndarray], docs: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Of each set the documents of the sets that it links with: of all others if alone, else of those on the other side."""
+    size = np.array([len(x) for x in sets], np.int64)
+    a, b = (np.arange(len(sets)),) * 2 if alone else (np.flatnonzero(left), np.flatnonzero(~left))
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    place = np.cumsum(times > 1) - 1
+    kept = times[at] > 1
+    owner, at = owner[kept], place[at[kept]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int((times > 1).sum()), WIDE):
+        i, j = np.searchsorted(at, (low, low + WIDE))
+        held = np.zeros((len(sets), int(at[j - 1]) + 1 - low), np.float32)
+        held[owner[i:j], at[i:j] - low] = 1
+        both += held @ held.T if alone else held[a] @ held[b].T
+    found = np.zeros(len(sets), np.int64)
+    for k in range(0, len(a), 256):
+        rows = a[k : k + 256]
+        ok = scheme.linked(both[k : k + 256].astype(np.int64), size[rows][:, None], size[b][None, :])
+        if alone:
+            ok[np.arange(len(rows)), rows] = False
+        found[rows] += ok @ docs[b]
+        if not alone:
+            found[b] += docs[rows] @ ok
+    return found
+
+
+def _count(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows (part, side, set_id, docs, elements), sorted by part -> how many documents each set links with in that part.
+
+    Sides are 0 and 1 where two blocks meet, and 2 where a block meets itself.
+    """
+
+    def run(batches):
+        def stream():
+            for batch in common.slices(batches):
+                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "side", "set_id", "docs", "elements")), strict=True)
+
+        for _, group in itertools.groupby(stream(), key=lambda r: r[0]):
+            held = list(group)
+            side, ids, docs = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
+            alone = bool(side[0] == 2)
+            if len(held) < 2 or not alone and side.min() == side.max():
+                continue
+            found = _linked_docs(alone, side == 0, [np.frombuffer(h[4], np.uint64) for h in held], docs, scheme)
+            some = np.flatnonzero(found)
+            if len(some):
+                yield common.record_batch(COUNTED, {"set_id": ids[some], "n": found[some]})
+
+    return rows.mapInArrow(run, common.spark_schema(COUNTED))
+
+
+def count_links(scratch: common.Scratch, sets: DataFrame, joined: DataFrame, weights: DataFrame, scheme: Scheme) -> DataFrame:
+    """set_id, linked: the documents of the other sets that each set links with. Weights has the sets of several documents."""
+    # sizes of linked sets are at most one band apart; the width is a trifle more, for rounding
+    width = math.log(max(scheme.den / scheme.num, 1.05)) * (1 + 1e-9)
+    own = sets.select("set_id", "size").join(joined, F.col("set_id") == F.col("node")).select("set_id", "component", "size")
+    members = scratch.keep(own.join(weights, "set_id", "left").select("set_id", "component", "size", F.coalesce("n_docs", F.lit(1)).cast("bigint").alias("docs"), F.floor(F.log("size") / width).alias("band")), "members")
+    full = lambda n, e: F.greatest(F.ceil(n / MEMBERS), F.ceil(e / ELEMENTS))
+    by_band = members.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("size").alias("e"))
+    # components of more than one block, which are few, and their bands; all others are one part
+    big = by_band.groupBy("component").agg(F.sum("n").alias("all_n"), F.sum("e").alias("all_e")).where(full(F.col("all_n"), F.col("all_e")) > 1).select("component")
+    bands = scratch.keep(by_band.join(big, "component").select("component", "band", full(F.col("n"), F.col("e")).alias("blocks")), "bands")
+    near = lambda d, name: bands.select("component", (F.col("band") - d).alias("band"), F.col("blocks").alias(name))
+    dealt = members
+    for d, name in ((0, "blocks"), (1, "above"), (-1, "below")):
+        dealt = dealt.join(near(d, name), ["component", "band"], "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(2)), F.coalesce("blocks", F.lit(1).cast("bigint"))))
+    zero, block = F.lit(0).cast("bigint"), F.col("block")
+    upto = lambda c, f: F.when(F.col(c).isNotNull(), F.transform(F.sequence(zero, F.col(c) - 1), f)).otherwise(F.array().cast("array<struct<part:bigint,side:int>>"))
+    part = lambda side, *key: F.struct(F.xxhash64("component", *key).alias("part"), side.cast("int").alias("side"))
+    same = upto("blocks", lambda o: part(F.when(block == o, 2).when(block < o, 0).otherwise(1), F.lit(0), "band", F.least(block, o), F.greatest(block, o)))
+    up = upto("above", lambda o: part(F.lit(0), F.lit(1), "band", block, o))
+    down = upto("below", lambda o: part(F.lit(1), F.lit(1), F.col("band") - 1, o, block))
+    whole = F.array(part(F.lit(2), F.lit(2)))
+    parts = dealt.select("set_id", "docs", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(F.concat(same, up, down))).alias("p")).select("set_id", "docs", "p.part", "p.side")
+    rows = parts.join(sets.select("set_id", "elements"), "set_id").repartition("part").sortWithinPartitions("part")
+    return _count(rows.select("part", "side", "set_id", "docs", "elements"), scheme).groupBy("set_id").agg(F.sum("n").alias("linked"))
+
+
 def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFrame:
     """(a, b) -> (node, component), the smallest node that each node reaches.
 
@@ -290,8 +384,8 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
         before = after
 
 
-def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row. Equal sets are linked; others when num / den of their union is common."""
+def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row, and n_links if ``links``. Equal sets are linked; others when num / den of their union is common."""
     spark, scheme = docs.sparkSession, Scheme(num, den)
     scratch = common.Scratch(spark, "jaccard")
     rows = common.id_and_text(docs, id_col, text_col)
@@ -338,11 +432,18 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
     joined = components(scratch, first.union(second).union(bound), "all")
     classes = groups.join(joined, F.col("group_id") == F.col("node"), "left").select("group_id", "least_doc", F.coalesce("component", "group_id").alias("class"))
     least = classes.groupBy("class").agg(F.min("least_doc").alias("component_id"))
-    ids = scratch.keep(classes.join(least, "class").select(F.col("group_id").alias("set_id"), "component_id"), "ids")
+    ids = classes.join(least, "class").select(F.col("group_id").alias("set_id"), "component_id")
+    if links:
+        joined = scratch.keep(joined, "joined")
+        weights = scratch.keep(named.select("set_id", "doc_id").distinct().groupBy("set_id").agg(F.count("*").alias("n_docs")).where("n_docs > 1"), "weights")
+        linked = scratch.keep(count_links(scratch, sets, joined, weights, scheme), "linked")
+        ids = ids.join(linked, "set_id", "left").join(weights, "set_id", "left").select("set_id", "component_id", (F.coalesce("linked", F.lit(0)) + F.coalesce("n_docs", F.lit(1)) - 1).alias("n_links"))
+    ids = scratch.keep(ids, "ids")
     out = posted.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    scratch.drop("shared", "sets", "first", "likely", "second")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    scratch.drop("shared", "sets", "first", "likely", "second", "joined", "weights", "members", "bands", "linked")
+    others = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), *others)
 
 
 def _by(column: str):
@@ -352,7 +453,7 @@ def _by(column: str):
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return link(common.table(spark, sf_dir, "documents"), n=3, num=90, den=100, links=True)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

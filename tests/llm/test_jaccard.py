@@ -68,6 +68,31 @@ def test_blocks_of_long_lists(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == brute(rows, 3, 90, 100)
 
 
+def linked_docs(rows, n, num, den):
+    """Of each row the number of other (document, set)s whose set is equal or linked."""
+    held = {(d, shingle_set(t, n)) for d, t in rows if d is not None}
+    out = []
+    for d, t in rows:
+        x = shingle_set(t, n)
+        near = [o for o in held if o != (d, x) and x and o[1] and den * len(x & o[1]) >= num * len(x | o[1])]
+        out.append((d if d is not None else -1, len(x), len(near) if d is not None else 0))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("members", "elements"), [(2048, 1_000_000), (7, 1_000_000), (2048, 900)])
+def test_all_links_are_counted(spark, monkeypatch, members, elements):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    monkeypatch.setattr(jaccard, "ELEMENTS", elements)
+    rows = near_copies(8, (40, 90, 100), 4, groups=3, each=40)
+    # a chain from short to long, with links across bands and none between its ends
+    words = [f"c{i}" for i in range(160)]
+    rows += [(1000 + k, " ".join(words[:k])) for k in range(60, 160, 4)]
+    rows += [(1000, rows[-1][1]), (1001, rows[-1][1]), (1001, rows[-2][1]), (1001, rows[-2][1]), (None, rows[-1][1]), (2000, None), (2001, "one"), (2002, "ONE")]
+    out = link(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=90, den=100, links=True)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((r[0] if r[0] is not None else -1, r[1], r[3]) for r in out.collect()) == linked_docs(rows, 3, 90, 100)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "É a"), (8, "é a"), (9, long), (10, long + " more"), (4, "one"), (11, "other text of the row"), (11, "one two")]
