@@ -2,8 +2,9 @@
 
 A text is lower-cased and reduced to its words, joined by single spaces; rules are regular expressions over that. Each
 license has a hand-written pattern of its names; with the hand-written contexts in which a license is granted or named,
-and with the phrases of license bodies, these make some hundreds of rules. A rule is tried only if all its keywords
-occur, which one Aho-Corasick pass finds. Of the detections, those inside a detection of a rule that comes earlier in
+and with the phrases of license bodies, these make some hundreds of rules. A rule is tried only if of
+each of its keyword sets one occurs, which one Aho-Corasick pass finds; the sets are read off the parse trees of the
+context and of the names, so that whatever a rule matches passes. Of the detections, those inside a detection of a rule that comes earlier in
 priority are dropped. Base phrases are counted apart and never dropped.
 
 Defined cases: a null text is an empty one, without words, labels and with score 0; a null doc_id is kept; repeated rows
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,133 +30,133 @@ BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2
 _V = r"(?: (?:version|v))?"
 _LATER = r"(?: (?:or|and) (?:any )?later(?: versions?)?| or later| \+)?"
 _CC = r"(?:cc|creative commons(?: license)?)"
-#: label: (keyword, pattern of its names). Words are in lower case and without signs.
+#: label: pattern of its names. Words are in lower case and without signs.
 NAMES = {
-    "mit-0": ("mit", r"mit 0|mit no attribution"),
-    "mit": ("mit", r"mit(?: x11| expat)?"),
-    "x11": ("x11", r"x11|mit x consortium"),
-    "isc": ("isc", r"isc|internet systems consortium"),
-    "0bsd": ("bsd", r"0bsd|bsd(?: zero| 0) clause|zero clause bsd"),
-    "bsd-1-clause": ("bsd", r"bsd (?:1|one) clause|(?:1|one) clause bsd"),
-    "bsd-3-clause-clear": ("bsd", r"bsd 3 clause clear|clear bsd"),
-    "bsd-2-clause": ("bsd", r"bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd"),
-    "bsd-3-clause": ("bsd", r"bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd"),
-    "bsd-4-clause": ("bsd", r"bsd (?:4|four) clause|(?:4|four) clause bsd|(?:original|old) bsd"),
-    "bsd": ("bsd", r"bsd(?: style)?"),
-    "apache-1.1": ("apache", rf"apache(?: software)?(?: licen[sc]e)?{_V} 1 1"),
-    "apache-1": ("apache", rf"apache(?: software)?(?: licen[sc]e)?{_V} 1(?: 0)?"),
-    "apache-2": ("apache", rf"apache(?: software)?(?: licen[sc]e)?{_V} 2(?: 0)?|asl 2 0"),
-    "apache": ("apache", r"apache(?: software)?"),
-    "agpl-3-only": ("agpl", rf"agpl{_V} ?3(?: 0)? only"),
-    "agpl-3": ("ffero", rf"(?:gnu )?affero general public licen[sc]e{_V}(?: 3(?: 0)?)?{_LATER}"),
-    "agpl-3-id": ("agpl", rf"(?:gnu )?agpl(?:{_V} ?3(?: 0)?| ?v?3)?{_LATER}"),
-    "lgpl-2": ("esser", rf"(?:gnu )?(?:lesser|library) general public licen[sc]e{_V} 2(?: 0)?{_LATER}"),
-    "lgpl-2.1": ("esser", rf"(?:gnu )?lesser general public licen[sc]e{_V} 2 1{_LATER}|lgpl ?v?2 1{_LATER}"),
-    "lgpl-3": ("esser", rf"(?:gnu )?lesser general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
-    "lgpl": ("lgpl", rf"(?:gnu )?lgpl(?: ?v?\d(?: \d)?)?{_LATER}"),
-    "gpl-1": ("general public", rf"(?:gnu )?general public licen[sc]e{_V} 1(?: 0)?{_LATER}"),
-    "gpl-2": ("general public", rf"(?:gnu )?general public licen[sc]e{_V} 2(?: 0)?{_LATER}"),
-    "gpl-3": ("general public", rf"(?:gnu )?general public licen[sc]e{_V} 3(?: 0)?{_LATER}"),
-    "gpl-2-id": ("gpl", rf"(?:gnu )?gpl(?:{_V} | ?v)?2(?: 0)?{_LATER}"),
-    "gpl-3-id": ("gpl", rf"(?:gnu )?gpl(?:{_V} | ?v)?3(?: 0)?{_LATER}"),
-    "gpl": ("gnu", r"gnu (?:general public licen[sc]e|gpl)"),
-    "gfdl-1.3": ("documentation", rf"(?:gnu )?free documentation licen[sc]e{_V} 1 3"),
-    "gfdl": ("documentation", rf"(?:gnu )?free documentation licen[sc]e(?:{_V} 1 \d)?"),
-    "mpl-1.1": ("m", rf"mozilla public licen[sc]e{_V} 1 1|mpl 1 1"),
-    "mpl-2": ("m", rf"mozilla public licen[sc]e{_V} 2(?: 0)?|mpl 2(?: 0)?"),
-    "mpl": ("mozilla", r"mozilla public"),
-    "epl-1": ("e", rf"eclipse public licen[sc]e{_V} 1(?: 0)?|epl 1(?: 0)?"),
-    "epl-2": ("e", rf"eclipse public licen[sc]e{_V} 2(?: 0)?|epl 2(?: 0)?"),
-    "epl": ("eclipse", r"eclipse public"),
-    "edl-1": ("eclipse", rf"eclipse distribution(?: licen[sc]e{_V} 1(?: 0)?)?"),
-    "cddl-1": ("c", rf"common development and distribution licen[sc]e{_V}(?: 1 [01])?|cddl 1 [01]"),
-    "cpl-1": ("common public", rf"common public licen[sc]e{_V}(?: 1(?: 0)?)?"),
-    "cc0": ("cc0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero"),
-    "cc-zero": ("creative", r"creative commons (?:zero|cc0|public domain(?: dedication)?)"),
-    "cc-by-nc-nd": ("c", rf"{_CC} by nc nd(?: \d 0)?|{_CC} attribution noncommercial noderiv\w*"),
-    "cc-by-nc-sa": ("c", rf"{_CC} by nc sa(?: \d 0)?|{_CC} attribution non ?commercial share ?alike(?: \d 0)?"),
-    "cc-by-nc": ("c", rf"{_CC} by nc(?: \d 0)?|{_CC} attribution non ?commercial(?: \d 0)?"),
-    "cc-by-nd": ("c", rf"{_CC} by nd(?: \d 0)?|{_CC} attribution no ?deriv\w*(?: \d 0)?"),
-    "cc-by-sa": ("c", rf"{_CC} by sa(?: \d 0)?|{_CC} attribution share ?alike(?: \d 0)?"),
-    "cc-by": ("c", rf"{_CC} by(?: \d 0)?|{_CC} attribution(?: \d 0)?"),
-    "cc": ("creative", r"creative commons"),
-    "unlicense": ("unlicense", r"unlicense"),
-    "wtfpl": ("wtfpl", r"wtfpl|do what the fuck you want to public"),
-    "zlib": ("zlib", r"zlib(?: libpng)?"),
-    "libpng": ("libpng", r"libpng(?: 2 0)?"),
-    "boost-1": ("boost", rf"boost software(?: licen[sc]e{_V} 1 0)?|bsl 1 0"),
-    "bsl-1.1": ("business", rf"business source(?: licen[sc]e{_V} 1 1)?"),
-    "sspl-1": ("server side", rf"server side public(?: licen[sc]e{_V} 1(?: 0)?)?"),
-    "elastic-2": ("elastic", rf"elastic(?: licen[sc]e{_V} 2(?: 0)?)?"),
-    "artistic-1": ("artistic", rf"artistic licen[sc]e{_V} 1(?: 0)?"),
-    "artistic-2": ("artistic", rf"artistic licen[sc]e{_V} 2(?: 0)?"),
-    "artistic": ("artistic", r"(?:perl )?artistic"),
-    "python-2": ("python", rf"python software foundation(?: licen[sc]e{_V} 2)?|psf(?: 2 0)?"),
-    "php-3": ("php", rf"php(?: licen[sc]e{_V} 3 01?)?"),
-    "ruby": ("ruby", r"ruby"),
-    "openssl": ("openssl", r"openssl(?: ssleay)?"),
-    "ofl-1.1": ("font", rf"(?:sil )?open font(?: licen[sc]e{_V} 1 [01])?"),
-    "odbl-1": ("database", rf"open data(?:base)?(?: commons)?(?: open database)?(?: licen[sc]e{_V} 1 0)?"),
-    "pddl-1": ("public domain", r"public domain dedication and"),
-    "cdla-permissive": ("community data", rf"community data licen[sc]e agreement permissive(?:{_V} [12] 0)?"),
-    "cdla-sharing": ("community data", rf"community data licen[sc]e agreement sharing(?:{_V} 1 0)?"),
-    "eupl-1.2": ("eu", rf"european union public licen[sc]e(?:{_V} 1 [12])?|eupl 1 [12]"),
-    "ms-pl": ("microsoft", r"microsoft public"),
-    "ms-rl": ("microsoft", r"microsoft reciprocal"),
-    "ncsa": ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
-    "upl-1": ("universal permissive", rf"universal permissive(?: licen[sc]e{_V} 1 0)?"),
-    "afl-3": ("academic free", rf"academic free(?: licen[sc]e{_V} 3 0)?"),
-    "osl-3": ("open software", rf"open software(?: licen[sc]e{_V} 3 0)?"),
-    "vim": ("vim", r"vim"),
-    "beerware": ("beer", r"beer ?ware"),
-    "postgresql": ("postgresql", r"postgresql"),
-    "tcl": ("tcl", r"tcl tk"),
-    "openrail": ("rail", r"(?:creativeml |bigscience )?open ?rail(?: ?\+?\+?m)?"),
-    "llama": ("llama", r"llama \d(?: \d)? community"),
-    "mulan-2": ("mulan", rf"mulan (?:permissive software|psl)(?: licen[sc]e)?{_V}(?: ?v?2)?"),
-    "proprietary": ("proprietary", r"(?:a )?proprietary"),
-    "commercial": ("commercial", r"(?:a )?commercial"),
+    "mit-0": r"mit 0|mit no attribution",
+    "mit": r"mit(?: x11| expat)?",
+    "x11": r"x11|mit x consortium",
+    "isc": r"isc|internet systems consortium",
+    "0bsd": r"0bsd|bsd(?: zero| 0) clause|zero clause bsd",
+    "bsd-1-clause": r"bsd (?:1|one) clause|(?:1|one) clause bsd",
+    "bsd-3-clause-clear": r"bsd 3 clause clear|clear bsd",
+    "bsd-2-clause": r"bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd",
+    "bsd-3-clause": r"bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd",
+    "bsd-4-clause": r"bsd (?:4|four) clause|(?:4|four) clause bsd|(?:original|old) bsd",
+    "bsd": r"bsd(?: style)?",
+    "apache-1.1": rf"apache(?: software)?(?: licen[sc]e)?{_V} 1 1",
+    "apache-1": rf"apache(?: software)?(?: licen[sc]e)?{_V} 1(?: 0)?",
+    "apache-2": rf"apache(?: software)?(?: licen[sc]e)?{_V} 2(?: 0)?|asl 2 0",
+    "apache": r"apache(?: software)?",
+    "agpl-3-only": rf"agpl{_V} ?3(?: 0)? only",
+    "agpl-3": rf"(?:gnu )?affero general public licen[sc]e{_V}(?: 3(?: 0)?)?{_LATER}",
+    "agpl-3-id": rf"(?:gnu )?agpl(?:{_V} ?3(?: 0)?| ?v?3)?{_LATER}",
+    "lgpl-2": rf"(?:gnu )?(?:lesser|library) general public licen[sc]e{_V} 2(?: 0)?{_LATER}",
+    "lgpl-2.1": rf"(?:gnu )?lesser general public licen[sc]e{_V} 2 1{_LATER}|lgpl ?v?2 1{_LATER}",
+    "lgpl-3": rf"(?:gnu )?lesser general public licen[sc]e{_V} 3(?: 0)?{_LATER}",
+    "lgpl": rf"(?:gnu )?lgpl(?: ?v?\d(?: \d)?)?{_LATER}",
+    "gpl-1": rf"(?:gnu )?general public licen[sc]e{_V} 1(?: 0)?{_LATER}",
+    "gpl-2": rf"(?:gnu )?general public licen[sc]e{_V} 2(?: 0)?{_LATER}",
+    "gpl-3": rf"(?:gnu )?general public licen[sc]e{_V} 3(?: 0)?{_LATER}",
+    "gpl-2-id": rf"(?:gnu )?gpl(?:{_V} | ?v)?2(?: 0)?{_LATER}",
+    "gpl-3-id": rf"(?:gnu )?gpl(?:{_V} | ?v)?3(?: 0)?{_LATER}",
+    "gpl": r"gnu (?:general public licen[sc]e|gpl)",
+    "gfdl-1.3": rf"(?:gnu )?free documentation licen[sc]e{_V} 1 3",
+    "gfdl": rf"(?:gnu )?free documentation licen[sc]e(?:{_V} 1 \d)?",
+    "mpl-1.1": rf"mozilla public licen[sc]e{_V} 1 1|mpl 1 1",
+    "mpl-2": rf"mozilla public licen[sc]e{_V} 2(?: 0)?|mpl 2(?: 0)?",
+    "mpl": r"mozilla public",
+    "epl-1": rf"eclipse public licen[sc]e{_V} 1(?: 0)?|epl 1(?: 0)?",
+    "epl-2": rf"eclipse public licen[sc]e{_V} 2(?: 0)?|epl 2(?: 0)?",
+    "epl": r"eclipse public",
+    "edl-1": rf"eclipse distribution(?: licen[sc]e{_V} 1(?: 0)?)?",
+    "cddl-1": rf"common development and distribution licen[sc]e{_V}(?: 1 [01])?|cddl 1 [01]",
+    "cpl-1": rf"common public licen[sc]e{_V}(?: 1(?: 0)?)?",
+    "cc0": r"cc0(?: 1 0)?(?: universal)?|creative commons zero",
+    "cc-zero": r"creative commons (?:zero|cc0|public domain(?: dedication)?)",
+    "cc-by-nc-nd": rf"{_CC} by nc nd(?: \d 0)?|{_CC} attribution noncommercial noderiv\w*",
+    "cc-by-nc-sa": rf"{_CC} by nc sa(?: \d 0)?|{_CC} attribution non ?commercial share ?alike(?: \d 0)?",
+    "cc-by-nc": rf"{_CC} by nc(?: \d 0)?|{_CC} attribution non ?commercial(?: \d 0)?",
+    "cc-by-nd": rf"{_CC} by nd(?: \d 0)?|{_CC} attribution no ?deriv\w*(?: \d 0)?",
+    "cc-by-sa": rf"{_CC} by sa(?: \d 0)?|{_CC} attribution share ?alike(?: \d 0)?",
+    "cc-by": rf"{_CC} by(?: \d 0)?|{_CC} attribution(?: \d 0)?",
+    "cc": r"creative commons",
+    "unlicense": r"unlicense",
+    "wtfpl": r"wtfpl|do what the fuck you want to public",
+    "zlib": r"zlib(?: libpng)?",
+    "libpng": r"libpng(?: 2 0)?",
+    "boost-1": rf"boost software(?: licen[sc]e{_V} 1 0)?|bsl 1 0",
+    "bsl-1.1": rf"business source(?: licen[sc]e{_V} 1 1)?",
+    "sspl-1": rf"server side public(?: licen[sc]e{_V} 1(?: 0)?)?",
+    "elastic-2": rf"elastic(?: licen[sc]e{_V} 2(?: 0)?)?",
+    "artistic-1": rf"artistic licen[sc]e{_V} 1(?: 0)?",
+    "artistic-2": rf"artistic licen[sc]e{_V} 2(?: 0)?",
+    "artistic": r"(?:perl )?artistic",
+    "python-2": rf"python software foundation(?: licen[sc]e{_V} 2)?|psf(?: 2 0)?",
+    "php-3": rf"php(?: licen[sc]e{_V} 3 01?)?",
+    "ruby": r"ruby",
+    "openssl": r"openssl(?: ssleay)?",
+    "ofl-1.1": rf"(?:sil )?open font(?: licen[sc]e{_V} 1 [01])?",
+    "odbl-1": rf"open data(?:base)?(?: commons)?(?: open database)?(?: licen[sc]e{_V} 1 0)?",
+    "pddl-1": r"public domain dedication and",
+    "cdla-permissive": rf"community data licen[sc]e agreement permissive(?:{_V} [12] 0)?",
+    "cdla-sharing": rf"community data licen[sc]e agreement sharing(?:{_V} 1 0)?",
+    "eupl-1.2": rf"european union public licen[sc]e(?:{_V} 1 [12])?|eupl 1 [12]",
+    "ms-pl": r"microsoft public",
+    "ms-rl": r"microsoft reciprocal",
+    "ncsa": r"(?:university of illinois )?ncsa(?: open source)?",
+    "upl-1": rf"universal permissive(?: licen[sc]e{_V} 1 0)?",
+    "afl-3": rf"academic free(?: licen[sc]e{_V} 3 0)?",
+    "osl-3": rf"open software(?: licen[sc]e{_V} 3 0)?",
+    "vim": r"vim",
+    "beerware": r"beer ?ware",
+    "postgresql": r"postgresql",
+    "tcl": r"tcl tk",
+    "openrail": r"(?:creativeml |bigscience )?open ?rail(?: ?\+?\+?m)?",
+    "llama": r"llama \d(?: \d)? community",
+    "mulan-2": rf"mulan (?:permissive software|psl)(?: licen[sc]e)?{_V}(?: ?v?2)?",
+    "proprietary": r"(?:a )?proprietary",
+    "commercial": r"(?:a )?commercial",
 }
-#: (context, its keyword, pattern around the names, confidence), first ones first in priority.
+#: (context, pattern around the names, confidence), first ones first in priority.
 _GRANT = r"(?:dual |tri |re ?)?(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|offered|covered|made available|shared|contributed)(?: to you)?"
 CONTEXTS = (
-    ("tag", "spdx", r"spdx licen[sc]e identifier (?:{})", 1.0),
-    ("grant", "under", _GRANT + r" (?:under|by|through)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? (?:{})(?: (?:public )?licen[sc]e)?", 0.95),
-    ("terms", "terms", r"(?:under|subject to|according to|per)(?: the)? terms(?: and conditions)? of(?: the)? (?:{})(?: licen[sc]e)?", 0.9),
-    ("named", "licen", r"(?:under|use|uses|with|see|is|has|the)(?: the| an| a)? (?:{}) licen[sc]e", 0.7),
+    ("tag", r"spdx licen[sc]e identifier (?:{})", 1.0),
+    ("grant", _GRANT + r" (?:under|by|through)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? (?:{})(?: (?:public )?licen[sc]e)?", 0.95),
+    ("terms", r"(?:under|subject to|according to|per)(?: the)? terms(?: and conditions)? of(?: the)? (?:{})(?: licen[sc]e)?", 0.9),
+    ("named", r"(?:under|use|uses|with|see|is|has|the)(?: the| an| a)? (?:{}) licen[sc]e", 0.7),
 )
-#: Phrases of license bodies: (label, keyword, pattern, confidence).
+#: Phrases of license bodies: (label, pattern, confidence).
 BODIES = (
-    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
-    ("isc", "permission to use", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.95),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote", 1.0),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display", 1.0),
-    ("apache-2", "you may not use", r"you may not use this file except in compliance with the licen[sc]e", 0.95),
-    ("apache-2", "apache org", r"apache org licenses licen[sc]e 2 0", 1.0),
-    ("gpl-3", "free software", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e .{0,80}version 3", 1.0),
-    ("gpl-2", "free software", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e .{0,80}version 2", 1.0),
-    ("gpl", "free software", r"this (?:program|library|file) is free software", 0.8),
-    ("gpl", "gnu org", r"gnu org licenses", 0.7),
-    ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 1.0),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to)(?: the)? public domain", 0.9),
-    ("boost-1", "boost org", r"boost org licen[sc]e 1 0", 1.0),
-    ("zlib", "as is", r"this software is provided as is without any express or implied warranty in no event will the authors", 1.0),
-    ("wtfpl", "what the fuck", r"you just do what the fuck you want to", 1.0),
-    ("cc0", "copyright and related", r"waived all copyright and related or neighboring rights", 1.0),
-    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa", 1.0),
-    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd", 1.0),
-    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc", 0.95),
-    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa", 1.0),
-    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd", 1.0),
-    ("cc-by", "creativecommons", r"creativecommons org licenses by", 0.95),
-    ("cc0", "creativecommons", r"creativecommons org publicdomain zero", 1.0),
-    ("all-rights-reserved", "rights reserved", r"(?:copyright .{0,60})?all rights reserved", 0.6),
-    ("no-license", "may not be", r"may not be (?:reproduced|copied|redistributed|used)(?: \w+){0,6} without(?: the)?(?: prior| express| written)* permission", 0.8),
-    ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes|research)(?: only)?", 0.5),
-    ("ofl-1.1", "ofl", r"scripts sil org ofl", 1.0),
-    ("python-2", "python software", r"python software foundation licen[sc]e", 0.9),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 1.0),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 0.95),
+    ("bsd-3-clause", r"neither the name of .{1,80} nor the names of its contributors may be used to endorse or promote", 1.0),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", 1.0),
+    ("apache-2", r"you may not use this file except in compliance with the licen[sc]e", 0.95),
+    ("apache-2", r"apache org licenses licen[sc]e 2 0", 1.0),
+    ("gpl-3", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e .{0,80}version 3", 1.0),
+    ("gpl-2", r"free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e .{0,80}version 2", 1.0),
+    ("gpl", r"this (?:program|library|file) is free software", 0.8),
+    ("gpl", r"gnu org licenses", 0.7),
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0),
+    ("unlicense", r"free and unencumbered software released into the public domain", 1.0),
+    ("public-domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to)(?: the)? public domain", 0.9),
+    ("boost-1", r"boost org licen[sc]e 1 0", 1.0),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors", 1.0),
+    ("wtfpl", r"you just do what the fuck you want to", 1.0),
+    ("cc0", r"waived all copyright and related or neighboring rights", 1.0),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa", 1.0),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd", 1.0),
+    ("cc-by-nc", r"creativecommons org licenses by nc", 0.95),
+    ("cc-by-sa", r"creativecommons org licenses by sa", 1.0),
+    ("cc-by-nd", r"creativecommons org licenses by nd", 1.0),
+    ("cc-by", r"creativecommons org licenses by", 0.95),
+    ("cc0", r"creativecommons org publicdomain zero", 1.0),
+    ("all-rights-reserved", r"(?:copyright .{0,60})?all rights reserved", 0.6),
+    ("no-license", r"may not be (?:reproduced|copied|redistributed|used)(?: \w+){0,6} without(?: the)?(?: prior| express| written)* permission", 0.8),
+    ("non-commercial", r"(?:for )?non ?commercial (?:use|purposes|research)(?: only)?", 0.5),
+    ("ofl-1.1", r"scripts sil org ofl", 1.0),
+    ("python-2", r"python software foundation licen[sc]e", 0.9),
 )
 
 
@@ -162,17 +164,52 @@ BODIES = (
 class Rule:
     name: str
     label: str
-    keywords: tuple
+    keywords: tuple[frozenset, ...]
     pattern: re.Pattern
     score: float
 
 
+def _clauses(tree) -> list[frozenset]:
+    """Sets of strings, of each of which one occurs in whatever the parsed pattern matches."""
+    found, run = [], ""
+    for op, value in [*tree, (None, None)]:
+        if op is _constants.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        if op is _constants.SUBPATTERN:
+            found += _clauses(value[3])
+        elif op is _constants.MAX_REPEAT and value[0] > 0:
+            found += _clauses(value[2])
+        elif op is _constants.BRANCH:
+            each = [_best(_clauses(b)) for b in value[1]]
+            if all(each):
+                found.append(frozenset().union(*each))
+    return found
+
+
+def _best(clauses: list[frozenset]) -> frozenset:
+    """The clause whose shortest string is longest; empty if there is none."""
+    return max(clauses, key=lambda c: (min(map(len, c)), -len(c)), default=frozenset())
+
+
+def needed(pattern: str) -> frozenset:
+    """Strings of which one occurs in every match of the pattern."""
+    best = _best(_clauses(_parser.parse(pattern)))
+    if not best:
+        raise ValueError(f"nothing is needed by {pattern}")
+    return best
+
+
 def make_rules() -> list[Rule]:
     """All rules in order of priority: bodies and tags, then grants, then mere names; longer-named licenses first."""
-    rules = [Rule(f"body:{label}:{i}", label, (key,), re.compile(f"(?<= ){p}(?= )"), score) for i, (label, key, p, score) in enumerate(BODIES)]
-    for context, key, around, score in CONTEXTS:
-        for label, (own, names) in NAMES.items():
-            rules.append(Rule(f"{context}:{label}", label.removesuffix("-id"), (key, own), re.compile("(?<= )" + around.format(names) + "(?= )"), score))
+    rules = [Rule(f"body:{label}:{i}", label, (needed(p),), re.compile(f"(?<= ){p}(?= )"), score) for i, (label, p, score) in enumerate(BODIES)]
+    for context, around, score in CONTEXTS:
+        key = needed(around.format("."))
+        for label, names in NAMES.items():
+            rules.append(Rule(f"{context}:{label}", label.removesuffix("-id"), (key, needed(names)), re.compile("(?<= )" + around.format(names) + "(?= )"), score))
     return rules
 
 
@@ -182,11 +219,11 @@ class Scanner:
 
         self.rules, self.base = rules or make_rules(), [(label, f" {p} ".encode(), len(p.split())) for label, p in base]
         self.gate = ahocorasick.Automaton()
-        for key in {k for r in self.rules for k in r.keywords}:
+        for key in frozenset().union(*[c for r in self.rules for c in r.keywords]):
             self.gate.add_word(key, key)
         self.gate.make_automaton()
-        #: Every rule's first keyword is a key of a context or of a body; without any of these no rule applies.
-        self.first = [k.encode() for k in {r.keywords[0] for r in self.rules}]
+        #: Every rule's first set is that of a context or of a body; without any of these strings no rule applies.
+        self.first = [k.encode() for k in frozenset().union(*[r.keywords[0] for r in self.rules])]
 
     def scan(self, text: str) -> dict:
         words = text.encode("utf-8", "surrogatepass").lower().translate(_TABLE).split()
@@ -203,7 +240,7 @@ class Scanner:
             hit = {key for _, key in self.gate.iter(spaced)}
             spans: list[tuple] = []
             for rank, rule in enumerate(self.rules):
-                if hit.issuperset(rule.keywords):
+                if not any(c.isdisjoint(hit) for c in rule.keywords):
                     spans += [(rank, m.start(), m.end(), rule) for m in rule.pattern.finditer(spaced)]
             kept: list[tuple] = []
             for span in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):

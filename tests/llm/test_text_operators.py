@@ -115,6 +115,49 @@ def test_license_scan(spark):
     assert rows[4]["score"] == 0 and 0 < rows[7]["score"] <= 1 and len(licenses.make_rules()) >= 200
 
 
+def samples(tree):
+    """For a parsed pattern, strings that it matches, with each of its branches in one of them."""
+    from re import _constants as C
+
+    out = [""]
+    for op, value in tree:
+        if op is C.LITERAL:
+            each = [chr(value)]
+        elif op is C.ANY:
+            each = ["x"]
+        elif op is C.IN:
+            each = ["1" if item is C.CATEGORY and arg is C.CATEGORY_DIGIT else "w" if item is C.CATEGORY else chr(arg if item is C.LITERAL else arg[0]) for item, arg in value]
+        elif op is C.SUBPATTERN:
+            each = samples(value[3])
+        elif op is C.BRANCH:
+            each = [x for b in value[1] for x in samples(b)]
+        else:
+            assert op is C.MAX_REPEAT, op
+            each = [x * value[0] for x in samples(value[2])] if value[0] else ["", *samples(value[2])]
+        each = list(dict.fromkeys(each))
+        # each of the new ones with the first of the old, and each of the old with the first of the new
+        out = list(dict.fromkeys([out[0] + e for e in each] + [o + each[0] for o in out]))
+    return out
+
+
+def test_license_gate_accepts_what_rules_match():
+    from re import _parser
+
+    scanner, tried = licenses.Scanner(), 0
+    assert len({r.name for r in scanner.rules}) == len(scanner.rules)
+    for rule in scanner.rules:
+        for text in samples(_parser.parse(rule.pattern.pattern.removeprefix("(?<= )").removesuffix("(?= )"))):
+            line = f" {text} "
+            if rule.pattern.search(line):
+                tried += 1
+                hit = {key for _, key in scanner.gate.iter(line)}
+                assert any(k in line.encode() for k in scanner.first) and not any(c.isdisjoint(hit) for c in rule.keywords), (rule.name, text)
+    assert tried > 2 * len(scanner.rules)
+    for text, label in {"under the terms of the GNU Library General Public License version 2": "lgpl-2", "released under the BSL 1.0": "boost-1", "licensed by MIT": "mit", "licensed under the LGPL v2.1": "lgpl-2.1", "released through the PSF license": "python-2", "under the MIT X Consortium license": "x11", "licensed under ASL 2.0": "apache-2"}.items():
+        found = scanner.scan(text)
+        assert label in {d[0] for d in found["detections"]} and found["score"] > 0, (text, found)
+
+
 def test_fingerprint_pairs(spark, docs, tmp_path):
     rows = sorted((r["doc_id"] if r["doc_id"] is not None else -(2**63), r["text"] or "", r["doc_id"]) for r in docs.collect())
     out = digests.fingerprint_pairs(docs, ranges=5).collect()
