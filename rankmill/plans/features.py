@@ -121,6 +121,24 @@ def drug_evidence(df: DataFrame) -> DataFrame:
 # -- 3: families -----------------------------------------------------------------------------------------------------
 
 
+def annotated_domains(annotation: DataFrame) -> DataFrame:
+    """All InterPro and Pfam ids of each gene's annotation; ``identifiers`` shows only the first ones."""
+    last = annotation.groupBy("query").agg(F.max_by(F.struct("interpro", "pfam"), F.coalesce("seq", F.lit(0))).alias("a"))
+    many = F.when(F.trim("a.interpro").startswith("["), F.col("a.interpro")).otherwise(F.concat(F.lit("["), "a.interpro", F.lit("]")))
+    return last.select(F.col("query").alias("gene_symbol"), F.transform(F.from_json(many, "array<struct<id:string>>"), lambda e: e["id"]).alias("__interpro"), json_list("a.pfam").alias("__pfam"))
+
+
+def domain_entries(snapshot: DataFrame) -> DataFrame:
+    """All InterPro ids of each protein, from all its answers."""
+    return snapshot.groupBy("uniprot").agg(F.flatten(F.collect_list(F.transform("results", lambda r: r["metadata"]["accession"]))).alias("__entries"))
+
+
+def first_list(*lists: Column | str) -> Column:
+    """The first of the lists that has any values, without its nulls; else an empty one."""
+    some = [F.array_compact(F.coalesce(col(x), F.array().cast("array<string>"))) for x in lists]
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in some], F.array().cast("array<string>"))
+
+
 def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict], strict: bool = False) -> DataFrame:
     """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order.
 

@@ -29,15 +29,18 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
         df = attach(df, features.compound_activities(snap("compound_activities")), "gene_symbol", {"chembl_found": False})
         df = attach(df, features.known_drugs(snap("known_drugs")), "ensembl_gene_id", {"opentargets_found": False})
         df = features.drug_evidence(df)
-    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.max_by(F.struct("keywords", "comments", "proteinDescription"), F.coalesce(F.col("reviewed"), F.lit(False))).alias("entry"))
+    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.max_by(F.struct("keywords", "comments", "proteinDescription", "uniProtKBCrossReferences"), F.coalesce(F.col("reviewed"), F.lit(False))).alias("entry"))
     df = keep(df, "stage02")
     if until >= 3:
         words = F.transform("entry.keywords", lambda k: k["name"])
         about = lambda kind: F.get(F.filter("entry.comments", lambda c: c["commentType"] == kind), 0)["texts"][0]["value"]
         df = attach(df, entry, "gene_symbol").withColumns({"uniprot_protein_name": F.col("entry.proteinDescription.recommendedName.fullName.value"), "uniprot_function": about("FUNCTION"), "uniprot_protein_families": about("SIMILARITY"), "__words": words})
         text = F.concat_ws(" ", "uniprot_protein_name", "uniprot_function", "uniprot_protein_families", F.array_join("__words", " "))
-        ids = F.split(F.concat_ws("|", "interpro_domains", "pfam_domains"), r"\|")
-        df = features.classify_families(df, text, ids, families or {})
+        df = attach(df, features.annotated_domains(snap("gene_annotation")), "gene_symbol")
+        df = attach(df, features.domain_entries(snap("domain_entries")).withColumnRenamed("uniprot", "uniprot_swissprot"), "uniprot_swissprot")
+        pfam = F.transform(F.filter("entry.uniProtKBCrossReferences", lambda r: r["database"] == "Pfam"), lambda r: r["id"])
+        ids = F.concat(features.first_list("__entries", "__interpro"), features.first_list(pfam, "__pfam"))
+        df = features.classify_families(df, text, ids, families or {}).drop("__entries", "__interpro", "__pfam")
         df = df.withColumn("protein_class", features.protein_class("druggable_family_type", "__words")).drop("entry", "__words")
     df = keep(df, "stage03")
     if until >= 4:
