@@ -16,6 +16,45 @@ TISSUES = {
     "Nerve": ("Nerve",),
 }
 
+# Families in order: keywords, substrings of the protein's text, and its InterPro and Pfam ids.
+FAMILIES = {
+    "GPCR": {"keywords": ["g-protein coupled receptor", "gpcr", "7tm", "seven transmembrane", "rhodopsin", "secretin receptor", "metabotropic glutamate", "frizzled", "smoothened", "olfactory receptor"], "ids": ["IPR000276", "IPR017452", "IPR000832", "IPR001879", "PF00001", "PF00002", "PF00003"]},
+    "Kinase": {"keywords": ["kinase", "phosphotransferase", "protein kinase", "tyrosine kinase", "serine/threonine kinase", "receptor tyrosine kinase", "mapk", "cdk"], "ids": ["IPR000719", "IPR011009", "IPR017441", "IPR008271", "IPR020635", "PF00069", "PF07714"]},
+    "Ion Channel": {"keywords": ["ion channel", "voltage-gated", "ligand-gated", "potassium channel", "sodium channel", "calcium channel", "chloride channel", "transient receptor potential", "trp channel", "aquaporin", "ionotropic receptor", "nicotinic receptor"], "ids": ["IPR005821", "IPR006029", "IPR006078", "IPR001622", "IPR002394", "PF00520", "PF00027", "PF00060"]},
+    "Nuclear Receptor": {"keywords": ["nuclear receptor", "nuclear hormone receptor", "steroid receptor", "thyroid hormone receptor", "retinoic acid receptor", "peroxisome proliferator", "estrogen receptor", "androgen receptor", "glucocorticoid receptor"], "ids": ["IPR001628", "IPR008946", "IPR000536", "PF00104", "PF00105"]},
+    "Protease": {"keywords": ["protease", "peptidase", "proteinase", "metalloprotease", "serine protease", "cysteine protease", "aspartic protease", "threonine protease", "matrix metalloproteinase", "mmp", "cathepsin", "caspase", "thrombin", "factor xa"], "ids": ["IPR001254", "IPR001969", "IPR001563", "IPR015500", "IPR029058", "PF00089", "PF00413", "PF00082", "PF00112"]},
+    "Phosphatase": {"keywords": ["phosphatase", "protein phosphatase", "tyrosine phosphatase", "serine/threonine phosphatase", "dual specificity phosphatase", "ptp", "protein tyrosine phosphatase"], "ids": ["IPR000340", "IPR016130", "IPR000387", "IPR029021", "PF00102", "PF00481"]},
+    "Transporter": {"keywords": ["transporter", "solute carrier", "abc transporter", "sodium-dependent", "glucose transporter", "amino acid transporter", "neurotransmitter transporter", "drug transporter"], "ids": ["IPR011527", "IPR001757", "IPR003439", "IPR001066", "PF00005", "PF00664"]},
+    "E3 Ubiquitin Ligase": {"keywords": ["e3 ubiquitin ligase", "ubiquitin ligase", "ring finger", "hect domain", "cullin", "f-box", "scf complex", "proteasome", "ubiquitination", "protein degradation"], "ids": ["IPR001841", "IPR013083", "IPR003613", "IPR001810", "IPR019474", "PF00097", "PF12678", "PF00646", "PF13639"]},
+    "Deubiquitinase": {"keywords": ["deubiquitinase", "deubiquitinating enzyme", "dub", "ubiquitin-specific protease", "usp", "ubiquitin thioesterase", "ubiquitin carboxyl-terminal hydrolase"], "ids": ["IPR001394", "IPR028889", "IPR018200", "PF00443", "PF02338"]},
+    "Histone Methyltransferase": {"keywords": ["histone methyltransferase", "histone-lysine methyltransferase", "set domain", "hmt", "lysine methyltransferase", "dot1"], "ids": ["IPR001214", "IPR003616", "IPR013128", "PF00856"]},
+    "Histone Demethylase": {"keywords": ["histone demethylase", "lysine demethylase", "kdm", "jmjc domain", "jumonji"], "ids": ["IPR003347", "IPR013129", "PF02373"]},
+    "Histone Acetyltransferase": {"keywords": ["histone acetyltransferase", "hat", "acetyltransferase", "lysine acetyltransferase", "kat", "gcn5", "pcaf"], "ids": ["IPR000182", "IPR016181", "PF00583"]},
+    "Histone Deacetylase": {"keywords": ["histone deacetylase", "hdac", "deacetylase", "sirtuin", "class i hdac", "class ii hdac"], "ids": ["IPR000286", "IPR003000", "PF00850"]},
+    "Bromodomain Protein": {"keywords": ["bromodomain", "bet protein", "brd2", "brd3", "brd4", "acetyl-lysine binding", "chromatin reader"], "ids": ["IPR001487", "PF00439"]},
+    "Chromodomain Protein": {"keywords": ["chromodomain", "heterochromatin protein", "hp1", "methyl-lysine binding", "chromatin reader"], "ids": ["IPR000953", "PF00385"]},
+    "DNA Methyltransferase": {"keywords": ["dna methyltransferase", "dnmt", "cytosine methyltransferase", "dna methylation"], "ids": ["IPR001525", "IPR018117", "PF00145"]},
+    "Tubulin": {"keywords": ["tubulin", "alpha-tubulin", "beta-tubulin", "microtubule", "gamma-tubulin"], "ids": ["IPR000217", "IPR003008", "PF00091", "PF03953"]},
+    "Actin": {"keywords": ["actin", "alpha-actin", "beta-actin", "gamma-actin", "cytoskeletal protein", "microfilament"], "ids": ["IPR004000", "PF00022"]},
+    "Motor Protein": {"keywords": ["kinesin", "dynein", "myosin", "motor protein", "microtubule motor", "molecular motor"], "ids": ["IPR001752", "IPR027417", "IPR001609", "PF00225", "PF00063"]},
+    "Immune Checkpoint": {"keywords": ["pd-1", "pd-l1", "ctla-4", "cd274", "pdcd1", "lag-3", "tim-3", "b7", "immune checkpoint", "programmed death", "cytotoxic t-lymphocyte"], "ids": ["IPR003599", "IPR013783", "PF00047"]},
+    "Cytokine Receptor": {"keywords": ["cytokine receptor", "interleukin receptor", "interferon receptor", "tnf receptor", "chemokine receptor", "colony stimulating factor receptor"], "ids": ["IPR003531", "IPR001859", "IPR003033", "PF00019", "PF01030"]},
+    "T-cell Receptor": {"keywords": ["t-cell receptor", "tcr", "t cell antigen receptor", "cd3", "cd4", "cd8"], "ids": ["IPR003599", "IPR007110", "PF00047"]},
+    "Chaperone": {"keywords": ["heat shock protein", "hsp90", "hsp70", "hsp60", "chaperone", "chaperonin", "protein folding"], "ids": ["IPR001404", "IPR029047", "IPR013126", "PF00012", "PF00183"]},
+    "Cyclooxygenase": {"keywords": ["cyclooxygenase", "cox-1", "cox-2", "prostaglandin", "prostaglandin-endoperoxide synthase", "ptgs"], "ids": ["IPR000898", "PF00008"]},
+    "Lipid Kinase": {"keywords": ["phosphatidylinositol 3-kinase", "pi3k", "pi3-kinase", "lipid kinase", "phosphoinositide kinase"], "ids": ["IPR000403", "IPR015433", "PF00454"]},
+    "GTPase": {"keywords": ["gtpase", "ras protein", "ras gtpase", "rho gtpase", "rab protein", "ran protein", "small gtpase"], "ids": ["IPR001806", "IPR005225", "IPR027417", "PF00071"]},
+    "Integrin": {"keywords": ["integrin", "cell adhesion", "extracellular matrix receptor", "integrin alpha", "integrin beta"], "ids": ["IPR013517", "IPR002369", "PF00357", "PF08441"]},
+    "Metalloenzyme": {"keywords": ["metalloenzyme", "zinc finger", "zinc-binding", "carbonic anhydrase", "alcohol dehydrogenase"], "ids": ["IPR001353", "IPR013149", "IPR013154", "PF00107", "PF00096"]},
+    "Transcription Factor": {"keywords": ["transcription factor", "dna-binding", "helix-turn-helix", "zinc finger transcription", "homeobox", "leucine zipper"], "ids": ["IPR001356", "IPR009057", "IPR017970", "PF00010", "PF00046"]},
+    "Oxidoreductase": {"keywords": ["oxidoreductase", "dehydrogenase", "oxidase", "reductase", "peroxidase", "monooxygenase", "dioxygenase"], "ids": ["IPR016040", "IPR001327"]},
+    "Transferase": {"keywords": ["transferase", "methyltransferase", "glycosyltransferase", "acyltransferase", "aminotransferase"], "ids": ["IPR016461"]},
+    "Hydrolase": {"keywords": ["hydrolase", "esterase", "lipase", "amidase", "glycosidase", "nuclease"], "ids": []},
+    "Lyase": {"keywords": ["lyase", "decarboxylase", "aldolase", "synthase"], "ids": []},
+    "Isomerase": {"keywords": ["isomerase", "racemase", "epimerase", "mutase"], "ids": []},
+    "Ligase": {"keywords": ["ligase", "synthetase", "carboxylase", "dna ligase"], "ids": []},
+}
+
 # Partners that count as drug targets, by family.
 DRUG_TARGETS = {
     "GPCRs": ("HTR1A", "HTR1B", "HTR1D", "HTR1F", "HTR2A", "HTR2C", "ADRA1A", "ADRA2A", "DRD2", "DRD3"),

@@ -139,12 +139,14 @@ def first_list(*lists: Column | str) -> Column:
     return F.coalesce(*[F.when(F.size(x) > 0, x) for x in some], F.array().cast("array<string>"))
 
 
-def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict], strict: bool = False) -> DataFrame:
-    """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order.
+def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict] | None = None, strict: bool = False) -> DataFrame:
+    """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order;
+    those of ``rules.FAMILIES`` unless given.
 
     Keywords are substrings of the text in lower case, or whole words if ``strict``. Every family that is hit counts, and
     its hits are evidence. The rules stay one expression: no row is multiplied by rules.
     """
+    families = rules.FAMILIES if families is None else families
     low = F.lower(text)
     found = lambda k: low.rlike(rf"\b\Q{k}\E\b") if strict else low.contains(k)
     by = []
@@ -152,7 +154,7 @@ def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[s
         words = F.array_compact(F.array(*[F.when(found(k.lower()), F.lit(f"keyword:{k}")) for k in rule.get("keywords", [])])) if rule.get("keywords") else F.array().cast("array<string>")
         domains = F.transform(F.array_intersect(ids, F.array(*map(F.lit, rule["ids"]))), lambda i: F.concat(F.lit("domain:"), i)) if rule.get("ids") else F.array().cast("array<string>")
         by.append(F.struct(F.lit(name).alias("family"), F.concat(F.coalesce(words, F.array().cast("array<string>")), F.coalesce(domains, F.array().cast("array<string>"))).alias("evidence")))
-    hit = F.filter(F.array(*by), lambda f: F.size(f["evidence"]) > 0)
+    hit = F.filter(F.array(*by).cast("array<struct<family:string,evidence:array<string>>>"), lambda f: F.size(f["evidence"]) > 0)
     out = df.withColumn("__hit", hit)
     evidence = F.flatten(F.transform("__hit", lambda f: f["evidence"]))
     return out.withColumns({

@@ -17,7 +17,8 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
     """Stages 1 to ``until`` over the snapshots under ``root``; genes has gene_symbol.
 
     Each stage's table is kept under ``stages`` (see ``stage_store``). Pockets (gene_symbol and the
-    pocket numbers), sequences and confidence come from their readers, where there are any.
+    pocket numbers), sequences and confidence come from their readers, where there are any. Families are
+    those of ``rules.FAMILIES`` unless others are given.
     """
     snap = lambda name: read_snapshot(spark, root, name)
     keep = stage_store(spark, stages)
@@ -40,7 +41,7 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
         df = attach(df, features.domain_entries(snap("domain_entries")).withColumnRenamed("uniprot", "uniprot_swissprot"), "uniprot_swissprot")
         pfam = F.transform(F.filter("entry.uniProtKBCrossReferences", lambda r: r["database"] == "Pfam"), lambda r: r["id"])
         ids = F.concat(features.first_list("__entries", "__interpro"), features.first_list(pfam, "__pfam"))
-        df = features.classify_families(df, text, ids, families or {}).drop("__entries", "__interpro", "__pfam")
+        df = features.classify_families(df, text, ids, families).drop("__entries", "__interpro", "__pfam")
         df = df.withColumn("protein_class", features.protein_class("druggable_family_type", "__words")).drop("entry", "__words")
     df = keep(df, "stage03")
     if until >= 4:

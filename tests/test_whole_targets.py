@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from rankmill.functions import rules
 from rankmill.plans import targets
 from rankmill.sources.snapshots import SCHEMAS
 
@@ -34,3 +35,15 @@ def test_all_domain_ids_classify(run):
     assert {g: (r["druggable_family_type"], r["druggable_family_confidence"]) for g, r in out.items()} == {"ENTRY": ("X", "LOW"), "XREF": ("X", "LOW"), "LATE": ("X", "MEDIUM"), "NONE": ("", "NONE")}
     assert len(out["LATE"]["interpro_domains"].split("|")) == 10
     assert not [c for c in out["LATE"] if c.startswith("__")]
+
+
+def test_families_by_default(run):
+    rows = {
+        "gene_annotation": [{"query": "A", "uniprot": "U1", "pfam": "PF00439"}, {"query": "B", "uniprot": "U2"}, {"query": "C", "uniprot": "U3"}],
+        "protein_entry": [{"gene": "B", "reviewed": True, "primaryAccession": "U2", "keywords": [{"name": "Tyrosine kinase"}]}],
+    }
+    out = run(rows, 3)
+    assert len(rules.FAMILIES) == 35
+    assert (out["A"]["druggable_family_type"], out["A"]["druggable_family_confidence"]) == ("Bromodomain Protein", "LOW")
+    assert (out["B"]["druggable_family_type"], out["B"]["druggable_family_confidence"], out["C"]["is_druggable_family"]) == ("Kinase", "MEDIUM", False)
+    assert not any(r["is_druggable_family"] for r in run(rows, 3, families={}).values())
