@@ -55,6 +55,9 @@ FAMILIES = {
     "Ligase": {"keywords": ["ligase", "synthetase", "carboxylase", "dna ligase"], "ids": []},
 }
 
+# Categories of terms that are pathways.
+PATHWAYS = ("KEGG", "Reactome", "WikiPathways")
+
 # Partners that count as drug targets, by family.
 DRUG_TARGETS = {
     "GPCRs": ("HTR1A", "HTR1B", "HTR1D", "HTR1F", "HTR2A", "HTR2C", "ADRA1A", "ADRA2A", "DRD2", "DRD3"),

@@ -334,7 +334,10 @@ def development(snapshot: DataFrame) -> DataFrame:
 
 
 def network(edges: DataFrame, enrichment: DataFrame, most: int = 20, sure: float = 700.0) -> DataFrame:
-    """Partners, drug targets among them, and terms; the scores follow. Edges are cut to ``most`` per gene by score."""
+    """Partners, drug targets among them, and terms; the scores follow. Edges are cut to ``most`` per gene by score.
+
+    Of pathways and processes the first three count, in the order of the answer (``seq``); those without one come last.
+    """
     edges = edges.select(F.col("gene").alias("gene_symbol"), F.coalesce("preferredName_B", "stringId_B").alias("partner"), F.coalesce("score", F.lit(0.0)).alias("score"))
     family = ladder(*[(F.col("partner").isin(list(v)), k) for k, v in rules.DRUG_TARGETS.items()])
     top = top_k(edges, ["gene_symbol"], [F.desc("score"), F.col("partner")], most).withColumn("family", family)
@@ -342,8 +345,10 @@ def network(edges: DataFrame, enrichment: DataFrame, most: int = 20, sure: float
     targets = F.filter("p", lambda x: x["family"].isNotNull())
     name = lambda a, f="partner": F.transform(a, lambda x: x[f])
     kinds = F.array_distinct(name(targets, "family"))
-    terms = enrichment.withColumn("kind", F.when(F.col("category") == "Process", "process").otherwise("pathway")).select(F.col("gene").alias("gene_symbol"), "kind", F.coalesce("description", "term").alias("text"))
-    first = top_k(terms, ["gene_symbol", "kind"], [F.col("text")], 3).groupBy("gene_symbol").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("text")))).alias(k) for k in ("pathway", "process")])
+    kind = F.when(F.col("category") == "Process", "process").when(F.col("category").isin(list(rules.PATHWAYS)), "pathway")
+    terms = enrichment.select(F.col("gene").alias("gene_symbol"), kind.alias("kind"), "seq", F.coalesce("description", "term", F.lit("")).alias("text")).where("kind IS NOT NULL")
+    ranked = top_k(terms, ["gene_symbol", "kind"], [F.asc_nulls_last("seq"), F.col("text")], 3)
+    first = ranked.groupBy("gene_symbol").agg(*[name(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "text")))), "text").alias(k) for k in ("pathway", "process")])
     none = F.array().cast("array<string>")
     out = rows.join(first, "gene_symbol", "full").withColumns({"pathway": F.coalesce("pathway", none), "process": F.coalesce("process", none), "known": F.col("p").isNotNull(), "targets": targets, "kinds": kinds})
     out = out.fillna(0, ["Step10_Total_Interactions", "Step10_High_Confidence_Interactions", "Step10_Drug_Target_Interactions"])

@@ -27,7 +27,7 @@ SCHEMAS = {
     "disorder": "uniprot string, length int, regions array<struct<start:int,end:int>>",
     "target_level": "sym string, name string, tdl string, fam string, description string, novelty double",
     "network_edges": "gene string, preferredName_B string, stringId_B string, score double",
-    "enrichment": "gene string, category string, description string, term string",
+    "enrichment": "gene string, seq long, category string, description string, term string",
     "literature": "gene string, count int, papers array<struct<pmid:string,title:string,pubdate:string>>",
     "trials": "gene string, studies array<struct<nctId:string,briefTitle:string,overallStatus:string,phase:string>>",
 }

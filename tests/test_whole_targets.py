@@ -47,3 +47,15 @@ def test_families_by_default(run):
     assert (out["A"]["druggable_family_type"], out["A"]["druggable_family_confidence"]) == ("Bromodomain Protein", "LOW")
     assert (out["B"]["druggable_family_type"], out["B"]["druggable_family_confidence"], out["C"]["is_druggable_family"]) == ("Kinase", "MEDIUM", False)
     assert not any(r["is_druggable_family"] for r in run(rows, 3, families={}).values())
+
+
+def test_pathways_are_the_first_three_of_their_categories(run):
+    answer = [("Component", "aaa"), ("Reactome", "zinc"), ("PMID", "aab"), ("KEGG", "yeast"), ("Process", "p9"), ("Keyword", "aac"), ("WikiPathways", "xeno"), ("KEGG", "alpha"), ("Function", "aad"), ("Process", "p8"), ("Process", "p7"), ("Process", "p1")]
+    rows = {
+        "gene_annotation": [{"query": "A"}, {"query": "B"}],
+        "network_edges": [{"gene": g, "preferredName_B": "AKT1", "score": 900} for g in "AB"],
+        "enrichment": [{"gene": "A", "seq": i, "category": c, "description": d} for i, (c, d) in reversed(list(enumerate(answer)))] + [{"gene": "B", "seq": 1, "category": "Component", "description": "aaa"}],
+    }
+    out = run(rows, 10)
+    assert (out["A"]["Step10_Pathways"], out["A"]["Step10_Biological_Processes"]) == ("zinc; yeast; xeno", "p9; p8; p7")
+    assert (out["B"]["Step10_Pathways"], out["B"]["Step10_Pathway_Relevance_Score"], out["B"]["Step10_Pathway_Summary"]) == ("", 2, "No pathway data")
