@@ -110,5 +110,13 @@ FALSE_POSITIVES = {"BDNF": "Neurotrophin - drugs modulate levels, do not target
 ONLY_BIOLOGIC_WORDS = ("antibody", "antibodies", "mab", "umab", "immunoglobulin", "protein", "peptide")
 BIOLOGIC_DRUG_WORDS = ("antibody", "protein", "peptide")
 
+# Combinations by words in a pathway's name, and synthetic lethality by a word in the family; the first that applies.
+PATHWAY_COMBINATIONS = (
+    (("inflammation",), "Anti-inflammatory combination (e.g., with NSAIDs or biologics)"),
+    (("serotonin",), "Serotonergic modulation combination (e.g., with triptans or SSRIs)"),
+    (("calcium", "ion"), "Ion channel modulation (e.g., with calcium channel blockers)"),
+)
+SYNTHETIC_LETHALITY = (("GPCR", "GPCR desensitization pathway components (GRKs, arrestins)"), ("Kinase", "Synthetic lethality with phosphatase inhibitors"), ("Enzyme", "Metabolic compensation pathway targets"))
+
 # Strings that stand for nothing after a round trip through CSV.
 EMPTY_MARKS = ("", "N/A", "NA", "NaN", "nan", "null", "None", "n/a", "NULL", "<NA>", "#N/A")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankmill.functions import rules
 from rankmill.functions.columns import bands, has_any, ladder, lines, optional
 from rankmill.operators import metrics
 
@@ -31,6 +32,22 @@ def truth(df: DataFrame) -> DataFrame:
     return out.withColumns({"Step12_SM_Is_Druggable": (F.col("Step12_SM_Literature_Score") >= 70).cast("int"), "Step12_Bio_Is_Druggable": (F.col("Step12_Bio_Literature_Score") >= 70).cast("int")})
 
 
+def combinations(df: DataFrame) -> tuple[Column, Column, Column]:
+    """Strategies, combinations by pathway and synthetic lethality, as arrays. Only drug-target partners give strategies."""
+    text = lambda c: optional(df, c, "", "string")
+    first = lambda c, n: F.slice(F.transform(F.split(text(c), ";"), lambda p: F.trim(p)), 1, n)
+    some = optional(df, "Step10_Drug_Target_Interactions", 0, "long") > 0
+    partners, kinds = "Step10_Drug_Target_Partners", "Step10_Drug_Target_Families"
+    strategies = lines(
+        F.when(some & (text(partners) != ""), F.concat(F.lit("Polypharmacology: Target alongside "), F.array_join(first(partners, 3), ", "))),
+        F.when(some & (text(kinds) != ""), F.concat(F.lit("Multi-target approach within "), F.array_join(first(kinds, 2), ", "), F.lit(" pathways"))),
+        F.when(some, F.lit("Sequential dosing to minimize resistance")),
+    )
+    routes = F.array_compact(F.transform(first("Step10_Pathways", 3), lambda p: ladder(*[(has_any(p, words), way) for words, way in rules.PATHWAY_COMBINATIONS])))
+    lethal = lines(ladder(*[(text("druggable_family_type").contains(word), way) for word, way in rules.SYNTHETIC_LETHALITY]))
+    return strategies, routes, lethal
+
+
 def validate(df: DataFrame, found: DataFrame) -> DataFrame:
     """Truth for all, and for genes of high priority the evidence, tool compounds and validation level."""
     out = truth(df).join(found, "gene_symbol", "left")
@@ -41,11 +58,12 @@ def validate(df: DataFrame, found: DataFrame) -> DataFrame:
     approved, bioactive, total = (optional(df, c, 0, "long") for c in ("dgidb_num_approved", "chembl_bioactive_compounds", "chembl_total_compounds"))
     tools = asked & ((approved > 0) | (bioactive > 0))
     partners = optional(df, "Step10_Drug_Target_Interactions", 0, "long")
-    ways = lines(F.when(approved > 0, F.lit("Combine with approved drugs")), F.when(partners >= 2, F.lit("Co-target drug-target partners")), F.when(optional(df, "Step10_Network_Hub", False, "boolean"), F.lit("Modulate hub neighbours")))
+    strategies, routes, lethal = combinations(df)
     out = out.withColumns({
         "Step12_Has_Tool_Compounds": tools, "Step12_Tool_Compound_Count": F.when(asked, approved + bioactive).otherwise(0),
         "Step12_Probe_Quality": ladder((~asked, "Not assessed"), (approved > 0, "Excellent - Approved drugs available"), (bioactive >= 10, "Good - Multiple bioactive compounds"), (bioactive > 0, "Moderate - Limited compounds"), (total > 0, "Poor - Only screening compounds"), default="None - No compounds available"),
-        "Step12_Combination_Strategies": F.when(asked, F.array_join(ways, "; ")).otherwise(""), "Step12_Has_Combination_Potential": asked & (F.size(ways) > 0),
+        "Step12_Combination_Strategies": F.when(asked, F.array_join(F.slice(strategies, 1, 3), "; ")).otherwise(""), "Step12_Has_Combination_Potential": asked & (partners > 0),
+        "Step12_Synthetic_Lethality": F.when(asked, F.array_join(F.slice(lethal, 1, 2), "; ")).otherwise(""), "Step12_Pathway_Combinations": F.when(asked, F.array_join(F.slice(routes, 1, 2), "; ")).otherwise(""),
     })
     points = lambda c, n: F.col(c).cast("int") * n
     out = out.withColumn("Step12_Validation_Score", points("Step12_Has_Literature_Evidence", 3) + points("Step12_Has_Clinical_Trials", 3) + points("Step12_Has_Tool_Compounds", 2) + points("Step12_Has_Combination_Potential", 2))

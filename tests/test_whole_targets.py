@@ -3,7 +3,7 @@ import json
 import pytest
 
 from rankmill.functions import rules
-from rankmill.plans import targets
+from rankmill.plans import targets, validation
 from rankmill.sources.snapshots import SCHEMAS
 
 MANY = [{"metadata": {"accession": f"IPR9{i:05d}"}} for i in range(12)]
@@ -59,3 +59,20 @@ def test_pathways_are_the_first_three_of_their_categories(run):
     out = run(rows, 10)
     assert (out["A"]["Step10_Pathways"], out["A"]["Step10_Biological_Processes"]) == ("zinc; yeast; xeno", "p9; p8; p7")
     assert (out["B"]["Step10_Pathways"], out["B"]["Step10_Pathway_Relevance_Score"], out["B"]["Step10_Pathway_Summary"]) == ("", 2, "No pathway data")
+
+
+def test_combinations(spark):
+    schema = "gene_symbol string, Step11_Priority string, Step10_Drug_Target_Interactions int, Step10_Drug_Target_Partners string, Step10_Drug_Target_Families string, Step10_Pathways string, druggable_family_type string, dgidb_num_approved int, Step10_Network_Hub boolean"
+    high = "High Priority"
+    rows = [("A", high, 1, "AKT1", "Kinases", "Neuroinflammation; Serotonin release; Ion transport", "Enzyme|Kinase", 0, False), ("B", high, 0, "", "", "Calcium signalling", "GPCR", 5, True), ("C", "Medium Priority", 4, "AKT1", "Kinases", "Calcium", "GPCR", 0, False), ("D", high, None, None, None, None, None, 0, False)]
+    df = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "gene_symbol string, Step12_Literature_Publications int, Step12_Total_Clinical_Trials int, Step12_Active_Trials int, Step12_Recruiting_Trials int, Step12_Has_Literature_Evidence boolean, Step12_Has_Clinical_Trials boolean")
+    out = {r["gene_symbol"]: r for r in validation.validate(df, none).collect()}
+    a, b = out["A"], out["B"]
+    assert a["Step12_Combination_Strategies"] == "Polypharmacology: Target alongside AKT1; Multi-target approach within Kinases pathways; Sequential dosing to minimize resistance"
+    assert a["Step12_Pathway_Combinations"] == "Anti-inflammatory combination (e.g., with NSAIDs or biologics); Serotonergic modulation combination (e.g., with triptans or SSRIs)"
+    assert a["Step12_Synthetic_Lethality"] == "Synthetic lethality with phosphatase inhibitors" and a["Step12_Validation_Score"] == 2
+    assert (b["Step12_Has_Combination_Potential"], b["Step12_Combination_Strategies"], b["Step12_Validation_Score"]) == (False, "", 2)
+    assert b["Step12_Pathway_Combinations"].startswith("Ion channel") and b["Step12_Synthetic_Lethality"].startswith("GPCR desensitization")
+    for gene in "CD":
+        assert [out[gene][f"Step12_{c}"] for c in ("Has_Combination_Potential", "Combination_Strategies", "Pathway_Combinations", "Synthetic_Lethality")] == [False, "", "", ""]
