@@ -13,12 +13,12 @@ from rankmill.sources.snapshots import read_snapshot
 LAST = 12
 
 
-def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
+def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, census: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
     """Stages 1 to ``until`` over the snapshots under ``root``; genes has gene_symbol.
 
     Each stage's table is kept under ``stages`` (see ``stage_store``). Pockets (gene_symbol and the
     pocket numbers), sequences and confidence come from their readers, where there are any. Families are
-    those of ``rules.FAMILIES`` unless others are given.
+    those of ``rules.FAMILIES`` unless others are given. The census is that of ``pocket_census``.
     """
     snap = lambda name: read_snapshot(spark, root, name)
     keep = stage_store(spark, stages)
@@ -54,6 +54,9 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
     if until >= 6:
         places, sides = features.locations("entry.comments")
         seen = entry.select("gene_symbol", F.array_join(places, "; ").alias("Step6_Subcellular_Location"), F.array_join(sides, "; ").alias("Step6_Topology"))
+        counted = {"Step6_Total_Pockets": 0, "Step6_PDB_Structures": 0, "Step6_Avg_Pockets_Per_Structure": 0.0}
+        held = census if census is not None else spark.createDataFrame([], "gene string, Step6_Total_Pockets long, Step6_PDB_Structures long, Step6_Avg_Pockets_Per_Structure double")
+        df = attach(df, held.select(F.col("gene").alias("gene_symbol"), *counted), "gene_symbol", counted)
         df = features.accessibility(attach(df, seen, "gene_symbol", {"Step6_Subcellular_Location": location_default, "Step6_Topology": ""}))
     df = keep(df, "stage06")
     if until >= 7:

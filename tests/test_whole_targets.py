@@ -4,7 +4,7 @@ import pytest
 
 from rankmill.functions import rules
 from rankmill.plans import targets, validation
-from rankmill.sources.snapshots import SCHEMAS
+from rankmill.sources.snapshots import SCHEMAS, pocket_census
 
 MANY = [{"metadata": {"accession": f"IPR9{i:05d}"}} for i in range(12)]
 
@@ -76,3 +76,11 @@ def test_combinations(spark):
     assert b["Step12_Pathway_Combinations"].startswith("Ion channel") and b["Step12_Synthetic_Lethality"].startswith("GPCR desensitization")
     for gene in "CD":
         assert [out[gene][f"Step12_{c}"] for c in ("Has_Combination_Potential", "Combination_Strategies", "Pathway_Combinations", "Synthetic_Lethality")] == [False, "", "", ""]
+
+
+def test_census_of_pockets(spark, run):
+    paths = [(f"/x/binding_pockets/A/{s}_out/pockets/pocket{k}_atm.pdb",) for s, k in (("a", 1), ("a", 2), ("b", 1))]
+    rows = {"gene_annotation": [{"query": "A"}, {"query": "B"}]}
+    for census, a in ((pocket_census(spark.createDataFrame(paths, "path string")), (3, 2, 1.5)), (None, (0, 0, 0.0))):
+        out = run(rows, 6, census=census)
+        assert [tuple(out[g][f"Step6_{c}"] for c in ("Total_Pockets", "PDB_Structures", "Avg_Pockets_Per_Structure")) for g in "AB"] == [a, (0, 0, 0.0)]
