@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: While a scratch table is written: its shuffle files go as soon as it is there.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of this session have about so many bytes at most, if they may have more now: memory follows them, on both sides."""
+    held = spark.conf.get(_BATCH, "64m").lower()
+    number = held.rstrip("bkmgt")
+    unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[held[len(number) :][:1]]
+    if not 0 < int(number) * unit <= most:
+        spark.conf.set(_BATCH, str(most))
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """The session with these settings, and then with those it had."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables written to the shared folder; they cut the lineage, and lost executors don't lose them."""
 
@@ -46,7 +75,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        with settings(self.spark, _WRITING):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -71,6 +101,21 @@ class Memo(dict):
             self.clear()
 
 
+def no_cycles(function):
+    """A function over batches that makes many objects and no cycles among them; the collector rests while it runs."""
+
+    def run(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from function(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
+
+
 def slices(batches, rows: int = 256):
     """Record batches in runs of a few rows, so that long texts don't pile up."""
     for batch in batches:

@@ -5,10 +5,12 @@ c(a, b) = ceil(num * (a + b) / (num + den)).
 
 Light: sets up to a boundary enumerate their subsets of each size c(a, b) that a partner can ask for; two such sets link
 exactly if they share one. Heavy: larger sets (and those light ones that a larger set can reach) are posted in inverted
-lists, which are then scanned. A list is keyed by the run of a set's shingles in one of m hash ranges, where m is more
-than the most shingles in which two linked sets of that size class can differ, so linked sets meet in a list. A run has
-some five to ten shingles, so that a passage shared by a third of all documents makes no long lists, as a single
-shingle's would. The boundary is where enumerating costs more than posting and scanning.
+lists, which are then scanned. There is a list for each shingle and class of sizes, and a set is posted in those of its
+rarest shingles only: in one order of all shingles two linked sets of sizes a and b share one of their first a - c + 1
+and b - c + 1. The order is by how often a shingle's bucket occurs in all documents, counted in a table of fixed size, and
+then by hash; any order gives the same links, and this one keeps passages that very many documents share out of the
+lists. The boundary is that of least cost over the sizes that the documents have: a subset costs one, a posting one more than
+the length of a list, which is estimated from the table's counts.
 
 In a list every member is first compared with the list's leader, its member that shares most lists; linked members are
 merged into components. Lists whose members are then in one component are done, and of those with the same members one
@@ -30,7 +32,6 @@ further columns are ignored; texts of any length are taken whole.
 
 from __future__ import annotations
 
-import gc
 import itertools
 import math
 
@@ -41,9 +42,12 @@ from pyspark.sql import functions as F
 
 from rankmill.llm import bpe, common, shingles
 
-SCAN_COST = 3.0  # of a posting in an inverted list, against that of a subset
 MOST_LIGHT = 64
-BLOCK = 512  # members of a list that one task compares with as many others
+BITS = 20  # 2 ** BITS buckets of the table of counts
+STEPS = 2048  # its counts are kept as logarithms, with so many steps to a doubling
+AT_ONCE = 2_000_000  # bytes of text whose sets are held at once
+BLOCK = 512  # members of a list that one task compares with as many others, and the most bytes of their sketches
+BLOCK_BYTES = 8_000_000
 MEMBERS = 2048  # most sets in a block of those whose links are counted, and about the most elements in it
 ELEMENTS = 1_000_000
 WIDE = 4096  # elements in one product of such blocks
@@ -53,11 +57,20 @@ _ALL = (1 << 64) - 1
 class Scheme:
     """What each size posts, for one similarity num / den."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, light: int = 0):
+        self.num, self.den, self.light = num, den, light
         self.first = [1]  # the smallest size of each class
-        self.known: dict[int, tuple[int, int]] = {}
-        self.light = self._boundary()
+
+    @classmethod
+    def fitted(cls, num: int, den: int, sizes: np.ndarray, scan: float) -> Scheme:
+        """With the boundary of least cost, where so many sets have each size, and a list so many members."""
+        some, scheme = np.flatnonzero(sizes[: MOST_LIGHT + 1]).tolist(), cls(num, den)
+
+        def cost(light: int) -> float:
+            return sum(float(sizes[a]) * scheme.cost(a, light, scan) for a in some if a)
+
+        scheme.light = min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
+        return scheme
 
     def overlap(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
@@ -74,44 +87,32 @@ class Scheme:
             self.first.append(self.most(self.first[-1]) + 1)
         return int(np.searchsorted(self.first, a, side="right")) - 1
 
-    def ranges(self, k: int) -> tuple[int, int]:
-        """Hash ranges of class k, and how many of them may be empty in a set that doesn't post those."""
-        if k in self.known:
-            return self.known[k]
-        while len(self.first) <= k:
-            self.size_class(self.first[-1])
-        low = self.first[k]
-        high = self.most(low)
-        both = range(max(2, 2 * high - 2 * (self.num + self.den)), 2 * high + 1)  # sums of two sizes; beyond, the excess only falls
-        differ = max(x - 2 * self.overlap(x, 0) for x in both)
-        spare = 1 + math.ceil(2 * differ * math.exp(-low / max(1, differ)))
-        self.known[k] = differ + 1 + spare, spare
-        return self.known[k]
-
     def subsets(self, a: int, light: int) -> set[int]:
         """Sizes of the subsets that a light set of size a enumerates; for equal sets nothing is needed."""
         return {self.overlap(a, b) for b in range(max(1, self.least(a)), min(self.most(a), light) + 1) if not self.overlap(a, b) == a == b and self.overlap(a, b) <= min(a, b)}
 
-    def classes(self, a: int, light: int) -> list[int]:
-        """Classes in whose lists a set of size a is posted."""
+    def lists(self, a: int, light: int) -> list[tuple[int, int]]:
+        """Classes in whose lists a set of size a is posted, and for how many of its rarest shingles."""
         k = self.size_class(a)
-        self.size_class(self.first[k + 1])
-        own = [k] if a > light or self.first[k + 1] - 1 > light and self.most(a) > light else []
-        return own + ([k + 1] if self.most(a) >= self.first[k + 1] and self.most(a) > light else [])
+        self.size_class(self.first[k])
+        while len(self.first) < k + 2:
+            self.size_class(self.first[-1])
+        beyond, out = self.first[k + 1], []
+        if a > light or beyond - 1 > light and self.most(a) > light:
+            out.append((k, a - self.overlap(a, self.least(a)) + 1))
+        if self.most(a) >= beyond and self.most(a) > light:
+            out.append((k + 1, a - self.overlap(a, beyond) + 1))
+        return out
 
-    def cost(self, a: int, light: int) -> float:
+    def cost(self, a: int, light: int, scan: float) -> float:
         made = sum(math.comb(a, c) for c in self.subsets(a, light)) if a <= light else 0
-        return made + SCAN_COST * sum(self.ranges(k)[0] for k in self.classes(a, light))
-
-    def _boundary(self) -> int:
-        """The boundary of least total cost over sizes up to MOST_LIGHT, each as frequent."""
-        return min(range(MOST_LIGHT), key=lambda x: sum(self.cost(a, x) for a in range(1, MOST_LIGHT + 1)))
+        return made + (1 + scan) * sum(p for _, p in self.lists(a, light))
 
     def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * both >= self.num * (a + b - both)
 
-    def keys(self, own: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """Keys that a set posts; linked sets, unless equal, share one."""
+    def keys(self, own: np.ndarray, mixed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keys that a set posts; linked sets, unless equal, share one. Counts are the logarithms by bucket."""
         a, out = len(own), []
         with np.errstate(over="ignore"):
             if a <= self.light:
@@ -119,21 +120,78 @@ class Scheme:
                 for c in self.subsets(a, self.light):
                     left_out = np.array(list(itertools.combinations(range(a), a - c)), np.int64).reshape(math.comb(a, c), a - c)
                     out.append(shingles.mix(total - mixed[left_out].sum(1, dtype=np.uint64) + np.uint64(c * 0x5851F42D4C957F2D & _ALL)))
-            for k in self.classes(a, self.light):
-                m, spare = self.ranges(k)
-                at = ((own >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-                start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                run = np.add.reduceat(mixed, start)
-                where = at[start]
-                if m - len(start) > spare:
-                    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), where)
-                    run, where = np.r_[run, np.zeros(len(empty), np.uint64)], np.r_[where, empty]
-                out.append(shingles.mix(run + shingles.mix(where + np.uint64(k << 32 | 1 << 60))))
+            lists = self.lists(a, self.light)
+            if lists:
+                order = counts[own >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(48) | own >> np.uint64(16)
+                ends = np.partition(order, sorted({p - 1 for _, p in lists}))
+                for k, p in lists:  # of equal places in the order all are taken
+                    out.append(shingles.mix(own[order <= ends[p - 1]] ^ shingles.mix(np.array([k << 32 | 1 << 60], np.uint64))))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-POSTED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64()))])
-SETS = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("elements", pa.binary())])
+COUNTS = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+_BLOCKS = 256  # of the table; and one with the sizes of the sets
+
+
+def frequencies(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of counts, as logarithms, from all documents; and how many texts have each number of shingles up to MOST_LIGHT."""
+
+    def blocks(table, sizes):
+        rows = [*table.reshape(_BLOCKS, -1), sizes]
+        return common.record_batch(COUNTS, {"block": np.arange(_BLOCKS + 1), "counts": [r.astype("<i8" if r is sizes else "<i4").tobytes() for r in rows]})
+
+    @common.no_cycles
+    def count(batches):
+        table, sizes, held, many = np.zeros(1 << BITS, np.int32), np.zeros(MOST_LIGHT + 1, np.int64), [], 0
+
+        def add():
+            table[:] += np.bincount(np.concatenate(held), minlength=1 << BITS).astype(np.int32)
+            held.clear()
+
+        for batch in bpe.by_size(batches, AT_ONCE):
+            flat, size = shingles.occurrences(batch.column("text"), n)
+            sizes += np.bincount(size[size <= MOST_LIGHT], minlength=MOST_LIGHT + 1)
+            held.append((flat >> np.uint64(64 - BITS)).astype(np.int32))
+            many += len(flat)
+            if many > 1 << BITS:
+                add()
+                many = 0
+        if held:
+            add()
+            yield blocks(table, sizes)
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                x = np.frombuffer(raw.as_buffer(), "<i8" if b == _BLOCKS else "<i4")
+                sums[b] = sums[b] + x if b in sums else x.astype(np.int64)
+        for b, x in sums.items():
+            kept = x.astype("<i8") if b == _BLOCKS else np.minimum(65535, np.log2(1 + x) * STEPS).astype("<u2")
+            yield common.record_batch(COUNTS, {"block": [b], "counts": [kept.tobytes()]})
+
+    found = docs.select("text").mapInArrow(count, common.spark_schema(COUNTS)).repartition("block").mapInArrow(total, common.spark_schema(COUNTS))
+    table, sizes = np.zeros((_BLOCKS, (1 << BITS) // _BLOCKS), np.uint16), np.zeros(MOST_LIGHT + 1, np.int64)
+    for r in found.toArrow().to_pylist():  # 2 ** BITS numbers, whatever the documents are
+        if r["block"] == _BLOCKS:
+            sizes += np.frombuffer(r["counts"], "<i8")
+        else:
+            table[r["block"]] = np.frombuffer(r["counts"], "<u2")
+    return table.ravel(), sizes
+
+
+def scan_length(counts: np.ndarray) -> float:
+    """About how many members a list has: the variance of the buckets' counts over their mean, without the largest hundredth.
+
+    Shingles that occur once make counts whose variance is their mean, and those that occur m times one that is m times that.
+    """
+    x = np.sort(2.0 ** (counts / STEPS) - 1)
+    x = x[: len(x) - len(x) // 100]
+    return max(1.0, float(x.var() / x.mean())) if x.any() else 1.0
+
+
+POSTED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SETS = pa.schema([("set_id", pa.int64()), ("size", pa.int64()), ("elements", pa.binary())])
 
 
 def _set_id(own: np.ndarray, mixed: np.ndarray) -> int:
@@ -156,37 +214,46 @@ def sketch(mixed: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _each_set(batches, n: int, most: int = 8_000_000):
-    for batch in bpe.by_size(batches, most):
+def _each_set(batches, n: int):
+    for batch in bpe.by_size(batches, AT_ONCE):
         flat, at = shingles.sets(batch.column("text"), n)
         mixed = shingles.mix(flat)
         yield batch, [(flat[a:b], mixed[a:b]) for a, b in itertools.pairwise(at.tolist())]
 
 
-def post(docs: DataFrame, n: int, scheme: Scheme) -> DataFrame:
-    """Of each row its set's size and id, and the keys that it posts."""
+def post(docs: DataFrame, n: int, scheme: Scheme, counts) -> DataFrame:
+    """Of each row its set's size and id, and, once a task for each set, its sketch and the keys that it posts."""
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
+        seen: common.Memo = common.Memo(1_000_000)
         for batch, found in _each_set(batches, n):
-            keys = [scheme.keys(*f) if len(f[0]) else f[0] for f in found]
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.concatenate(keys).astype(np.int64))
-            yield common.record_batch(POSTED, {"doc_id": batch.column("doc_id"), "n_shingles": [len(f[0]) for f in found], "set_id": [_set_id(*f) for f in found], "keys": lists})
+            ids, sketches, keys = [], [], []
+            seen.trim()
+            for d, (own, mixed) in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids.append(_set_id(own, mixed))
+                new = d is not None and len(own) > 0 and ids[-1] not in seen
+                sketches.append(sketch(mixed) if new else None)
+                keys.append(scheme.keys(own, mixed, counts.value).astype(np.int64) if new else None)
+                if new:
+                    seen[ids[-1]] = True
+            ends = np.cumsum([0, *[0 if k is None else len(k) for k in keys]])
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.concatenate([np.zeros(0, np.int64), *[k for k in keys if k is not None]]))
+            yield common.record_batch(POSTED, {"doc_id": batch.column("doc_id"), "n_shingles": [len(f[0]) for f in found], "set_id": ids, "sketch": sketches, "keys": lists})
 
     return docs.mapInArrow(run, common.spark_schema(POSTED))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """Of each row (doc_id, text, wanted) the set, where its id is the wanted one."""
+    """Of each row (text, wanted) the set, where its id is the wanted one."""
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
         for batch, found in _each_set(batches, n):
-            kept = [(w, len(own), sketch(mixed), own.tobytes()) for w, (own, mixed) in zip(batch.column("wanted").to_pylist(), found, strict=True) if _set_id(own, mixed) == w]
+            kept = [(w, len(own), own.tobytes()) for w, (own, mixed) in zip(batch.column("wanted").to_pylist(), found, strict=True) if _set_id(own, mixed) == w]
             yield common.record_batch(SETS, {name: [k[i] for k in kept] for i, name in enumerate(SETS.names)})
 
-    return docs.mapInArrow(run, common.spark_schema(SETS))
+    return docs.select("text", "wanted").mapInArrow(run, common.spark_schema(SETS))
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -241,23 +308,25 @@ def _blocks(rows: DataFrame, scheme: Scheme) -> DataFrame:
 
     def pairs(held):
         side, component, ids, size = (np.array([h[i] for h in held], np.int64) for i in range(4))
-        bits = [np.unpackbits(np.frombuffer(h[4], np.uint8)) for h in held]
-        width = np.array([len(x) for x in bits])
-        ok = component[:, None] != component[None, :]
-        ok &= side[:, None] != side[None, :] if side.any() else True
-        found = []
+        packed = [np.frombuffer(h[4], np.uint8) for h in held]
+        width = np.array([len(x) for x in packed])
+        found = [np.zeros((2, 0), np.int64)]
         for w in np.unique(width):
-            who = np.flatnonzero(width >= w)
-            flat = np.stack([np.bitwise_xor.reduce(bits[i].reshape(-1, w), 0) for i in who]).astype(np.float32)
-            ones = flat.sum(1)
-            apart = (ones[:, None] + ones[None, :] - 2 * (flat @ flat.T)).astype(np.int64)
-            total = size[who][:, None] + size[who][None, :]
-            most = np.minimum((total - apart) // 2, np.minimum(size[who][:, None], size[who][None, :]))
-            may = ok[np.ix_(who, who)] & (scheme.den * most >= scheme.num * (total - most)) & (np.minimum(width[who][:, None], width[who][None, :]) == w)
-            i, j = np.nonzero(np.triu(may, 1))
-            found.append((ids[who[i]], ids[who[j]]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
+            who = np.flatnonzero(width >= w)  # of each pair the shorter sketch has this width, the longer one is laid over itself
+            flat = np.stack([np.bitwise_xor.reduce(packed[i].reshape(-1, w), 0) for i in who]).view(np.uint64)
+            for x, i in enumerate(who.tolist()):
+                other = who[x + 1 :]
+                ok = (np.minimum(width[other], width[i]) == w) & (component[other] != component[i])
+                ok &= scheme.den * np.minimum(size[other], size[i]) >= scheme.num * np.maximum(size[other], size[i])
+                if side.any():
+                    ok &= side[other] != side[i]
+                other = other[ok]
+                if len(other):
+                    apart = np.bitwise_count(flat[x + 1 :][ok] ^ flat[x]).sum(1, dtype=np.int64)
+                    most = np.minimum((size[other] + size[i] - apart) // 2, np.minimum(size[other], size[i]))
+                    other = other[scheme.linked(most, size[other], size[i])]
+                    found.append(np.stack([np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])]))
+        return np.concatenate(found, 1)
 
     def run(batches):
         def stream():
@@ -386,46 +455,62 @@ def components(scratch: common.Scratch, links: DataFrame, name: str) -> DataFram
 
 def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of each row, and n_links if ``links``. Equal sets are linked; others when num / den of their union is common."""
-    spark, scheme = docs.sparkSession, Scheme(num, den)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     scratch = common.Scratch(spark, "jaccard")
-    rows = common.id_and_text(docs, id_col, text_col)
-    posted = scratch.keep(post(rows, n, scheme), "posted")
-    named = posted.where("doc_id IS NOT NULL AND set_id <> 0")
+    texts = common.id_and_text(docs, id_col, text_col)
+    table, sizes = frequencies(texts, n)
+    counts = spark.sparkContext.broadcast(table)  # 2 ** BITS x 16 bits: 2 MB
+    scheme = Scheme.fitted(num, den, sizes, scan_length(table))
+    posted = scratch.keep(post(texts, n, scheme, counts), "posted")
+    rows = scratch.keep(posted.select("doc_id", "n_shingles", "set_id"), "rows")
+    named = rows.where("doc_id IS NOT NULL AND set_id <> 0")
     groups = named.groupBy("set_id").agg(F.min("doc_id").alias("least_doc")).select(F.col("set_id").alias("group_id"), "least_doc")
     # lists with more than one set
-    keys = named.join(groups, (F.col("set_id") == F.col("group_id")) & (F.col("doc_id") == F.col("least_doc"))).select("set_id", F.explode("keys").alias("key"))
+    each = posted.where("sketch IS NOT NULL")
     one = F.count("*").over(_by("key"))
-    shared = scratch.keep(keys.repartition("key").distinct().withColumn("members", one).where("members > 1"), "shared")
+    shared = scratch.keep(each.select("set_id", F.explode("keys").alias("key")).repartition("key").distinct().withColumn("members", one).where("members > 1"), "shared")
     degree = shared.groupBy("set_id").agg(F.sum("members").alias("degree"))
-    led = shared.join(degree, "set_id").withColumn("leader", F.max(F.struct("degree", "set_id")).over(_by("key"))["set_id"])
-    pairs = led.where("leader <> set_id").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct()
-    # the sets of those in such lists
-    wanted = degree.select("set_id").join(groups, F.col("set_id") == F.col("group_id")).select(F.col("set_id").alias("wanted"), "least_doc")
-    texts = rows.join(wanted, F.col("doc_id") == F.col("least_doc")).select("text", "wanted")
-    sets = scratch.keep(_sets(texts, n).dropDuplicates(["set_id"]), "sets")
-
-    def compare(pairs: DataFrame) -> DataFrame:
+    light = scratch.keep(each.select("set_id", F.col("n_shingles").alias("size"), "sketch").join(degree, "set_id").dropDuplicates(["set_id"]), "light")
+    scratch.drop("posted")
+
+    def fetch(wanted: DataFrame, name: str) -> DataFrame:
+        """The sets with these ids, from the text of one document of each."""
+        asked = scratch.keep(wanted.join(groups, F.col("set_id") == F.col("group_id")).select(F.col("set_id").alias("wanted"), "least_doc"), f"asked_{name}")
+        found = scratch.keep(_sets(texts.join(asked, F.col("doc_id") == F.col("least_doc")), n), name)
+        many = found.agg(F.count("*").alias("n"), F.count_distinct("set_id").alias("sets")).first()
+        return found if many["n"] == many["sets"] else scratch.keep(found.dropDuplicates(["set_id"]), f"{name}_once")  # repeated rows
+
+    def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("own")), "a")
         return _compare(left.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("other")), "b"), scheme)
 
-    light = sets.select("set_id", "size", "sketch")
+    # every member of a list with its leader, the one that shares most
+    led = shared.join(light.select("set_id", "size", "degree"), "set_id").withColumn("leader", F.max(F.struct("degree", "set_id", "size")).over(_by("key")))
+    fits = den * F.least("size", "leader.size") >= num * F.greatest("size", "leader.size")
+    pairs = led.where(fits & (F.col("leader.set_id") != F.col("set_id"))).select(F.col("set_id").alias("a"), F.col("leader.set_id").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(light.select(*[F.col(c).alias(name) for c, name in (("set_id", side), ("size", f"{side}_size"), ("sketch", f"{side}_sketch"))]), side)
-    first = scratch.keep(compare(_open(pairs, scheme)), "first")
+    opened = scratch.keep(_open(pairs, scheme), "opened")
+    sets = fetch(opened.select(F.col("a").alias("set_id")).union(opened.select("b")).distinct(), "sets")
+    first = scratch.keep(compare(opened, sets), "first")
     found = components(scratch, first, "by_leader")
-    # what is left: lists with members of several components, one of those with equal members
-    inside = shared.join(found, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"))
+    # what is left: lists of more than a pair with members of several components, one of those with equal members
+    among = shared.where("members > 2").join(light.select("set_id", "size"), "set_id").join(found, F.col("set_id") == F.col("node"), "left")
+    inside = scratch.keep(among.select("key", "set_id", "size", F.coalesce("component", "set_id").alias("component")), "inside")
     mark = F.xxhash64("set_id")
-    open_ = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(F.shiftright(mark, 20)).alias("x"), F.bit_xor(mark).alias("y"))
-    open_ = open_.where("low <> high").groupBy("members", "x", "y").agg(F.min("key").alias("key"))
-    held = inside.join(open_, "key").select("key", "set_id", "component", "members")
-    held = held.withColumn("block", F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("set_id", F.lit(1)), F.ceil(F.col("members") / BLOCK))).otherwise(F.lit(0).cast("bigint")))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    open_ = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(F.shiftright(mark, 20)).alias("x"), F.bit_xor(mark).alias("y"), F.sum("size").alias("bits"))
+    open_ = open_.where("low <> high").groupBy("members", "x", "y").agg(F.min("key").alias("key"), F.max("bits").alias("bits"))
+    held = inside.join(open_, "key").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bits") / (8 * BLOCK_BYTES))))
+    held = held.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     held = held.select("*", other.alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("part"), (F.col("block") > F.col("other")).cast("int").alias("side"), "component", "set_id")
-    likely = _blocks(held.join(light, "set_id").repartition("part").sortWithinPartitions("part", "side", "set_id").select("part", "side", "component", "set_id", "size", "sketch"), scheme)
+    likely = _blocks(held.join(light.select("set_id", "size", "sketch"), "set_id").repartition("part").sortWithinPartitions("part", "side", "set_id").select("part", "side", "component", "set_id", "size", "sketch"), scheme)
     pairs = scratch.keep(likely.distinct(), "likely")
-    second = scratch.keep(compare(pairs), "second")
+    scratch.drop("shared", "light", "opened", "inside")
+    more = fetch(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets.select("set_id"), "set_id", "left_anti"), "more")
+    sets = sets.union(more)
+    second = scratch.keep(compare(pairs, sets), "second")
     # components of documents: links between sets, and rows of one document with several sets
     several = named.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     bound = named.join(several, "doc_id").select("doc_id", F.col("set_id").alias("b")).join(named.groupBy("doc_id").agg(F.min("set_id").alias("a")), "doc_id").where("a <> b").select("a", "b")
@@ -439,9 +524,9 @@ def link(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col:
         linked = scratch.keep(count_links(scratch, sets, joined, weights, scheme), "linked")
         ids = ids.join(linked, "set_id", "left").join(weights, "set_id", "left").select("set_id", "component_id", (F.coalesce("linked", F.lit(0)) + F.coalesce("n_docs", F.lit(1)) - 1).alias("n_links"))
     ids = scratch.keep(ids, "ids")
-    out = posted.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
+    out = rows.join(ids, "set_id", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    scratch.drop("shared", "sets", "first", "likely", "second", "joined", "weights", "members", "bands", "linked")
+    scratch.drop(*[name + once for name in ("sets", "more") for once in ("", "_once")], "asked_sets", "asked_more", "first", "likely", "second", "joined", "weights", "members", "bands", "linked")
     others = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links")] if links else []
     return out.select("doc_id", "n_shingles", own.alias("component_id"), *others)
 

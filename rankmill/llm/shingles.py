@@ -31,25 +31,37 @@ def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(words, pa.binary()), np.array(at, np.int64)
 
 
-def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct n-word shingles, flat and sorted within a text, and the texts' offsets.
-
-    A text with fewer words has its whole sequence as one; without words its set is empty.
-    """
+def rolled(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash for every run of n words, wherever it begins; a hash for every word; and the texts' offsets among words."""
     words, at = word_lists(texts)
     coded = words.dictionary_encode()
     known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     h = known[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
-    count = np.diff(at)
+    runs = np.zeros(max(0, len(h) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
-        last = len(h) - n + 1
-        rolled = np.zeros(max(0, last), np.uint64)
         for k in range(n):
-            rolled = mix(rolled * _ODD + h[k : k + len(rolled)])
+            runs = mix(runs * _ODD + h[k : k + len(runs)])
+    return runs, h, at
+
+
+def occurrences(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-word shingles of the texts, as often as they occur, flat; and how many each text has."""
+    runs, h, at = rolled(texts, n)
+    document = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return runs[document[: len(runs)] == document[n - 1 :][: len(runs)]], np.maximum(np.diff(at) - n + 1, np.minimum(np.diff(at), 1))
+
+
+def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct n-word shingles, flat and sorted within a text, and the texts' offsets.
+
+    A text with fewer words has its whole sequence as one; without words its set is empty.
+    """
+    runs, h, at = rolled(texts, n)
+    count = np.diff(at)
     found, ends = [], np.zeros(len(count) + 1, np.int64)
     for d, (a, m) in enumerate(zip(at[:-1].tolist(), count.tolist(), strict=True)):
         if m >= n:
-            own = np.sort(rolled[a : a + m - n + 1])
+            own = np.sort(runs[a : a + m - n + 1])
             if len(own) > 1:
                 new = own[1:] != own[:-1]
                 own = own if new.all() else own[np.r_[True, new]]

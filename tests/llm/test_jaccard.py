@@ -109,8 +109,9 @@ def test_linked_sets_share_a_key():
 
     from rankmill.llm.shingles import mix
 
-    for num, den in ((90, 100), (80, 100)):
-        scheme = Scheme(num, den)
+    counts = np.random.default_rng(1).integers(0, 5, 1 << jaccard.BITS).astype(np.uint16)
+    for num, den, light in ((90, 100, 20), (80, 100, 9), (80, 100, 0)):
+        scheme = Scheme(num, den, light)
         for _ in range(1500):
             a = r.choice([r.randrange(1, 30), r.randrange(30, 200)])
             b = r.randrange(a, scheme.most(a) + 1)
@@ -121,4 +122,4 @@ def test_linked_sets_share_a_key():
             x, y = np.sort(values[:a]), np.sort(values[a - c :])
             if a == b == c:
                 continue
-            assert np.intersect1d(scheme.keys(x, mix(x)), scheme.keys(y, mix(y))).size, (num, a, b, c)
+            assert np.intersect1d(scheme.keys(x, mix(x), counts), scheme.keys(y, mix(y), counts)).size, (num, a, b, c)
