@@ -13,7 +13,6 @@ give a row; an empty table gives none; further columns are ignored; texts of any
 from __future__ import annotations
 
 import base64
-import gc
 import heapq
 import itertools
 
@@ -257,10 +256,10 @@ def by_size(batches, most: int = 16_000_000):
 def encode_decode(docs: DataFrame, *, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the bytes that these decode to."""
 
+    @common.no_cycles
     def run(batches):
         import public_tokenizers
 
-        gc.disable()  # nothing here makes cycles, and the many strings are slow to walk
         coder = ByteLevel(common.tokenizer_path(ranks), pattern or public_tokenizers.PATTERN)
         for batch in by_size(batches):
             ids, at = coder.encode(texts_of(batch))

@@ -12,7 +12,6 @@ rows are packed each for itself; an empty table gives no rows; further columns a
 
 from __future__ import annotations
 
-import gc
 import heapq
 import itertools
 import json
@@ -167,8 +166,8 @@ def cut(tokens: int, capacity: int, grain: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = 800, grain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, its ids as little-endian unsigned 32-bit integers."""
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and the many strings are slow to walk
         encoder = WordEncoder(common.tokenizer_path(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         base, sequence = TaskContext.get().partitionId() << 36, 0

@@ -16,7 +16,6 @@ label 1, or 0.5 with none; further columns are ignored; texts of any length are
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 
@@ -121,8 +120,8 @@ SUMS = pa.schema([("bucket", pa.int32()), ("seen", pa.int64()), ("sums", pa.list
 def word_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """A unit vector for each bucket, from all documents, and last the corpus's mean; the size is fixed by the parameters above."""
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
         held = ContextSums()
         for batch in bpe.by_size(batches, BATCH):
             held.add(*words(bpe.texts_of(batch)))
@@ -228,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, id_col
     chosen = marks.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     known = common.id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
         for batch in bpe.by_size(batches, BATCH):
             x = pool(shared.value, *words(bpe.texts_of(batch))).astype(np.float32)
             lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, DIMENSIONS, dtype=np.int32), x.ravel())
@@ -249,8 +248,8 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, *, id_col: str
     """doc_id and the probability of label 1, for each row."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
         vectors, network = shared.value
         for batch in bpe.by_size(batches, BATCH):
             x = pool(vectors, *words(bpe.texts_of(batch)))
@@ -267,12 +266,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, with all their columns."""
+    common.small_batches(spark)
     vectors, network = fit(docs, common.table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast((vectors, network))
     names = docs.columns
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()
         vectors, network = shared.value
         for batch in bpe.by_size(batches, BATCH):
             x = pool(vectors, *words(bpe.texts_of(batch)))

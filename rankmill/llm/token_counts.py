@@ -12,7 +12,6 @@ give a row; an empty table gives none; further columns are ignored; texts of any
 
 from __future__ import annotations
 
-import gc
 import itertools
 import re
 from functools import lru_cache
@@ -227,8 +226,8 @@ COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens
 def count_tokens(docs: DataFrame, *, model: str = "piece_bpe_32k.model", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's bytes and tokens, whether it is over the limit, and how many of its characters fit the limit."""
 
+    @common.no_cycles
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and the many strings are slow to walk
         counter = counter_of(common.tokenizer_path(model))
         for batch in bpe.by_size(batches):
             texts = bpe.texts_of(batch)
