@@ -49,6 +49,7 @@ class PrefixCounter:
                 node = node.setdefault(c, {})
             node[""] = i
         self.stands = common.Memo(2_000_000, self._stands)
+        self.words = common.Memo(500_000)
         self._arrays()
         if any(BREAK in p.lstrip(BREAK) for p in self.piece):
             raise ValueError("a piece holds a word break after another character: words aren't independent")
@@ -185,13 +186,33 @@ class PrefixCounter:
     def units_of(text: str) -> list[str]:
         return _UNITS.findall(BREAK + text.replace(" ", BREAK)) if text else []
 
-    def count(self, texts: pa.Array) -> np.ndarray:
+    def count(self, texts: pa.Array, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Number of tokens of each text, and code points of its longest prefix with no more than ``limit`` tokens."""
         self.stands.trim()
         lists = self.units(texts)
         coded = lists.flatten().dictionary_encode()
-        each = self.totals([u[1:] if u[:1] == "\x01" else BREAK + u for u in coded.dictionary.to_pylist()])
-        ends = np.r_[0, np.cumsum(each[coded.indices.to_numpy()])] if len(each) else np.zeros(1, np.int64)
-        return np.diff(ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()])
+        units = [u[1:] if u[:1] == "\x01" else BREAK + u for u in coded.dictionary.to_pylist()]
+        index, at = coded.indices.to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        ends = np.r_[0, np.cumsum(self.known_totals(units)[index])] if units else np.zeros(1, np.int64)
+        n, chars = np.diff(ends[at]), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        if limit is not None and (n > limit).any():
+            length = np.array([len(u) for u in units], np.int64)
+            for i in np.flatnonzero(n > limit):
+                # the unit in which the limit is passed; those before it fit whole
+                a, most = at[i], ends[at[i]] + limit
+                k = int(np.searchsorted(ends, most, side="right")) - 1
+                inside = max(j for j, c in enumerate(self.table(units[index[k]])) if ends[k] + c <= most)
+                chars[i] = max(0, int(length[index[a:k]].sum()) + inside - 1)  # the first break isn't in the text
+        return n, chars
+
+    def known_totals(self, units: list[str]) -> np.ndarray:
+        """``totals``, of which those of many words seen before are held."""
+        self.words.trim()
+        found = list(map(self.words.get, units))
+        new = [i for i, n in enumerate(found) if n is None]
+        for i, n in zip(new, self.totals([units[i] for i in new]).tolist(), strict=True):
+            found[i] = self.words[units[i]] = n
+        return np.array(found, np.int64)
 
     def prefixes(self, text: str) -> np.ndarray:
         """Number of tokens of each prefix of a text, by its code points, from the empty one on."""
@@ -204,14 +225,7 @@ class PrefixCounter:
 
     def fits(self, text: str, budget: int) -> int:
         """Code points of the longest prefix with no more tokens than the budget."""
-        base = at = 0
-        units = self.units_of(text)
-        for k, (unit, total) in enumerate(zip(units, self.totals(units).tolist(), strict=True)):
-            if base + total > budget:
-                best = max(i for i, c in enumerate(self.table(unit)) if base + c <= budget)
-                return max(0, at + best - (k == 0))
-            base, at = base + total, at + len(unit) - (k == 0)
-        return at
+        return int(self.count(pa.array([text], pa.string()), budget)[1][0])
 
 
 @lru_cache(maxsize=2)
@@ -231,9 +245,7 @@ def count_tokens(docs: DataFrame, *, model: str = "piece_bpe_32k.model", limit:
         counter = counter_of(common.tokenizer_path(model))
         for batch in bpe.by_size(batches):
             texts = bpe.texts_of(batch)
-            n, chars = counter.count(texts), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in np.flatnonzero(n > limit):
-                chars[i] = counter.fits(texts[int(i)].as_py(), limit)
+            n, chars = counter.count(texts, limit)
             yield common.record_batch(COUNTED, {"doc_id": batch.column("doc_id"), "n_bytes": pc.binary_length(texts), "n_tokens": n, "over_limit": n > limit, "fitting_chars": chars})
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(run, common.spark_schema(COUNTED))
