@@ -3,8 +3,10 @@
 Equal vectors are one node, so copies make no edges among themselves; a node keeps the smallest ids of its rows, as many
 as any answer can need. The graph begins with the neighbours within blocks of nodes that random projections bring
 together, and is then refined: in each round every node introduces its neighbours, and those it is a neighbour of, to each
-other, by joins of the edges with the vectors, and a node keeps its ``degree`` nearest. A node that very many have for a
-neighbour introduces them in groups. Queries begin at their own node and, round by round, expand the nodes of their beam
+other, by joins of the edges with the vectors, and a node keeps its ``degree`` nearest. Two that have been introduced by a node
+before aren't again: one of them must be a new neighbour there. A node with more neighbours than ``GROUP`` introduces
+them in parts, dealt anew in each round, so that none is left out and no two are kept apart for good. Queries begin at
+their own node and, round by round, expand the nodes of their beam
 that aren't expanded yet, until there are none. Distances of the answers are computed in double precision
 from the original vectors.
 
@@ -25,13 +27,14 @@ from pyspark.sql import functions as F
 
 from rankmill.llm import common
 
-DEGREE = 24
-TREES = 5
-LEAF = 768  # nodes of a block that are compared with each other at first
+DEGREE = 56
+TREES = 2
+LEAF = 512  # nodes of a block that are compared with each other at first
 MOST_ROUNDS = 8
 SETTLED = 0.01  # of the edges new in a round: then the graph is good enough
-GROUP = 56  # neighbours that are introduced to each other at once
-BEAM = 320
+GROUP = 112  # neighbours that are introduced to each other at once, about
+BEAM = 64
+LANDMARKS = 4
 EDGES = pa.schema([("node", pa.int64()), ("nbr", pa.int64()), ("d", pa.float64())])
 
 
@@ -113,24 +116,35 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("node", "nbr").agg(F.min("d").alias("d")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
 
 
-def _introduce(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
-    """Edges between nodes with a common neighbour that are nearer than the farthest that the node has so far."""
-    schema = EDGES
+def _few(found: list[tuple], degree: int) -> pa.RecordBatch:
+    """Of pairs (node, nbr, d) the nearest of each node, each pair once."""
+    node, nbr, d = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((nbr, d, node))
+    node, nbr, d = node[order], nbr[order], d[order]
+    kept = np.r_[True, (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])]
+    node, nbr, d = node[kept], nbr[kept], d[kept]
+    at = np.arange(len(node))
+    first = np.maximum.accumulate(np.where(np.r_[True, node[1:] != node[:-1]], at, 0))
+    kept = at - first < degree
+    return common.record_batch(EDGES, {"node": node[kept], "nbr": nbr[kept], "d": d[kept]})
+
+
+def _introduce(edges: DataFrame, nodes: DataFrame, degree: int, turn: int) -> DataFrame:
+    """Edges between nodes with a common neighbour, to one of which at least it is new, that are nearer than the farthest that the node has so far."""
 
     def run(batches):
-        def stream():
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.column("center").to_numpy(), batch.column("part").to_numpy(), batch.column("node").to_numpy(), batch.column("far").to_numpy(), _matrix(batch, "vector")
+        names = ("center", "part", "node", "new", "far")
 
         def groups():
             rest = None
-            for columns in stream():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = (*(batch.column(c).to_numpy() for c in names), _matrix(batch, "vector"))
                 if rest is not None:
                     columns = tuple(np.concatenate(p) for p in zip(rest, columns, strict=True))
                 center, part = columns[:2]
-                edge = np.flatnonzero((center[1:] != center[:-1]) | (part[1:] != part[:-1])) + 1
-                bounds = [0, *edge.tolist()]
+                bounds = [0, *(np.flatnonzero((center[1:] != center[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
                 for a, b in itertools.pairwise(bounds):
                     yield tuple(c[a:b] for c in columns[2:])
                 rest = tuple(c[bounds[-1] :] for c in columns)
@@ -139,34 +153,36 @@ def _introduce(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
 
         out: list = []
         count = 0
-        for ids, far, x in groups():
-            if len(ids) < 2:
+        for ids, new, far, x in groups():
+            if len(ids) < 2 or not new.any():
                 continue
             square = (x * x).sum(1)
             d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0))
             np.fill_diagonal(d, np.inf)
-            i, j = np.nonzero(d < far[:, None])
+            i, j = np.nonzero((d < far[:, None]) & ((new[:, None] | new[None, :]) > 0))
             if len(i):
-                out.append((ids[i], ids[j], d[i, j]))
+                out.append((ids[i], ids[j], d[i, j].astype(float)))
                 count += len(i)
-            if count > 50_000:
-                yield common.record_batch(schema, dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            if count > 400_000:
+                yield _few(out, degree)
                 out, count = [], 0
         if out:
-            yield common.record_batch(schema, dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            yield _few(out, degree)
 
-    both = edges.select(F.col("node").alias("center"), F.col("nbr").alias("member")).union(edges.select(F.col("nbr").alias("center"), F.col("node").alias("member"))).distinct()
-    order = Window.partitionBy("center").orderBy(F.xxhash64("member"))
-    parts = both.withColumn("part", F.floor((F.row_number().over(order) - 1) / GROUP).cast("int"))
+    ways = edges.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "new").union(edges.select("nbr", "node", "new"))
+    both = ways.repartition("center").groupBy("center", "member").agg(F.max("new").alias("new"))
+    # centres to which some member is new, and how many parts they have
+    size = both.groupBy("center").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.max("new").alias("some")).where("some = 1").drop("some")
+    dealt = both.join(size, "center").withColumn("part", F.pmod(F.xxhash64("member", F.lit(turn)), "parts"))
     far = edges.groupBy("node").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).alias("far"))
     known = nodes.select("node", F.col("vector").cast("array<float>").alias("vector")).join(far, "node", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-    met = parts.join(known, parts["member"] == known["node"]).select("center", "part", "node", "far", "vector")
-    return met.repartition("center", "part").sortWithinPartitions("center", "part").mapInArrow(run, common.spark_schema(schema))
+    met = dealt.join(known, dealt["member"] == known["node"]).select("center", "part", "node", "new", "far", "vector")
+    return met.repartition("center", "part").sortWithinPartitions("center", "part").mapInArrow(run, common.spark_schema(EDGES))
 
 
-def _landmark_edges(nodes: DataFrame, degree: int) -> DataFrame:
-    """Edges from every node to the first ``degree`` + 1 nodes, so that none is without any, however the blocks fall."""
-    found = nodes.orderBy("node").limit(degree + 1).collect()
+def _landmark_edges(nodes: DataFrame) -> DataFrame:
+    """Edges from every node to a few first nodes, so that none is without any, however the blocks fall."""
+    found = nodes.orderBy("node").limit(LANDMARKS + 1).collect()
     ids, x = np.array([r["node"] for r in found], np.int64), np.array([r["vector"] for r in found], float)
 
     def run(batches):
@@ -183,26 +199,25 @@ def _landmark_edges(nodes: DataFrame, degree: int) -> DataFrame:
 
 def build(scratch: common.Scratch, nodes: DataFrame, *, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, settled: float = SETTLED) -> DataFrame:
     """The graph's edges (node, nbr, d)."""
-    edges = _landmark_edges(nodes, degree)
+    edges = _landmark_edges(nodes)
     for t in range(trees):
         edges = edges.union(_first_edges(nodes, t, leaf, degree))
-    edges = scratch.keep(_best(edges, degree), "edges0")
+    edges = scratch.keep(_best(edges, degree).withColumn("new", F.lit(1)), "edges0")
     for k in range(1, MOST_ROUNDS + 1):
         # equal edges from both sides were there before; what is nearest of both has the old ones at the same distance
-        met = _introduce(edges, nodes, degree).withColumn("new", F.lit(1))
+        met = _introduce(edges, nodes, degree, k).withColumn("new", F.lit(1))
         order = Window.partitionBy("node").orderBy("d", "nbr")
         both = edges.withColumn("new", F.lit(0)).union(met).groupBy("node", "nbr").agg(F.min("d").alias("d"), F.min("new").alias("new"))
-        after = scratch.keep(both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= degree).drop("k"), f"edges{k}")
+        edges = scratch.keep(both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= degree).drop("k"), f"edges{k}")
         scratch.drop(f"edges{k - 1}")
-        changed = after.agg(F.avg("new").alias("share")).first()["share"]
-        edges = after.select("node", "nbr", "d")
+        changed = edges.agg(F.avg("new").alias("share")).first()["share"]
         if not changed or changed < settled:
             break
-    return edges
+    return edges.select("node", "nbr", "d")
 
 
-def search(scratch: common.Scratch, starts: DataFrame, nodes: DataFrame, edges: DataFrame, *, beam: int = BEAM) -> DataFrame:
-    """Of each start node its beam: (start, node, d), at most ``beam`` rows, the start itself among them."""
+def search(scratch: common.Scratch, starts: DataFrame, nodes: DataFrame, edges: DataFrame, *, beam: int = BEAM, whole: bool = False) -> DataFrame:
+    """Of each start node its beam: (start, node, d), at most ``beam`` rows, the start itself among them; if ``whole`` all nodes that were measured."""
     # what every round joins stays dealt by its key; a lost part is read again from its table
     ways = edges.select("node", "nbr").union(edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct().repartition("node").persist()
     known = nodes.select("node", "vector").repartition("node").persist()
@@ -216,7 +231,7 @@ def search(scratch: common.Scratch, starts: DataFrame, nodes: DataFrame, edges:
         if turn.isEmpty():
             for table in (ways, known, asked):
                 table.unpersist()
-            return ranked.where(F.col("place") <= beam).select("start", "node", "d")
+            return ranked.where(whole | (F.col("place") <= beam)).select("start", "node", "d")
         new = turn.join(ways, "node").select("start", F.col("nbr").alias("node")).repartition("node").distinct()
         measured = new.join(known, "node").join(asked, "start").select("start", "node", distance("vector", "asked").alias("d"), F.lit(False).alias("done"))
         before = ranked.select("start", "node", "d", (F.col("done") | (F.col("place") <= beam)).alias("done"))
@@ -238,7 +253,7 @@ def nearest(table: DataFrame, *, every: int, k: int = 10, id_col: str = "vec_id"
     few = rows.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
     members = scratch.keep(few.join(nodes, "vector").select("node", "vec_id"), "members")
     edges = build(scratch, nodes, **options)
-    found = search(scratch, queries.select("start").distinct(), nodes, edges)
+    found = search(scratch, queries.select("start").distinct(), nodes, edges, beam=max(BEAM, 2 * k + 2))
     answers = found.join(members, "node").select("start", "vec_id", "d")
     best = Window.partitionBy("query_id").orderBy("d", "vec_id")
     given = queries.join(answers, "start").where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

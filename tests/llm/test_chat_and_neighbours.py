@@ -62,3 +62,30 @@ def test_few_rows(spark):
     check(spark, {0: np.array([1.0, 0]), 1: np.array([0, 1.0]), 2: np.array([1.0, 1])}, table, 2, 10, 1.0)
     assert neighbours.nearest(table.limit(0), every=1).collect() == []
     assert neighbours.nearest(table.limit(1), every=1).collect() == []
+
+
+def test_graph_is_good_and_search_sees_little_of_it(spark):
+    """20,000 vectors in clusters, default options: recall against brute force, and the share of nodes that a query measures."""
+    from pyspark.sql import functions as F
+
+    from rankmill.llm import common
+
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(20, 24))
+    x = (centres[r.integers(0, 20, 20_000)] + 0.6 * r.normal(size=(20_000, 24))).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vector array<double>").repartition(8)
+    scratch = common.Scratch(spark, "test")
+    nodes = scratch.keep(table, "nodes")
+    asked = list(range(0, 20_000, 400))
+    edges = neighbours.build(scratch, nodes)
+    assert edges.groupBy("node").count().agg(F.min("count"), F.max("count")).first()[:] == (neighbours.DEGREE, neighbours.DEGREE)
+    seen = neighbours.search(scratch, spark.createDataFrame([(i,) for i in asked], "start long"), nodes, edges, whole=True)
+    found: dict = {}
+    for row in seen.collect():
+        found.setdefault(row["start"], []).append((row["d"], row["node"]))
+    assert sum(map(len, found.values())) / len(asked) < 0.05 * len(x)
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        hit += len({v for _, v in sorted(found[q])[1:11]} & set(np.argsort(d, kind="stable")[1:11].tolist()))
+    assert hit >= 9.5 * len(asked), hit
