@@ -118,5 +118,42 @@ PATHWAY_COMBINATIONS = (
 )
 SYNTHETIC_LETHALITY = (("GPCR", "GPCR desensitization pathway components (GRKs, arrestins)"), ("Kinase", "Synthetic lethality with phosphatase inhibitors"), ("Enzyme", "Metabolic compensation pathway targets"))
 
+# Predictions from the score, from the literature and from both: label, confidence and, last, recommendation.
+SCORE_LABELS = ((80, ("Highly Druggable", "High")), (50, ("Moderately Druggable", "Medium")))
+LOW_SCORE = ("Challenging Target", "Low")
+LITERATURE_LABELS = (("Strong Clinical Evidence", "High"), ("Moderate Clinical Evidence", "Medium"), ("Preliminary Evidence", "Low"))
+NO_LITERATURE = ("No Direct Evidence", "Very Low")
+FINAL_LABELS = (
+    ("PRIORITY TARGET - High druggability with clinical validation", "Very High", "PROCEED: Initiate drug discovery program"),
+    ("HIGH POTENTIAL - Excellent druggability, needs validation", "High", "VALIDATE: Confirm disease association before proceeding"),
+    ("VIABLE TARGET - Moderate druggability with strong evidence", "Medium-High", "CONSIDER: Address druggability challenges"),
+    ("POSSIBLE TARGET - Requires optimization", "Medium", "EXPLORE: Fragment-based or alternative approaches"),
+)
+LAST_LABEL = ("CHALLENGING - Alternative strategies needed", "Low", "CAUTION: Consider biologics or indirect targeting")
+REASONS = (
+    ("has_approved_drugs", "Approved drugs exist"),
+    ("has_druggable_pocket", "Druggable binding pocket"),
+    ("is_druggable_family", "Druggable protein family"),
+    ("Step8_Passes_50_Percent_Rule", "Low disorder (<50%)"),
+)
+
+# What to search the literature for, after the gene's name, by what is known of it; and the lists of the protocol.
+SEARCHES = (
+    ("any", ("(drug OR inhibitor OR agonist OR antagonist)",)),
+    ("small", ('("small molecule" OR "chemical probe" OR "tool compound")', '(IC50 OR Ki OR Kd OR "binding affinity")', '("structure activity relationship" OR SAR OR "medicinal chemistry")', '("crystal structure" OR "binding site" OR "active site")')),
+    ("biologic", ('(antibody OR biologics OR "monoclonal antibody")', "(secreted OR extracellular OR membrane)", '(neutralizing OR blocking OR "antibody therapy")')),
+    ("GPCR", ('(radioligand OR "binding assay" OR "functional assay")', '("G protein" OR "beta-arrestin" OR signaling)')),
+    ("Kinase", ("(kinase AND (inhibitor OR selectivity))", '("kinome" OR "kinase panel" OR "off-target")')),
+    ("IC", ('("ion channel" AND (blocker OR modulator))',)),
+)
+EVIDENCE_WITH_DRUGS = ("1. Approved drug mechanisms", "2. Clinical efficacy data", "3. Drug binding sites")
+EVIDENCE_WITHOUT = ("1. Tool compound papers", "2. Proof-of-concept studies", "3. Target validation")
+EXPERIMENTS_SMALL = ("Biochemical assays", "Cellular assays", "Structural biology", "In vivo validation")
+EXPERIMENTS_OTHER = ("Antibody generation", "Functional assays", "Characterization", "In vivo validation")
+RED_FLAGS = ("Target validity issues", "Druggability concerns", "Safety concerns")
+MARKERS_SMALL = ("Tool compounds with IC50 < 1 micro M", "Co-crystal structures", "Multiple chemical scaffolds", "Patent literature")
+MARKERS_OTHER = ("Secreted or extracellular", "Neutralizing antibodies", "Epitope mapping", "Antibody therapies")
+CHECKLIST = ("Tool compounds found", "Binding site characterized", "Target validated", "Clinical precedent", "Safety assessed")
+
 # Strings that stand for nothing after a round trip through CSV.
 EMPTY_MARKS = ("", "N/A", "NA", "NaN", "nan", "null", "None", "n/a", "NULL", "<NA>", "#N/A")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder, letters_sum, present_mean, safe_ratio, starts_with_any, truncated, upper_median
 from rankmill.operators import metrics
 from rankmill.operators.tables import attach, keep_first, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
+from rankmill.plans import validation
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,6 +414,52 @@ def q_final_prediction(spark, sf):
     return _points(spark, sf).select("user_id", final.alias("final"))
 
 
+_CANDIDATES = """SELECT p_partkey, CAST(p_size AS DOUBLE) * 2 AS score, p_partkey % 13 AS papers, p_partkey % 4 AS trials, p_partkey % 3 = 0 AS tools,
+    p_partkey % 5 = 0 AS pocket, CASE p_partkey % 7 WHEN 0 THEN 'Tclin' WHEN 1 THEN 'Tchem' ELSE 'Tbio' END AS tdl FROM part"""
+
+
+@query(f"""SELECT p_partkey, score,
+    CASE WHEN score >= 80 THEN 'Highly Druggable' WHEN score >= 50 THEN 'Moderately Druggable' ELSE 'Challenging Target' END AS own,
+    CASE WHEN papers >= 10 AND trials > 0 THEN 'Strong Clinical Evidence' WHEN papers >= 5 OR trials > 0 THEN 'Moderate Clinical Evidence'
+        WHEN papers > 0 THEN 'Preliminary Evidence' ELSE 'No Direct Evidence' END AS known,
+    CASE WHEN score >= 80 AND (papers >= 5 OR trials > 0) THEN 'Very High' WHEN score >= 80 THEN 'High' WHEN score >= 50 AND papers >= 10 THEN 'Medium-High'
+        WHEN score >= 50 THEN 'Medium' ELSE 'Low' END AS sure,
+    CASE WHEN score >= 80 AND (papers >= 5 OR trials > 0) THEN 'PROCEED: Initiate drug discovery program'
+        WHEN score >= 80 THEN 'VALIDATE: Confirm disease association before proceeding' WHEN score >= 50 AND papers >= 10 THEN 'CONSIDER: Address druggability challenges'
+        WHEN score >= 50 THEN 'EXPLORE: Fragment-based or alternative approaches' ELSE 'CAUTION: Consider biologics or indirect targeting' END AS advice,
+    coalesce(nullif(concat_ws('; ', CASE WHEN pocket THEN 'Druggable binding pocket' END,
+        CASE tdl WHEN 'Tclin' THEN 'Clinical target (Tclin)' WHEN 'Tchem' THEN 'Chemical target (Tchem)' END), ''), 'Limited evidence') AS why,
+    coalesce(nullif(concat_ws('; ', CASE WHEN papers > 0 THEN papers || ' publications' END, CASE WHEN trials > 0 THEN trials || ' clinical trial(s)' END,
+        CASE WHEN tools THEN 'Chemical tools available' END), ''), 'No literature evidence found') AS found FROM ({_CANDIDATES})""")
+def q_target_recommendation(spark, sf):
+    key = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        key.alias("gene_symbol"),
+        (F.col("p_size").cast("double") * 2).alias("Step11_Composite_Score"),
+        (key % 13).alias("Step12_Literature_Publications"),
+        (key % 4).alias("Step12_Total_Clinical_Trials"),
+        (key % 3 == 0).alias("Step12_Has_Tool_Compounds"),
+        (key % 5 == 0).alias("has_druggable_pocket"),
+        ladder((key % 7 == 0, "Tclin"), (key % 7 == 1, "Tchem"), default="Tbio").alias("Step9_Target_Development_Level"),
+    )
+    names = {"Gene": "p_partkey", "Pipeline_Druggability_Score": "score", "Pipeline_Prediction": "own", "Literature_Prediction": "known", "Final_Confidence": "sure", "Recommendation": "advice", "Pipeline_Reasoning": "why", "Literature_Reasoning": "found"}
+    return validation.predictions(rows).select(*[F.col(c).alias(name) for c, name in names.items()])
+
+
+@query("""WITH s AS (SELECT user_id, upper(event_type) AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+    SELECT user_id, count(*) AS trials, CAST(count(*) FILTER (k <= 5 AND (status LIKE '%CLICK%' OR status LIKE '%SIGNUP%')) AS BIGINT) AS active,
+    CAST(count(*) FILTER (k <= 5 AND status LIKE '%SIGNUP%') AS BIGINT) AS recruiting FROM s GROUP BY user_id""")
+def q_trial_evidence(spark, sf):
+    # a user's events stand for trials: clicks for active ones, signups for recruiting ones, which are active too
+    status = ladder((F.col("event_type") == "click", "ACTIVE_NOT_STARTED"), (F.col("event_type") == "signup", "Recruiting, active"), default="COMPLETED")
+    studies = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", status.alias("overallStatus")))), lambda e: F.struct(e["overallStatus"].alias("overallStatus")))
+    trials = table(spark, sf, "events").groupBy(F.col("user_id").alias("gene")).agg(studies.alias("studies"))
+    papers = spark.createDataFrame([], "gene bigint, count int, papers array<struct<pmid:string,title:string,pubdate:string>>")
+    found = validation.evidence(papers, trials)
+    counts = {"Total_Clinical": "trials", "Active": "active", "Recruiting": "recruiting"}
+    return found.select(F.col("gene_symbol").alias("user_id"), *[F.col(f"Step12_{c}_Trials").cast("bigint").alias(name) for c, name in counts.items()])
+
+
 @query(f"""SELECT user_id, CAST(i AS BIGINT) AS line, text FROM (SELECT user_id, unnest(generate_series(1, len(t))) AS i, unnest(t) AS text FROM (SELECT user_id, list_filter([CASE WHEN points >= 6 THEN 'priority user ' || user_id END, CASE WHEN p >= 5 THEN 'review purchases' END, CASE WHEN s > 0 THEN 'confirm signup' END, 'report'], lambda x: x IS NOT NULL) AS t FROM ({_POINTS}) WHERE points >= 6))""")
 def q_protocol_lines(spark, sf):
     high = _points(spark, sf).where("points >= 6")

@@ -34,6 +34,11 @@ def capped(x: Column | str, n: int) -> Column:
     return F.nullif(capped_join(json_list(x), n), F.lit(""))
 
 
+def best_first() -> Column:
+    """The order of a gene's protein entries: reviewed ones, then as they were answered (``seq``), then by accession."""
+    return F.struct(~F.coalesce(F.col("reviewed"), F.lit(False)), F.coalesce("seq", F.lit(2**62)), F.coalesce("primaryAccession", F.lit("")))
+
+
 def identifiers(annotation: DataFrame, proteins: DataFrame) -> DataFrame:
     """Identifiers per gene. Of several answers to one query the last counts; proteins fill what annotation lacks."""
     last = annotation.groupBy("query").agg(F.max_by(F.struct(*[c for c in annotation.columns if c != "query"]), F.coalesce("seq", F.lit(0))).alias("a")).select(F.col("query").alias("gene_symbol"), "a.*")
@@ -49,7 +54,7 @@ def identifiers(annotation: DataFrame, proteins: DataFrame) -> DataFrame:
         get(place, "$.chr").alias("chromosome"), get(place, "$.start").try_cast("long").alias("start_position"), get(place, "$.end").try_cast("long").alias("end_position"), get(place, "$.strand").try_cast("int").alias("strand"),
         F.col("taxid").alias("taxonomy_id"), get("homologene", "$.id").alias("homologene_id"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), get("wikipedia", "$.url_stub")).alias("wikipedia_url"), pathways("pathway").alias("pathways"),
     )
-    best = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.max_by(F.struct("primaryAccession", "uniProtkbId", "sequence", "comments", "uniProtKBCrossReferences"), F.coalesce(F.col("reviewed"), F.lit(False))).alias("p"))
+    best = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.min_by(F.struct("primaryAccession", "uniProtkbId", "sequence", "comments", "uniProtKBCrossReferences"), best_first()).alias("p"))
     refs = lambda db: F.transform(F.filter("p.uniProtKBCrossReferences", lambda r: r["database"] == db), lambda r: r["id"])
     joined = table.join(best, "gene_symbol", "left")
     return joined.withColumns({
@@ -333,12 +338,15 @@ def development(snapshot: DataFrame) -> DataFrame:
 # -- 10: network -----------------------------------------------------------------------------------------------------
 
 
-def network(edges: DataFrame, enrichment: DataFrame, most: int = 20, sure: float = 700.0) -> DataFrame:
+def network(edges: DataFrame, enrichment: DataFrame, most: int = 20, sure: float = 700.0, required: float = 400.0) -> DataFrame:
     """Partners, drug targets among them, and terms; the scores follow. Edges are cut to ``most`` per gene by score.
 
+    Edges under ``required`` of 1000 (a score of up to 1 is a share of that) don't count.
+
     Of pathways and processes the first three count, in the order of the answer (``seq``); those without one come last.
     """
     edges = edges.select(F.col("gene").alias("gene_symbol"), F.coalesce("preferredName_B", "stringId_B").alias("partner"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    edges = edges.where(F.when(F.col("score") <= 1, F.col("score") * 1000).otherwise(F.col("score")) >= required)
     family = ladder(*[(F.col("partner").isin(list(v)), k) for k, v in rules.DRUG_TARGETS.items()])
     top = top_k(edges, ["gene_symbol"], [F.desc("score"), F.col("partner")], most).withColumn("family", family)
     rows = top.groupBy("gene_symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "partner", "family"))).alias("p"), F.count("*").alias("Step10_Total_Interactions"), F.count_if(F.col("score") > sure).alias("Step10_High_Confidence_Interactions"), F.count("family").alias("Step10_Drug_Target_Interactions"))

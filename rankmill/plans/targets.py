@@ -30,7 +30,7 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
         df = attach(df, features.compound_activities(snap("compound_activities")), "gene_symbol", {"chembl_found": False})
         df = attach(df, features.known_drugs(snap("known_drugs")), "ensembl_gene_id", {"opentargets_found": False})
         df = features.drug_evidence(df)
-    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.max_by(F.struct("keywords", "comments", "proteinDescription", "uniProtKBCrossReferences"), F.coalesce(F.col("reviewed"), F.lit(False))).alias("entry"))
+    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.min_by(F.struct("keywords", "comments", "proteinDescription", "uniProtKBCrossReferences"), features.best_first()).alias("entry"))
     df = keep(df, "stage02")
     if until >= 3:
         words = F.transform("entry.keywords", lambda k: k["name"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,13 @@ def evidence(literature: DataFrame, trials: DataFrame) -> DataFrame:
     """Publications and trials per gene; of the trials the first five count."""
     papers = literature.select(F.col("gene").alias("gene_symbol"), F.coalesce("count", F.lit(0)).alias("Step12_Literature_Publications"), F.transform(F.slice("papers", 1, 5), lambda p: F.struct(p["pmid"].alias("pmid"), p["title"].alias("title"), F.split(p["pubdate"], " ")[0].alias("year"))).alias("papers"))
     first = F.slice("studies", 1, 5)
-    among = lambda word: F.size(F.filter(first, lambda s: F.upper(s["overallStatus"]).contains(word)))
-    studies = trials.select(F.col("gene").alias("gene_symbol"), F.size("studies").alias("Step12_Total_Clinical_Trials"), (among("ACTIVE") + among("RECRUITING")).alias("Step12_Active_Trials"), among("RECRUITING").alias("Step12_Recruiting_Trials"))
+    among = lambda *words: F.size(F.filter(first, lambda s: reduce(lambda a, b: a | b, [F.upper(s["overallStatus"]).contains(w) for w in words])))
+    studies = trials.select(
+        F.col("gene").alias("gene_symbol"),
+        F.size("studies").alias("Step12_Total_Clinical_Trials"),
+        among("ACTIVE", "RECRUITING").alias("Step12_Active_Trials"),
+        among("RECRUITING").alias("Step12_Recruiting_Trials"),
+    )
     out = papers.join(studies, "gene_symbol", "full").fillna(0, ["Step12_Literature_Publications", "Step12_Total_Clinical_Trials", "Step12_Active_Trials", "Step12_Recruiting_Trials"])
     return out.withColumns({"Step12_Has_Literature_Evidence": F.col("Step12_Literature_Publications") > 0, "Step12_Has_Clinical_Trials": F.col("Step12_Total_Clinical_Trials") > 0})
 
@@ -62,6 +69,15 @@ def validate(df: DataFrame, found: DataFrame) -> DataFrame:
     out = out.withColumns({
         "Step12_Has_Tool_Compounds": tools, "Step12_Tool_Compound_Count": F.when(asked, approved + bioactive).otherwise(0),
         "Step12_Probe_Quality": ladder((~asked, "Not assessed"), (approved > 0, "Excellent - Approved drugs available"), (bioactive >= 10, "Good - Multiple bioactive compounds"), (bioactive > 0, "Moderate - Limited compounds"), (total > 0, "Poor - Only screening compounds"), default="None - No compounds available"),
+        "Step12_Tool_Compound_Summary": ladder(
+            (~asked, ""),
+            (approved > 0, F.concat(approved.cast("string"), F.lit(" approved drug(s) as chemical probes"))),
+            (bioactive >= 10, F.concat(bioactive.cast("string"), F.lit(" bioactive compounds available"))),
+            (bioactive > 0, F.concat(bioactive.cast("string"), F.lit(" bioactive compound(s)"))),
+            (total > 0, F.concat(total.cast("string"), F.lit(" screening compounds (no validated probes)"))),
+            default="No chemical tools available - de novo discovery required",
+        ),
+        "Step12_Connected_Drug_Targets": F.when(asked, partners).otherwise(0),
         "Step12_Combination_Strategies": F.when(asked, F.array_join(F.slice(strategies, 1, 3), "; ")).otherwise(""), "Step12_Has_Combination_Potential": asked & (partners > 0),
         "Step12_Synthetic_Lethality": F.when(asked, F.array_join(F.slice(lethal, 1, 2), "; ")).otherwise(""), "Step12_Pathway_Combinations": F.when(asked, F.array_join(F.slice(routes, 1, 2), "; ")).otherwise(""),
     })
@@ -71,14 +87,50 @@ def validate(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def predictions(df: DataFrame) -> DataFrame:
-    """What the score, what the literature and what both together say."""
-    score, papers, trials = F.col("Step11_Composite_Score"), F.col("Step12_Literature_Publications"), F.col("Step12_Total_Clinical_Trials")
-    own = bands(score, (80, "High"), (50, "Medium"), default="Low")
-    known = ladder(((papers >= 10) & (trials > 0), "High"), ((papers >= 5) | (trials > 0), "Medium"), (papers > 0, "Low"), default="None")
-    out = df.withColumns({"Pipeline_Prediction": own, "Literature_Prediction": known})
-    p, q = F.col("Pipeline_Prediction"), F.col("Literature_Prediction")
-    final = ladder(((p == "High") & (q == "High"), "Strong Candidate"), (p == "High", "Promising Candidate"), ((p == "Medium") & q.isin("High", "Medium"), "Moderate Candidate"), (p == "Medium", "Exploratory Candidate"), default="Low Priority")
-    return out.select(F.col("gene_symbol").alias("Gene"), score.alias("Pipeline_Druggability_Score"), F.col("Step11_SmallMolecule_Score").alias("Small_Molecule_Score"), F.col("Step11_Biologic_Score").alias("Biologic_Score"), F.col("Step11_Best_Modality").alias("Best_Modality"), p, papers.alias("Literature_Publications"), trials.alias("Clinical_Trials"), q, final.alias("Final_Prediction"))
+    """What the score, what the literature and what both together say of each gene, with reasons and a recommendation.
+
+    Columns that the table lacks count as nothing found.
+    """
+    number = lambda c: optional(df, c, 0, "double")
+    text = lambda c: optional(df, c, "Unknown", "string")
+    flag = lambda c: optional(df, c, False, "boolean")
+    score = number("Step11_Composite_Score")
+    papers, trials = (optional(df, c, 0, "long") for c in ("Step12_Literature_Publications", "Step12_Total_Clinical_Trials"))
+    some, level = trials > 0, text("Step9_Target_Development_Level")
+    own = lambda i: bands(score, *[(at, values[i]) for at, values in rules.SCORE_LABELS], default=rules.LOW_SCORE[i])
+    known = lambda i: ladder(*zip(((papers >= 10) & some, (papers >= 5) | some, papers > 0), [v[i] for v in rules.LITERATURE_LABELS], strict=True), default=rules.NO_LITERATURE[i])
+    cases = ((score >= 80) & ((papers >= 5) | some), score >= 80, (score >= 50) & (papers >= 10), score >= 50)
+    final = lambda i: ladder(*zip(cases, [v[i] for v in rules.FINAL_LABELS], strict=True), default=rules.LAST_LABEL[i])
+    reasons = lines(
+        *[F.when(flag(c), said) for c, said in rules.REASONS],
+        ladder((level == "Tclin", "Clinical target (Tclin)"), (level == "Tchem", "Chemical target (Tchem)")),
+    )
+    found = lines(
+        F.when(papers > 0, F.concat(papers.cast("string"), F.lit(" publications"))),
+        F.when(some, F.concat(trials.cast("string"), F.lit(" clinical trial(s)"))),
+        F.when(flag("Step12_Has_Tool_Compounds"), "Chemical tools available"),
+    )
+    listed = lambda a, default: F.when(F.size(a) > 0, F.array_join(a, "; ")).otherwise(default)
+    return df.select(
+        F.col("gene_symbol").alias("Gene"),
+        F.round(score, 1).alias("Pipeline_Druggability_Score"),
+        F.round(number("Step11_SmallMolecule_Score"), 1).alias("Small_Molecule_Score"),
+        F.round(number("Step11_Biologic_Score"), 1).alias("Biologic_Score"),
+        optional(df, "Step12_SM_Literature_Score", 0, "int").alias("SM_Literature_Score"),
+        optional(df, "Step12_Bio_Literature_Score", 0, "int").alias("Bio_Literature_Score"),
+        text("Step11_Best_Modality").alias("Best_Modality"),
+        own(0).alias("Pipeline_Prediction"),
+        own(1).alias("Pipeline_Confidence"),
+        listed(reasons, "Limited evidence").alias("Pipeline_Reasoning"),
+        papers.alias("Literature_Publications"),
+        trials.alias("Clinical_Trials"),
+        known(0).alias("Literature_Prediction"),
+        known(1).alias("Literature_Confidence"),
+        listed(found, "No literature evidence found").alias("Literature_Reasoning"),
+        final(0).alias("Final_Prediction"),
+        final(1).alias("Final_Confidence"),
+        final(2).alias("Recommendation"),
+    )
 
 
 def performance(df: DataFrame, score: str, label: str, at: float = 70.0) -> DataFrame:
@@ -92,13 +144,34 @@ def performance(df: DataFrame, score: str, label: str, at: float = 70.0) -> Data
 
 
 def protocol(df: DataFrame) -> DataFrame:
-    """(gene_symbol, line, text): what to verify for each gene of high priority."""
-    gene = F.col("gene_symbol")
-    family = F.concat_ws(" ", optional(df, "druggable_family_type", "", "string"), optional(df, "Step9_Protein_Family", "", "string"))
-    small = F.col("Step11_Best_Modality").isin("Small Molecule", "Both")
-    say = lambda text: F.concat(F.lit(text), gene)
-    parts = lines(say("Verification protocol: "), say("1. Search the literature for "), F.when(small, say("2. Search compound databases for ")), F.when(~small, say("2. Search antibody and protein therapeutics for ")), F.when(has_any(family, ("gpcr",)), F.lit("3. Check receptor pharmacology and signalling assays")), F.when(has_any(family, ("kinase",)), F.lit("3. Check kinase selectivity panels")), F.when(has_any(family, ("channel", "ic")) & ~has_any(family, ("gpcr", "kinase")), F.lit("3. Check electrophysiology")), say("4. Search clinical trials for "), F.lit("5. Record agreement with the score"))
-    return df.where("Step11_Priority = 'High Priority'").select("gene_symbol", F.posexplode(parts).alias("line", "text"))
+    """(gene_symbol, section, line, text): what to look for and to verify for each gene of high priority, in order."""
+    text = lambda c: optional(df, c, "Unknown", "string")
+    number = lambda c: optional(df, c, 0, "double")
+    flag = lambda c: optional(df, c, False, "boolean")
+    modality, sm, bio = text("Step11_Best_Modality"), number("Step11_SmallMolecule_Score"), number("Step11_Biologic_Score")
+    small = modality == "Small Molecule"
+    quoted = F.concat(F.lit('"'), F.col("gene_symbol"), F.lit('"'))
+    asked = {
+        "any": F.lit(True),
+        "small": small | (sm > bio),
+        "biologic": (modality == "Biologic") | (bio > sm) | flag("Step11_Is_Biologic_Only"),
+        **{family: text("Step9_Protein_Family") == family for family in ("GPCR", "Kinase", "IC")},
+    }
+    queries = lines(*[F.when(asked[k], F.concat(quoted, F.lit(f" AND {q}"))) for k, each in rules.SEARCHES for q in each])
+    of = lambda values: F.array(*map(F.lit, values))
+    either = lambda condition, yes, no: F.when(condition, of(yes)).otherwise(of(no))
+    sections = (
+        ("predicted_modality", F.array(modality)),
+        ("literature_search_queries", queries),
+        ("key_evidence_to_find", either(flag("has_approved_drugs"), rules.EVIDENCE_WITH_DRUGS, rules.EVIDENCE_WITHOUT)),
+        ("validation_experiments", either(small, rules.EXPERIMENTS_SMALL, rules.EXPERIMENTS_OTHER)),
+        ("red_flags_to_check", of(rules.RED_FLAGS)),
+        ("expected_druggability_markers", either(small, rules.MARKERS_SMALL, rules.MARKERS_OTHER)),
+        ("literature_validation_checklist", of(rules.CHECKLIST)),
+    )
+    held = F.explode(F.array(*[F.struct(F.lit(name).alias("section"), each.alias("texts")) for name, each in sections])).alias("s")
+    rows = df.where("Step11_Priority = 'High Priority'").select("gene_symbol", held)
+    return rows.select("gene_symbol", F.col("s.section").alias("section"), F.posexplode("s.texts").alias("line", "text"))
 
 
 def metrics_with_probability(row: dict) -> dict:

@@ -33,8 +33,9 @@ def write_priorities(df: DataFrame, path: str, least: int = 3, score: str = "Ste
 
 
 def write_protocols(lines: DataFrame, path: str, key: str = "gene_symbol") -> None:
-    """One folder of text per key, from (key, line, text)."""
-    lines.repartition(key).sortWithinPartitions(key, "line").select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
+    """One folder of text per key, from (key, section, line, text)."""
+    order = [c for c in ("section", "line") if c in lines.columns]
+    lines.repartition(key).sortWithinPartitions(key, *order).select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
 
 
 def gene_list_json(genes: list[str]) -> str:
@@ -56,5 +57,8 @@ def stage_store(spark: SparkSession, path: str | None = None) -> Callable[[DataF
     So plans stay small from stage to stage, a restart begins at the last table, and a lost executor loses none. The
     folder is the given one, else one under spark.checkpoint.dir; a local one only where that is unset, as in tests.
     """
-    base = path or f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rankmill-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
+    shared = path or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give one")
+    base = path or f"{(shared or tempfile.mkdtemp(prefix='rankmill-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
     return lambda df, name: write_stage(df, f"{base}/{name}")

@@ -15,7 +15,7 @@ from rankmill.functions.rules import EMPTY_MARKS
 _END = ", _status string, _error string"
 SCHEMAS = {
     "gene_annotation": "query string, seq long, symbol string, name string, summary string, type_of_gene string, alias string, other_names string, ensembl string, uniprot string, entrezgene string, refseq string, HGNC string, MIM string, pharmgkb string, pdb string, ec string, prosite string, interpro string, pfam string, genomic_pos string, taxid string, homologene string, wikipedia string, pathway string",
-    "protein_entry": "gene string, reviewed boolean, primaryAccession string, uniProtkbId string, sequence struct<length:int,value:string>, comments array<struct<commentType:string,subcellularLocations:array<struct<location:struct<value:string>,topology:struct<value:string>>>,texts:array<struct<value:string>>>>, uniProtKBCrossReferences array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>, features array<struct<type:string,description:string>>, keywords array<struct<name:string>>, proteinDescription struct<recommendedName:struct<fullName:struct<value:string>>>",
+    "protein_entry": "gene string, seq long, reviewed boolean, primaryAccession string, uniProtkbId string, sequence struct<length:int,value:string>, comments array<struct<commentType:string,subcellularLocations:array<struct<location:struct<value:string>,topology:struct<value:string>>>,texts:array<struct<value:string>>>>, uniProtKBCrossReferences array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>, features array<struct<type:string,description:string>>, keywords array<struct<name:string>>, proteinDescription struct<recommendedName:struct<fullName:struct<value:string>>>",
     "drug_interactions": "gene string, longName string, geneCategories array<struct<name:string>>, interactions array<struct<drug:struct<name:string,approved:boolean>,interactionScore:double,interactionTypes:array<struct<type:string>>,sources:array<struct<fullName:string>>>>",
     "compound_activities": "gene string, target_chembl_id string, target_type string, activities array<struct<molecule_chembl_id:string,molecule_max_phase:int>>",
     "known_drugs": "ensembl_id string, count int, uniqueDrugs int, rows array<struct<drug:struct<id:string,name:string>,drugType:string,mechanismOfAction:string,phase:int,status:string>>",
