@@ -120,24 +120,24 @@ def format_conversations(rows: DataFrame, template: Template = Template(), *, co
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Digests of the turns and of the learned text, from the formatted text and the loss mask alone."""
+    """Digests of the turns and of the learned text, from the formatted text and the loss mask alone; and whether the order of turns is valid."""
 
     def run(batches):
         for batch in common.slices(batches):
             rows = []
-            for conv, text, parts in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "segments")), strict=True):
+            for conv, text, parts, valid in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "segments", "valid")), strict=True):
                 turns = parse(text, template)
                 if "".join(s["text"] for s in parts) != text:
                     raise ValueError("the segments aren't the formatted text")
                 learned = "".join(template.unescape(s["text"]) for s in parts if s["loss"])
                 whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t, _ in turns).encode()).hexdigest()
-                rows.append((conv, len(turns), whole, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                rows.append((conv, len(turns), whole, len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text), valid))
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return formatted.select("conv_id", "formatted", "segments").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "segments", "valid").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

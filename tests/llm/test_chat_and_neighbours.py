@@ -16,6 +16,7 @@ def test_read_back(spark, tmp_path):
         learned = "".join(x for _, r, x in turns if r == "assistant")
         assert (out[conv]["n_turns"], out[conv]["turns_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (out[conv]["loss_chars"], out[conv]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert {c: r["valid"] for c, r in out.items()} == {1: True, 2: True, 3: False, 4: False, -1: True}
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     assert {r["conv_id"]: r["valid"] for r in chat.format_conversations(df).collect()} == {1: True, 2: True, 3: False, 4: False, -1: True}
     assert chat.format_conversations(df.limit(0)).collect() == []
