@@ -1,8 +1,9 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 ``pack`` tokenises documents, cuts them into pieces of at most a capacity and puts the pieces into windows.
-Every input partition packs what it reads, in groups of ``group_docs`` documents: nothing is shuffled, and no
-task holds more than one group. A group of T tokens gets ceil(T / capacity) windows; partial partitions with
+Every input partition packs what it reads, in groups of ``group_docs`` documents, or fewer where these have ``group_tokens``
+tokens or more: nothing is shuffled, and no
+task holds more than one group. Input in more partitions than it has groups is read in fewer, so that few groups are small. A group of T tokens gets ceil(T / capacity) windows; partial partitions with
 opposing imbalances are merged until one remains, and while its fullest window exceeds the capacity the
 differencing is run again with one window more.
 
@@ -163,7 +164,7 @@ def cut(tokens: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     return [(s, capacity) for s in range(0, whole, capacity)] + [(s, min(grain, tokens - s)) for s in range(whole, tokens, grain)]
 
 
-def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = 800, grain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = 800, group_tokens: int = 4_000_000, grain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, its ids as little-endian unsigned 32-bit integers."""
 
     @common.no_cycles
@@ -174,11 +175,14 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int
 
         def groups():
             held: list[tuple] = []
+            size = 0
             for batch in bpe.by_size(batches):
-                held += zip(batch.column("doc_id").to_pylist(), encoder.encode(bpe.texts_of(batch)), strict=True)
-                while len(held) >= group_docs:
-                    yield held[:group_docs]
-                    held = held[group_docs:]
+                for doc, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(bpe.texts_of(batch)), strict=True):
+                    held.append((doc, data))
+                    size += len(data) // 4
+                    if len(held) >= group_docs or size >= group_tokens:
+                        yield held
+                        held, size = [], 0
             if held:
                 yield held
 
@@ -200,7 +204,8 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int
             sequence += int(window.max()) + 1
             yield common.record_batch(SCHEMA, columns)
 
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, common.spark_schema(SCHEMA))
+    rows = common.id_and_text(docs, id_col, text_col)
+    return rows.coalesce(max(1, docs.count() // group_docs)).mapInArrow(run, common.spark_schema(SCHEMA))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
