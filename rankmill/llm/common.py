@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="rankmill-")
         spark.sparkContext.setCheckpointDir(found)

@@ -544,7 +544,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Documents without words or without an id stay; of several rows with the id that stays, one does.
+    Documents without words or without an id stay; of several rows with the id that stays, the one with the least hash does.
     """
     del sf_dir
     kept = common.Scratch(spark, "kept").keep(link(docs).where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept__id")).agg(F.count("*").alias("kept__rows")), "kept")
@@ -552,4 +552,6 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = out.select([docs[c] for c in docs.columns])
     if kept.where("kept__rows > 1").isEmpty():
         return out
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
+    row = F.struct(*docs.columns)
+    one = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return one.select([F.col("row")[c].alias(c) for c in docs.columns]).union(out.where("doc_id IS NULL"))
