@@ -105,6 +105,26 @@ HIGH, MEDIUM = 80, 50
 BIOLOGIC_TERMS = ("cytokine", "interleukin", "chemokine", "growth factor", "structural protein", "collagen", "extracellular matrix", "inflammasome", "scaffold protein", "adapter protein", "neurotrophin", "neurotrophic factor", "brain-derived", "bdnf")
 SIGNAL_TERMS = ("cytokine", "growth factor", "hormone", "interleukin", "neurotroph")
 BIOLOGIC_PREFIXES = ("IL", "TNF", "TSLP", "COL", "BDNF")
+# Where the files of predicted structures are.
+MODEL_FILES = "https://alphafold.ebi.ac.uk/files"
+
+# Kinds of families, for the roll-up; all others are "other".
+FAMILY_KINDS = {
+    "classic": ("GPCR", "Kinase", "Ion Channel", "Nuclear Receptor", "Protease", "Phosphatase", "Transporter"),
+    "emerging": ("E3 Ubiquitin Ligase", "Deubiquitinase", "Histone Methyltransferase", "Histone Demethylase", "Histone Acetyltransferase", "Histone Deacetylase", "Bromodomain Protein", "Chromodomain Protein", "DNA Methyltransferase"),
+    "immune": ("Immune Checkpoint", "Cytokine Receptor", "T-cell Receptor"),
+    "structural": ("Tubulin", "Actin", "Motor Protein"),
+}
+
+# Columns of each stage's summary, the one it is sorted by, and whether the greatest come first.
+SUMMARIES = {
+    6: (("Step6_UniProt_ID", "Step6_Protein_Name", "Step6_Total_Pockets", "Step6_PDB_Structures", "Step6_Avg_Pockets_Per_Structure", "Step6_Subcellular_Location", "Step6_Topology", "Step6_Location_Category", "Step6_Accessibility_Score", "Step6_Accessibility_Level", "Step6_Druggability_Tier", "Step6_Drug_Modality_Options", "Step6_Targeting_Difficulty", "Step6_Clinical_Precedent", "Step6_Function"), "Step6_Accessibility_Score", True),
+    7: (("Step7_Max_TPM", "Step7_Tissue_Specificity", "Step7_Tissues_With_Expression", "Step7_Top_3_Tissues", "Step7_Overall_Expression_Score", "Step7_Expression_Quality", "Step7_Expression_Summary", "Step7_Target_Validation_Feasibility"), "Step7_Overall_Expression_Score", True),
+    8: (("Step8_Disorder_Percentage", "Step8_Passes_50_Percent_Rule", "Step8_Disorder_Category", "Step8_Druggability_Impact"), "Step8_Disorder_Percentage", False),
+    9: (("Step9_Target_Development_Level", "Step9_Overall_Pharos_Score", "Step9_Protein_Family"), "Step9_Overall_Pharos_Score", True),
+    10: (("Step10_Total_Interactions", "Step10_Drug_Target_Interactions", "Step10_Network_Connectivity", "Step10_Overall_Network_Score"), "Step10_Overall_Network_Score", True),
+}
+
 DRUGGABLE_FAMILIES = ("Kinase", "GPCR", "IC", "NR", "Enzyme")
 FALSE_POSITIVES = {"BDNF": "Neurotrophin - drugs modulate levels, do not target protein directly", "MTHFR": "Polymorphism target - drugs affect pathway, not protein binding"}
 ONLY_BIOLOGIC_WORDS = ("antibody", "antibodies", "mab", "umab", "immunoglobulin", "protein", "peptide")

@@ -43,9 +43,9 @@ def ordered_join(df: DataFrame, keys: Sequence[str], order: Sequence[str], text:
     return held.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__row")), lambda r: r["__text"]), mark).alias(name))
 
 
-def value_counts(df: DataFrame, column: str, name: str = "n", by_value: bool = False) -> DataFrame:
-    """How many rows have each value, the most frequent first, or in the order of the values."""
-    order = (F.col(column),) if by_value else (F.desc(name), F.col(column))
+def value_counts(df: DataFrame, column: str, name: str = "n", by_value: bool = False, down: bool = False) -> DataFrame:
+    """How many rows have each value, the most frequent first, or in the order of the values, or ``down`` that order."""
+    order = (F.desc_nulls_last(column) if down else F.col(column),) if by_value or down else (F.desc(name), F.col(column))
     return df.groupBy(column).agg(F.count("*").alias(name)).orderBy(*order)
 
 

@@ -133,9 +133,34 @@ def annotated_domains(annotation: DataFrame) -> DataFrame:
     return last.select(F.col("query").alias("gene_symbol"), F.transform(F.from_json(many, "array<struct<id:string>>"), lambda e: e["id"]).alias("__interpro"), json_list("a.pfam").alias("__pfam"))
 
 
+def id_and_name(key: Column, name: Column) -> Column:
+    """``id:name``, or the id alone where the name is empty; null without an id."""
+    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(key, F.lit(":"), name)).otherwise(key)
+
+
 def domain_entries(snapshot: DataFrame) -> DataFrame:
-    """All InterPro ids of each protein, from all its answers."""
-    return snapshot.groupBy("uniprot").agg(F.flatten(F.collect_list(F.transform("results", lambda r: r["metadata"]["accession"]))).alias("__entries"))
+    """All InterPro ids of each protein from all its answers, in order, with the kinds of entries and the first ten families.
+
+    A name may be a text or an object that holds one.
+    """
+    held = snapshot.groupBy("uniprot").agg(F.array_sort(F.collect_list(F.struct("seq", "results"))).alias("answers"))
+    entries = F.flatten(F.array_compact(F.transform("answers", lambda a: F.transform(a["results"], lambda r: r["metadata"]))))
+    name = lambda m: F.when(m["name"].startswith("{"), F.get_json_object(m["name"], "$.name")).otherwise(m["name"])
+    named = F.filter("m", lambda m: (m["type"] == "Family") & (F.coalesce(name(m), F.lit("")) != ""))
+    return held.select("uniprot", F.array_compact(entries).alias("m")).select(
+        "uniprot",
+        F.array_compact(F.transform("m", lambda m: F.nullif(m["accession"], F.lit("")))).alias("__entries"),
+        F.nullif(capped_join(F.transform(named, lambda m: id_and_name(m["accession"], name(m))), 10), F.lit("")).alias("interpro_families"),
+        F.nullif(F.array_join(F.array_distinct(F.transform("m", lambda m: F.nullif(m["type"], F.lit("")))), "|"), F.lit("")).alias("interpro_entry_types"),
+    )
+
+
+def cross_references(references: Column | str, database: str) -> tuple[Column, Column]:
+    """The ids of one database among a protein's cross references, and the same as ``id:name`` by their first property."""
+    own = F.filter(col(references), lambda r: (r["database"] == database) & (F.coalesce(r["id"], F.lit("")) != ""))
+    none = F.array().cast("array<string>")
+    named = F.transform(own, lambda r: id_and_name(r["id"], F.get(r["properties"], F.lit(0))["value"]))
+    return F.coalesce(F.transform(own, lambda r: r["id"]), none), F.coalesce(named, none)
 
 
 def first_list(*lists: Column | str) -> Column:
@@ -152,20 +177,23 @@ def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[s
     its hits are evidence. The rules stay one expression: no row is multiplied by rules.
     """
     families = rules.FAMILIES if families is None else families
-    low = F.lower(text)
+    low, none = F.col("__low"), F.array().cast("array<string>")
     found = lambda k: low.rlike(rf"\b\Q{k}\E\b") if strict else low.contains(k)
+    kind = lambda i: "Pfam" if i.startswith("PF") else "InterPro"
     by = []
     for name, rule in families.items():
-        words = F.array_compact(F.array(*[F.when(found(k.lower()), F.lit(f"keyword:{k}")) for k in rule.get("keywords", [])])) if rule.get("keywords") else F.array().cast("array<string>")
-        domains = F.transform(F.array_intersect(ids, F.array(*map(F.lit, rule["ids"]))), lambda i: F.concat(F.lit("domain:"), i)) if rule.get("ids") else F.array().cast("array<string>")
-        by.append(F.struct(F.lit(name).alias("family"), F.concat(F.coalesce(words, F.array().cast("array<string>")), F.coalesce(domains, F.array().cast("array<string>"))).alias("evidence")))
+        said = lambda label, value, name=name: F.lit(f"{name}: {label}: {value}")
+        evidence = [F.when(found(k.lower()), said("Keyword", k)) for k in rule.get("keywords", [])]
+        evidence += [F.when(F.array_contains("__ids", i), said(kind(i), i)) for i in rule.get("ids", [])]
+        held = F.array_compact(F.array(*evidence)) if evidence else none
+        by.append(F.struct(F.lit(name).alias("family"), held.alias("evidence")))
     hit = F.filter(F.array(*by).cast("array<struct<family:string,evidence:array<string>>>"), lambda f: F.size(f["evidence"]) > 0)
-    out = df.withColumn("__hit", hit)
+    out = df.withColumns({"__low": F.lower(text), "__ids": ids}).withColumn("__hit", hit)
     evidence = F.flatten(F.transform("__hit", lambda f: f["evidence"]))
     return out.withColumns({
         "is_druggable_family": F.size("__hit") > 0, "druggable_family_type": F.array_join(F.transform("__hit", lambda f: f["family"]), "|"),
-        "druggable_family_confidence": bands(F.size(evidence), (3, "HIGH"), (2, "MEDIUM"), (1, "LOW"), default="NONE"), "druggable_family_evidence": capped_join(evidence, 5),
-    }).drop("__hit")
+        "druggable_family_confidence": bands(F.size(evidence), (3, "HIGH"), (2, "MEDIUM"), (1, "LOW"), default="NONE"), "druggable_family_evidence": capped_join(evidence, 10),
+    }).drop("__hit", "__low", "__ids")
 
 
 def protein_class(family_type: Column | str, keywords: Column | str) -> Column:
@@ -178,19 +206,37 @@ def protein_class(family_type: Column | str, keywords: Column | str) -> Column:
 # -- 4 and 5: structures and pockets ----------------------------------------------------------------------------------
 
 
-def structures(genes: DataFrame, search: DataFrame, meta: DataFrame, predicted: DataFrame) -> DataFrame:
-    """The first structure found, its quality, and the predicted one; genes has gene_symbol and uniprot."""
+def structures(genes: DataFrame, search: DataFrame, meta: DataFrame, predicted: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The first structure found, its quality, and the predicted one; genes has gene_symbol and uniprot.
+
+    ``files`` (structure, path), as of ``structure_files``, are those at hand: a source then counts only with its
+    file. Without it every structure that is known counts as at hand.
+    """
     first = search.select("uniprot", F.size("ids").alias("num_pdb_structures"), capped_join("ids", 10).alias("pdb_ids__s4"), F.get("ids", F.lit(0)).alias("best_pdb_id"))
-    out = genes.join(first, "uniprot", "left").join(meta.select(F.col("pdb_id").alias("best_pdb_id"), F.col("resolution").alias("best_pdb_resolution"), F.col("method").alias("best_pdb_method")), "best_pdb_id", "left")
-    out = out.join(predicted.select("uniprot", F.lit(True).alias("has_alphafold_structure"), F.col("avgPlddt").alias("alphafold_avg_plddt")), "uniprot", "left")
+    about = {"resolution": "resolution", "method": "method", "title": "title", "deposit_date": "date", "organism": "organism"}
+    out = genes.join(first, "uniprot", "left")
+    out = out.join(meta.select(F.col("pdb_id").alias("best_pdb_id"), *[F.col(c).alias(f"best_pdb_{name}") for c, name in about.items()]), "best_pdb_id", "left")
+    model = predicted.select("uniprot", F.lit(True).alias("has_alphafold_structure"), F.col("modelCreatedDate").alias("alphafold_version"), F.col("avgPlddt").alias("alphafold_avg_plddt"))
+    out = out.join(model, "uniprot", "left")
+    held = lambda key, name: files.select(F.col("structure").alias(key), F.col("path").alias(name)).dropDuplicates([key])
+    for key, name in (("best_pdb_id", "pdb_structure_file"), ("uniprot", "alphafold_structure_file")):
+        out = out.withColumn(name, F.lit(None).cast("string")) if files is None else out.join(held(key, name), key, "left")
     r, p = F.nullif("best_pdb_resolution", F.lit(0.0)), F.col("alphafold_avg_plddt")
-    quality = ladder((r <= 2.0, "High (<2.0Å)"), (r <= 2.5, "Good (2.0-2.5Å)"), (r <= 3.0, "Medium (2.5-3.0Å)"), (r.isNotNull(), F.concat(F.lit("Low (>"), F.format_string("%.1f", r), F.lit("Å)"))))
-    has = F.coalesce(F.col("num_pdb_structures") > 0, F.lit(False))
-    return out.withColumns({
-        "has_pdb_structure": has, "has_alphafold_structure": F.coalesce("has_alphafold_structure", F.lit(False)), "num_pdb_structures": F.coalesce("num_pdb_structures", F.lit(0)),
-        "alphafold_quality": ladder((p >= 90, "Very High"), (p >= 70, "High"), (p >= 50, "Medium"), (p.isNotNull(), "Low"), default="Unknown"), "structure_quality_score": quality,
-        "structure_source": ladder((has, "PDB"), (F.col("has_alphafold_structure"), "AlphaFold")),
+    has, modelled = F.coalesce(F.col("num_pdb_structures") > 0, F.lit(False)), F.coalesce("has_alphafold_structure", F.lit(False))
+    at_hand = lambda name: F.lit(files is None) | F.col(name).isNotNull()
+    source = ladder((has & at_hand("pdb_structure_file"), "PDB"), (~has & modelled & at_hand("alphafold_structure_file"), "AlphaFold"))
+    quality = ladder((~modelled, None), (p >= 90, "Very High (>90)"), (p >= 70, "High (70-90)"), (p >= 50, "Low (50-70)"), (p.isNotNull(), "Very Low (<50)"), default="Unknown")
+    known = ladder((r <= 2.0, "Excellent (<2.0Å)"), (r <= 2.5, "Good (2.0-2.5Å)"), (r <= 3.0, "Moderate (2.5-3.0Å)"), (r.isNotNull(), F.concat(F.lit("Low (>"), F.format_string("%.1f", r), F.lit("Å)"))))
+    url = lambda kind: F.when(modelled, F.concat(F.lit(rules.MODEL_FILES + "/AF-"), "uniprot", F.lit(f"-F1-{kind}")))
+    out = out.withColumns({
+        "has_pdb_structure": has, "has_alphafold_structure": modelled, "num_pdb_structures": F.coalesce("num_pdb_structures", F.lit(0)), "alphafold_quality": quality, "structure_source": source,
+        "alphafold_model_url": url("model_v4.pdb"), "alphafold_confidence_url": url("confidence_v4.json"), "alphafold_pae_url": url("predicted_aligned_error_v4.json"),
     })
+    of = lambda pdb, model: F.when(F.col("structure_source") == "PDB", pdb).when(F.col("structure_source") == "AlphaFold", model)
+    return out.withColumns({
+        "structure_file": of(F.col("pdb_structure_file"), F.col("alphafold_structure_file")),
+        "structure_quality_score": of(known, F.col("alphafold_quality")),
+    })
 
 
 def assess_pockets(pockets: DataFrame) -> DataFrame:
@@ -212,10 +258,15 @@ def best_pockets(assessed: DataFrame) -> DataFrame:
     """(gene_symbol, pocket columns) -> the best pocket of each gene by druggability, the first one on ties, and counts."""
     order = F.struct(F.coalesce("druggability", F.lit(0.0)).alias("d"), (-F.col("pocket_id")).alias("i"))
     best = F.max_by(F.struct("pocket_id", "volume", "druggability", "hydrophobicity", "score", "category", "confidence", "favorable", "concerns"), order)
-    by = assessed.groupBy("gene_symbol").agg(best.alias("b"), F.count("*").alias("pockets_found"), F.count_if("is_druggable").alias("num_druggable_pockets"))
+    by = assessed.groupBy("gene_symbol").agg(best.alias("b"), F.count("*").alias("pockets_found"), F.count_if("is_druggable").alias("num_druggable_pockets"), F.array_sort(F.collect_list(F.struct("pocket_id", "volume", "druggability"))).alias("all"))
+    v, d = (lambda x: F.rint(F.nullif(x["volume"], F.lit(0.0)))), (lambda x: F.nullif(x["druggability"], F.lit(0.0)))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    listed = lambda form, of: F.transform("all", lambda x: F.when(of(x).isNotNull(), F.format_string(form, of(x))))
+    detail = F.transform("all", lambda x: F.format_string("P%d:Vol=%.0f:Drug=%.2f", x["pocket_id"], zero(v(x)), zero(d(x))))
     return by.select(
         "gene_symbol", F.lit(True).alias("fpocket_run"), "pockets_found", F.col("b.pocket_id").alias("best_pocket_id"), F.col("b.volume").alias("best_pocket_volume"), F.col("b.druggability").alias("best_pocket_druggability"), F.col("b.hydrophobicity").alias("best_pocket_hydrophobicity"), F.col("b.score").alias("best_pocket_score"),
         (F.col("num_druggable_pockets") > 0).alias("has_druggable_pocket"), "num_druggable_pockets", F.col("b.category").alias("best_pocket_category"), F.col("b.confidence").alias("best_pocket_confidence"), F.array_join("b.favorable", "|").alias("favorable_features"), F.array_join("b.concerns", "|").alias("concerns"),
+        F.nullif(F.array_join(listed("%.0f", v), "|"), F.lit("")).alias("all_pockets_volumes"), F.nullif(F.array_join(listed("%.2f", d), "|"), F.lit("")).alias("all_pockets_druggability"), capped_join(detail, 10).alias("pocket_details"),
     )
 
 

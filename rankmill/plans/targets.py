@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmill.functions.columns import capped_join
 from rankmill.operators.tables import attach
 from rankmill.plans import composite, features, validation
 from rankmill.sources.sinks import stage_store
@@ -13,12 +14,12 @@ from rankmill.sources.snapshots import read_snapshot
 LAST = 12
 
 
-def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, census: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
+def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, files: DataFrame | None = None, census: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
     """Stages 1 to ``until`` over the snapshots under ``root``; genes has gene_symbol.
 
     Each stage's table is kept under ``stages`` (see ``stage_store``). Pockets (gene_symbol and the
     pocket numbers), sequences and confidence come from their readers, where there are any. Families are
-    those of ``rules.FAMILIES`` unless others are given. The census is that of ``pocket_census``.
+    those of ``rules.FAMILIES`` unless others are given. Files (structure, path) are those of ``structure_files``. The census is that of ``pocket_census``.
     """
     snap = lambda name: read_snapshot(spark, root, name)
     keep = stage_store(spark, stages)
@@ -34,19 +35,21 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
     df = keep(df, "stage02")
     if until >= 3:
         words = F.transform("entry.keywords", lambda k: k["name"])
-        about = lambda kind: F.get(F.filter("entry.comments", lambda c: c["commentType"] == kind), 0)["texts"][0]["value"]
-        df = attach(df, entry, "gene_symbol").withColumns({"uniprot_protein_name": F.col("entry.proteinDescription.recommendedName.fullName.value"), "uniprot_function": about("FUNCTION"), "uniprot_protein_families": about("SIMILARITY"), "__words": words})
+        about = lambda kind: F.filter(F.flatten(F.array_compact(F.transform(F.filter("entry.comments", lambda c: c["commentType"] == kind), lambda c: F.transform(c["texts"], lambda t: t["value"])))), lambda t: t != "")
+        df = attach(df, entry, "gene_symbol").withColumns({"uniprot_protein_name": F.col("entry.proteinDescription.recommendedName.fullName.value"), "uniprot_function": F.try_element_at(about("FUNCTION"), F.lit(-1)), "uniprot_protein_families": F.nullif(F.array_join(about("SIMILARITY"), "|"), F.lit("")), "uniprot_keywords": F.nullif(capped_join(words, 20), F.lit("")), "__words": words})
         text = F.concat_ws(" ", "uniprot_protein_name", "uniprot_function", "uniprot_protein_families", F.array_join("__words", " "))
         df = attach(df, features.annotated_domains(snap("gene_annotation")), "gene_symbol")
         df = attach(df, features.domain_entries(snap("domain_entries")).withColumnRenamed("uniprot", "uniprot_swissprot"), "uniprot_swissprot")
-        pfam = F.transform(F.filter("entry.uniProtKBCrossReferences", lambda r: r["database"] == "Pfam"), lambda r: r["id"])
+        (pfam, pfam_named), (_, interpro_named) = (features.cross_references("entry.uniProtKBCrossReferences", name) for name in ("Pfam", "InterPro"))
+        for kind, named in (("pfam", pfam_named), ("interpro", interpro_named)):
+            df = df.withColumns({f"{kind}_domains__s3": F.nullif(capped_join(named, 15), F.lit("")), f"{kind}_domain_count": F.size(named)})
         ids = F.concat(features.first_list("__entries", "__interpro"), features.first_list(pfam, "__pfam"))
         df = features.classify_families(df, text, ids, families).drop("__entries", "__interpro", "__pfam")
         df = df.withColumn("protein_class", features.protein_class("druggable_family_type", "__words")).drop("entry", "__words")
     df = keep(df, "stage03")
     if until >= 4:
         own = df.select("gene_symbol", F.col("uniprot_swissprot").alias("uniprot"))
-        df = attach(df, features.structures(own, snap("structure_search"), snap("structure_meta"), snap("predicted_structure")).drop("uniprot"), "gene_symbol")
+        df = attach(df, features.structures(own, snap("structure_search"), snap("structure_meta"), snap("predicted_structure"), files).drop("uniprot"), "gene_symbol")
     df = keep(df, "stage04")
     if until >= 5 and pockets is not None:
         df = attach(df, features.best_pockets(features.assess_pockets(pockets)), "gene_symbol", {"fpocket_run": False, "has_druggable_pocket": False})

@@ -19,7 +19,7 @@ SCHEMAS = {
     "drug_interactions": "gene string, longName string, geneCategories array<struct<name:string>>, interactions array<struct<drug:struct<name:string,approved:boolean>,interactionScore:double,interactionTypes:array<struct<type:string>>,sources:array<struct<fullName:string>>>>",
     "compound_activities": "gene string, target_chembl_id string, target_type string, activities array<struct<molecule_chembl_id:string,molecule_max_phase:int>>",
     "known_drugs": "ensembl_id string, count int, uniqueDrugs int, rows array<struct<drug:struct<id:string,name:string>,drugType:string,mechanismOfAction:string,phase:int,status:string>>",
-    "domain_entries": "uniprot string, results array<struct<metadata:struct<accession:string,name:string,type:string>>>",
+    "domain_entries": "uniprot string, seq long, results array<struct<metadata:struct<accession:string,name:string,type:string>>>",
     "structure_search": "uniprot string, ids array<string>",
     "structure_meta": "pdb_id string, title string, method string, resolution double, deposit_date string, organism string",
     "predicted_structure": "uniprot string, modelCreatedDate string, paeDocUrl string, pdbUrl string, avgPlddt double",
@@ -71,6 +71,23 @@ def read_confidence(spark: SparkSession, glob: str, residues: bool = False) -> D
     return lines.groupBy("uniprot").agg(F.avg(score).alias("mean_plddt"), F.count_if(score < 50).alias("n_low"), F.count(score).alias("n_records"))
 
 
+def structure_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """The structure files in the folders -> structure, path: by the accession in a predicted structure's name, else by the
+    name before ``.pdb``. Only names are read, no contents. Of several files of one structure the last path stays."""
+    names = None
+    for folder in folders:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdb").load(folder).select("path")
+        names = found if names is None else names.union(found)
+    stem = F.regexp_extract("path", r"([^/]+)\.pdb$", 1)
+    accession = F.regexp_extract("path", r"AF-([A-Z0-9]+)-[^/]*$", 1)
+    return names.groupBy(F.coalesce(F.nullif(accession, F.lit("")), stem).alias("structure")).agg(F.max("path").alias("path"))
+
+
+def still_missing(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The structures (column structure) with no file yet: what is left to fetch, however often that is asked."""
+    return wanted.where("structure IS NOT NULL").dropDuplicates(["structure"]).join(files, "structure", "left_anti")
+
+
 def read_pockets(spark: SparkSession, glob: str) -> DataFrame:
     """Pocket information text -> path, pocket_id and its numbers; a number that isn't plain digits is null."""
     text = spark.read.text(glob, wholetext=True).select(F.input_file_name().alias("path"), "value")

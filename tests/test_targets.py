@@ -62,7 +62,7 @@ def test_identifiers_and_drugs(table):
 def test_structure_to_network(table):
     a, i, n = (table[1][g] for g in GENES)
     assert (a["druggable_family_type"], a["druggable_family_confidence"], a["protein_class"]) == ("GPCR", "MEDIUM", "GPCR")
-    assert (a["structure_source"], a["structure_quality_score"], i["structure_source"], i["alphafold_quality"], n["structure_source"]) == ("PDB", "Good (2.0-2.5Å)", "AlphaFold", "Very High", None)
+    assert (a["structure_source"], a["structure_quality_score"], i["structure_source"], i["alphafold_quality"], n["structure_source"]) == ("PDB", "Good (2.0-2.5Å)", "AlphaFold", "Very High (>90)", None)
     assert (a["best_pocket_id"], a["has_druggable_pocket"], a["best_pocket_category"], i["has_druggable_pocket"], i["best_pocket_category"]) == (2, True, "Excellent", False, "Poor")
     assert (a["Step6_Druggability_Tier"], i["Step6_Location_Category"], n["Step6_Druggability_Tier"]) == ("Tier 1 - High", "Extracellular/Secreted", "Unassessed")
     assert (a["Step7_Median_TPM"], a["Step7_Tissues_With_Expression"], a["Step7_Blood_Expression"], a["Step7_Overall_Expression_Score"]) == (4.0, 4, "Yes", 9)
