@@ -11,6 +11,9 @@ from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder
 from rankmill.operators import metrics
 from rankmill.operators.tables import attach, keep_first, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
 from rankmill.plans import validation
+from rankmill.plans.features import id_and_name
+from rankmill.plans.reports import validation_report
+from rankmill.sources.snapshots import still_missing
 from rankmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,3 +523,36 @@ def q_weighted_composite(spark, sf):
     scored = scored.withColumn("composite", F.greatest("track_a", "track_b"))
     modality = ladder((F.col("track_a") > F.col("track_b"), "A"), (F.col("track_b") > F.col("track_a"), "B"), default="Both")
     return scored.select("partkey", "known", "family", "pocket", "level", "access", "ord", "breadth", "network", "track_a", "track_b", "composite", modality.alias("modality"), bands("composite", (80, "High"), (50, "Medium"), default="Low").alias("class"))
+
+
+# -- names, what is left to fetch, and reports -------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS partkey, CASE WHEN p_size > 10 AND p_name <> '' THEN CAST(p_partkey AS VARCHAR) || ':' || p_name ELSE CAST(p_partkey AS VARCHAR) END AS label FROM part")
+def q_id_and_name(spark, sf):
+    name = F.when(F.col("p_size") > 10, F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), id_and_name(F.col("p_partkey").cast("string"), name).alias("label"))
+
+
+@query("SELECT DISTINCT c_custkey AS structure FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def q_still_missing(spark, sf):
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("structure"))
+    return still_missing(wanted, table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("structure")))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 DESC")
+def q_counts_by_value_down(spark, sf):
+    return value_counts(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority")), "priority", down=True)
+
+
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS score, 'S' || s_suppkey AS gene_symbol, 'TARGET: S' || s_suppkey || chr(10) || repeat('-', 80) || chr(10) || chr(10) || 'SCORES:' || chr(10) || '  Composite: 0.0/100' || chr(10)
+|| '  Small Molecule: 0.0/100 (Literature: 0/100)' || chr(10) || '  Biologic: 0.0/100 (Literature: 0/100)' || chr(10) || '  Best Modality: Unknown' || chr(10) || chr(10) || 'VALIDATION:' || chr(10) || '  Level: ' || s_name || chr(10)
+|| '  Score: ' || s_nationkey || '/10' || chr(10) || '  Publications: ' || s_nationkey * 2 || chr(10) || '  Clinical Trials: 0' AS value FROM supplier""")
+def q_report_blocks(spark, sf):
+    rows = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("gene_symbol"),
+        F.col("s_name").alias("Step12_Validation_Level"),
+        F.col("s_nationkey").alias("Step12_Validation_Score"),
+        (F.col("s_nationkey") * 2).alias("Step12_Literature_Publications"),
+    )
+    return validation_report(rows)

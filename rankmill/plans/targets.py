@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from rankmill.sources.sinks import stage_store
 from rankmill.sources.snapshots import read_snapshot
 
 LAST = 12
+log = logging.getLogger(__name__)
 
 
 def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, files: DataFrame | None = None, census: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
@@ -22,7 +25,13 @@ def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | No
     those of ``rules.FAMILIES`` unless others are given. Files (structure, path) are those of ``structure_files``. The census is that of ``pocket_census``.
     """
     snap = lambda name: read_snapshot(spark, root, name)
-    keep = stage_store(spark, stages)
+    store = stage_store(spark, stages)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held = store(df, name)
+        log.info("%s kept: %d columns", name, len(held.columns))
+        return held
+
     proteins = snap("protein_entry")
     df = attach(features.unique_genes(genes.select("gene_symbol")), features.identifiers(snap("gene_annotation"), proteins), "gene_symbol")
     df = keep(df, "stage01")
