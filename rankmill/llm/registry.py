@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from rankmill.llm import centroids
 from rankmill.llm.bpe import op3_byte_bpe
+from rankmill.llm.centroids import op13_centroid_clustering
 from rankmill.llm.chat import op7_chat_formatting
 from rankmill.llm.digests import op9_fingerprints
 from rankmill.llm.jaccard import op10_ngram_jaccard
@@ -15,7 +17,7 @@ from rankmill.llm.token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op5_nearest_neighbours, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard)
+    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op5_nearest_neighbours, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard, op13_centroid_clustering)
 }
 #: Sets as lists of shingles' texts, pairs by what they share, and the least document that links reach.
 _JACCARD = r"""
@@ -41,4 +43,4 @@ WITH RECURSIVE said AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, coalesce(d.n, 0) AS n_links
 FROM sets s JOIN least_seen l ON l.node = s.doc_id LEFT JOIN degrees d ON d.a = s.doc_id
 """
-SQL: dict[str, str] = {"op10_ngram_jaccard": _JACCARD}
+SQL: dict[str, str] = {"op10_ngram_jaccard": _JACCARD, "op13_centroid_clustering": centroids.sql()}
