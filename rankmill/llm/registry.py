@@ -8,6 +8,7 @@ from rankmill.llm.centroids import op13_centroid_clustering
 from rankmill.llm.chat import op7_chat_formatting
 from rankmill.llm.digests import op9_fingerprints
 from rankmill.llm.jaccard import op10_ngram_jaccard
+from rankmill.llm.languages import op11_language_id
 from rankmill.llm.licenses import op4_license_scans
 from rankmill.llm.neighbours import op5_nearest_neighbours
 from rankmill.llm.packing import op1_packing
@@ -17,7 +18,7 @@ from rankmill.llm.token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op5_nearest_neighbours, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard, op13_centroid_clustering)
+    for f in (op1_packing, op2_quality_classifier, op3_byte_bpe, op4_license_scans, op5_nearest_neighbours, op6_secret_scans, op7_chat_formatting, op8_token_counts, op9_fingerprints, op10_ngram_jaccard, op11_language_id, op13_centroid_clustering)
 }
 #: Sets as lists of shingles' texts, pairs by what they share, and the least document that links reach.
 _JACCARD = r"""
