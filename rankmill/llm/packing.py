@@ -3,7 +3,7 @@
 ``pack`` tokenises documents, cuts them into pieces of at most a capacity and puts the pieces into windows.
 Every input partition packs what it reads, in groups of ``group_docs`` documents, or fewer where these have ``group_tokens``
 tokens or more: nothing is shuffled, and no
-task holds more than one group. Input in more partitions than it has groups is read in fewer, so that few groups are small. A group of T tokens gets ceil(T / capacity) windows; partial partitions with
+task holds more than one group. Input in more partitions than it has groups, by documents and by bytes, is read in fewer, so that few groups are small. A group of T tokens gets ceil(T / capacity) windows; partial partitions with
 opposing imbalances are merged until one remains, and while its fullest window exceeds the capacity the
 differencing is run again with one window more.
 
@@ -29,6 +29,8 @@ from rankmill.llm import bpe, common
 
 CAPACITY = 4096
 END_ID = 2
+TOKEN_BYTES = 3  # of text, about
+SMALL = 2 << 20  # bytes of text that make windows enough for one of them, half empty, not to matter
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -164,6 +166,17 @@ def cut(tokens: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     return [(s, capacity) for s in range(0, whole, capacity)] + [(s, min(grain, tokens - s)) for s in range(whole, tokens, grain)]
 
 
+def tasks(rows: DataFrame, group_docs: int, group_tokens: int) -> int:
+    """In how many tasks to pack: as many as there are groups. Only where there are fewer of ``group_docs`` documents than
+    cores the texts' bytes are summed, and few but long texts still make use of each core."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    by_count = rows.count() // group_docs
+    if by_count >= cores:
+        return by_count
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, by_count, size // (group_tokens * TOKEN_BYTES), min(cores, size // SMALL))
+
+
 def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, group_docs: int = 800, group_tokens: int = 4_000_000, grain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, its ids as little-endian unsigned 32-bit integers."""
 
@@ -205,7 +218,7 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", capacity: int
             yield common.record_batch(SCHEMA, columns)
 
     rows = common.id_and_text(docs, id_col, text_col)
-    return rows.coalesce(max(1, docs.count() // group_docs)).mapInArrow(run, common.spark_schema(SCHEMA))
+    return rows.coalesce(tasks(rows, group_docs, group_tokens)).mapInArrow(run, common.spark_schema(SCHEMA))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

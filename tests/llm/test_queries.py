@@ -57,6 +57,16 @@ def test_padding_is_small_however_the_table_is_split(spark):
     assert sum(p["length"] for p in packing.pack(docs, group_tokens=5000).collect()) == sum(p["length"] for p in pieces)
 
 
+def test_few_long_documents_use_each_core(spark):
+    cores = spark.sparkContext.defaultParallelism
+    long = spark.range(40, numPartitions=40).selectExpr("id AS doc_id", "repeat('some words ', 100000) AS text")
+    assert packing.tasks(long, 800, 4_000_000) == cores
+    assert packing.tasks(long, 800, 100_000) == 40 * 1_100_000 // 300_000
+    assert packing.tasks(long.selectExpr("doc_id", "'short' AS text"), 800, 4_000_000) == 1
+    assert packing.tasks(spark.range(5000).selectExpr("id AS doc_id", "'short' AS text"), 800, 4_000_000) == 6
+    assert packing.tasks(long.limit(0), 800, 4_000_000) == 1
+
+
 def test_encoding_query(spark, folder):
     import tiktoken
 
