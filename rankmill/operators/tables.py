@@ -3,21 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults: dict | None = None) -> DataFrame:
-    """A left join on the key with defaults for what isn't found. The optimizer picks the join; nothing is forced."""
-    out = left.join(right, key, "left")
+SPREAD = 32  # parts that rows without a key are dealt to where they meet others without
+
+
+def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults: dict | None = None, unique: bool = False) -> DataFrame:
+    """A left join on the key in which null meets null, with defaults for what isn't found.
+
+    Rows with a whole key meet in an equi-join, and the optimizer picks which. Those of ``left`` with a null in the key never enter it, so
+    they burden no task: where ``right`` is ``unique`` (one row per key at most) a single one can answer them, which is handed to
+    each; else they are dealt to parts, and the few rows of ``right`` without a key are there in each part. Equal rows on either side
+    are rows of their own; an empty side gives nulls or nothing; columns keep the order left, right.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    whole, broken = _whole(keys), ~_whole(keys)
+    others = [c for c in right.columns if c not in keys]
+    met = left.where(whole).join(right.where(whole), keys, "left").select(*left.columns, *others)
+    without, answers = left.where(broken), right.where(broken)
+    if unique and len(keys) == 1:
+        # a proven bound: of one key there is one row
+        alone = without.join(F.broadcast(answers.select(others)), F.lit(True), "left")
+    else:
+        names = {k: f"__key{i}" for i, k in enumerate(keys)}
+        dealt = without.withColumn("__part", F.monotonically_increasing_id() % SPREAD)
+        each = answers.select(F.explode(F.expr(f"sequence(0L, {SPREAD - 1}L)")).alias("__in"), *[F.col(k).alias(n) for k, n in names.items()], *others)
+        on = F.col("__part") == F.col("__in")
+        # a single null key meets a null key; of several keys the others decide
+        for k, n in names.items() if len(keys) > 1 else ():
+            on = on & dealt[k].eqNullSafe(F.col(n))
+        alone = dealt.join(each, on, "left")
+    out = met.unionByName(alone.select(*left.columns, *others))
     return out.fillna(defaults) if defaults else out
 
 
-def attach_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """A left join in which a null key meets a null key."""
-    side = right.withColumnRenamed(key, "__key")
-    return left.join(side, left[key].eqNullSafe(side["__key"]), "left").drop("__key")
+def lookup(left: DataFrame, right: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
+    """A left join on the key in which a null key finds nothing; rows without one don't enter the join at all."""
+    out = left.where(F.col(key).isNotNull()).join(right.where(F.col(key).isNotNull()), key, "left").select(*left.columns, *[c for c in right.columns if c != key])
+    out = out.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out.fillna(defaults) if defaults else out
+
+
+def _whole(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
 def resolve_key(df: DataFrame, names: Sequence[str] = ("Gene", "gene", "Gene_Symbol", "gene_symbol")) -> str:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder, letters_sum, present_mean, safe_ratio, starts_with_any, truncated, upper_median
+from rankmill.functions import rules
 from rankmill.operators import metrics
-from rankmill.operators.tables import attach, keep_first, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
+from rankmill.operators.tables import attach, keep_first, lookup, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
 from rankmill.plans import validation
-from rankmill.plans.features import id_and_name
+from rankmill.plans.features import classify_families, id_and_name
 from rankmill.plans.reports import validation_report
 from rankmill.sources.snapshots import still_missing
 from rankmill.sources.tables import table
@@ -129,6 +130,31 @@ def q_chained_lookup(spark, sf):
     return out.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.sum("n").alias("n_lines"), F.round(F.sum("q"), 2).alias("quantity"))
 
 
+# a third of the orders and a fifth of the customers have no key; those of the customers are one row
+@query("""SELECT o_orderkey AS orderkey, k AS custkey, coalesce(n, 0) AS n, coalesce(balance, 0.0) AS balance FROM
+(SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k FROM orders) LEFT JOIN
+(SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS c, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1) ON k IS NOT DISTINCT FROM c""")
+def q_null_attach(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("custkey"))
+    by = table(spark, sf, "customer").groupBy(F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("custkey")).agg(n(), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return attach(orders, by, "custkey", {"n": 0, "balance": 0.0}, unique=True)
+
+
+# several rows without a key on the right: each meets each of the left
+@query("""SELECT e AS event_id, u AS user_id, name, region FROM (SELECT event_id AS e, CASE WHEN user_id % 3 <> 0 THEN user_id END AS u FROM events) LEFT JOIN
+(SELECT CASE WHEN n_nationkey < 22 THEN n_nationkey END AS k, n_name AS name, n_regionkey AS region FROM nation) ON u IS NOT DISTINCT FROM k""")
+def q_null_attach_many(spark, sf):
+    events = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user_id"))
+    nations = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") < 22, F.col("n_nationkey")).cast("long").alias("user_id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return attach(events, nations, "user_id")
+
+
+@query("""SELECT o_orderkey AS orderkey, k AS custkey, c_name AS name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k FROM orders) LEFT JOIN customer ON k = c_custkey""")
+def q_lookup(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("custkey"))
+    return lookup(orders, table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name")), "custkey")
+
+
 _CHEAPEST = "SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice / l_quantity, l_suppkey) AS r FROM lineitem"
 
 
@@ -168,6 +194,31 @@ def q_keyword_theta_join(spark, sf):
     return each.select("doc_id", total.cast("bigint").alias("n_hits"), found.alias("families"), bands(total, (6, "HIGH"), (3, "MEDIUM"), (1, "LOW"), default="NONE").alias("confidence"))
 
 
+#: The 35 families as rows, and the words and ids that the parts of the query below are told to have.
+_RULES = [(no, i, name, *x) for no, (name, rule) in enumerate(rules.FAMILIES.items()) for i, x in enumerate([("Keyword", k) for k in rule["keywords"]] + [("Pfam" if d.startswith("PF") else "InterPro", d) for d in rule["ids"]])]
+_WORDS, _IDS = [r[4] for r in _RULES if r[3] == "Keyword"], [r[4] for r in _RULES if r[3] != "Keyword"]
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_listed = lambda xs: "[" + ", ".join(map(_quoted, xs)) + "]"
+
+
+@query(f"""WITH rules(family_no, rule_no, family, kind, value) AS (VALUES {", ".join(f"({a}, {b}, {_quoted(f)}, {_quoted(k)}, {_quoted(v)})" for a, b, f, k, v in _RULES)}), told AS (
+SELECT p_partkey AS partkey, lower('Probable ' || upper({_listed(_WORDS)}[1 + p_partkey * 7 % {len(_WORDS)}]) || '-like ' || p_name || ' and ' || {_listed(_WORDS)}[1 + p_partkey * p_size % {len(_WORDS)}]) AS low,
+CASE WHEN p_partkey % 3 = 0 THEN [{_listed(_IDS)}[1 + p_partkey * 5 % {len(_IDS)}], {_listed(_IDS)}[1 + p_partkey * p_size % {len(_IDS)}]] ELSE [] END AS ids FROM part), hits AS (
+SELECT partkey, family_no, rule_no, family, family || ': ' || kind || ': ' || value AS evidence FROM told, rules WHERE CASE kind WHEN 'Keyword' THEN contains(low, value) ELSE list_contains(ids, value) END), names AS (
+SELECT partkey, string_agg(family, '|' ORDER BY family_no) AS families FROM (SELECT DISTINCT partkey, family_no, family FROM hits) GROUP BY partkey), told_all AS (
+SELECT partkey, count(*) AS n, list(evidence ORDER BY family_no, rule_no) AS e FROM hits GROUP BY partkey)
+SELECT partkey, n IS NOT NULL AS found, coalesce(families, '') AS families, CASE WHEN n >= 3 THEN 'HIGH' WHEN n = 2 THEN 'MEDIUM' WHEN n = 1 THEN 'LOW' ELSE 'NONE' END AS confidence, coalesce(array_to_string(e[:10], '|'), '') AS evidence
+FROM told LEFT JOIN names USING (partkey) LEFT JOIN told_all USING (partkey)""")
+def q_family_rules(spark, sf):
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), (i % len(values)).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(F.lit("Probable "), F.upper(pick(_WORDS, key * 7)), F.lit("-like "), "p_name", F.lit(" and "), pick(_WORDS, key * size))
+    ids = F.when(key % 3 == 0, F.array(pick(_IDS, key * 5), pick(_IDS, key * size))).otherwise(F.array().cast("array<string>"))
+    told = table(spark, sf, "part").select(key.alias("partkey"), text.alias("text"), ids.alias("ids"))
+    found = classify_families(told, F.col("text"), F.col("ids"), key="partkey")
+    return found.select("partkey", F.col("is_druggable_family").alias("found"), F.col("druggable_family_type").alias("families"), F.col("druggable_family_confidence").alias("confidence"), F.col("druggable_family_evidence").alias("evidence"))
+
+
 @query("""SELECT p_partkey AS partkey, coalesce(d, 0) AS degree, coalesce(t, 0) AS target_degree, coalesce(d, 0) >= 15 AS hub FROM part LEFT JOIN
 (SELECT l_partkey, count(DISTINCT l_suppkey) AS d, count(DISTINCT CASE WHEN s_acctbal > 7000 THEN l_suppkey END) AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) ON l_partkey = p_partkey""")
 def q_network_targets(spark, sf):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import rules
 from rankmill.functions.columns import bands, capped_join, col, has_any, ladder, letters_sum, present_mean, upper_median
+from rankmill.operators.rule_index import matched, rule_table
 from rankmill.operators.tables import top_k
 
 # -- 1: identifiers from annotation ----------------------------------------------------------------------------------
@@ -169,31 +170,46 @@ def first_list(*lists: Column | str) -> Column:
     return F.coalesce(*[F.when(F.size(x) > 0, x) for x in some], F.array().cast("array<string>"))
 
 
-def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict] | None = None, strict: bool = False) -> DataFrame:
-    """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order;
-    those of ``rules.FAMILIES`` unless given.
+def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict] | DataFrame | None = None, strict: bool = False, key: str | None = None) -> DataFrame:
+    """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order, or a table
+    as of ``rule_table``; those of ``rules.FAMILIES`` unless given.
 
     Keywords are substrings of the text in lower case, or whole words if ``strict``. Every family that is hit counts, and
-    its hits are evidence. The rules stay one expression: no row is multiplied by rules.
+    its hits are evidence. The rules are rows, met through their index; ``key`` names a column of which each row has
+    its own value, without it rows of equal text and ids are looked at once. A null text has no keyword.
     """
     families = rules.FAMILIES if families is None else families
-    low, none = F.col("__low"), F.array().cast("array<string>")
-    found = lambda k: low.rlike(rf"\b\Q{k}\E\b") if strict else low.contains(k)
-    kind = lambda i: "Pfam" if i.startswith("PF") else "InterPro"
-    by = []
-    for name, rule in families.items():
-        said = lambda label, value, name=name: F.lit(f"{name}: {label}: {value}")
-        evidence = [F.when(found(k.lower()), said("Keyword", k)) for k in rule.get("keywords", [])]
-        evidence += [F.when(F.array_contains("__ids", i), said(kind(i), i)) for i in rule.get("ids", [])]
-        held = F.array_compact(F.array(*evidence)) if evidence else none
-        by.append(F.struct(F.lit(name).alias("family"), held.alias("evidence")))
-    hit = F.filter(F.array(*by).cast("array<struct<family:string,evidence:array<string>>>"), lambda f: F.size(f["evidence"]) > 0)
-    out = df.withColumns({"__low": F.lower(text), "__ids": ids}).withColumn("__hit", hit)
-    evidence = F.flatten(F.transform("__hit", lambda f: f["evidence"]))
+    table = rule_table(df.sparkSession, families) if isinstance(families, dict) else families
+    held = df.withColumns({"__low": F.lower(text), "__ids": ids})
+    own = F.struct(F.col(key)) if key else F.sha2(F.to_json(F.struct("__low", "__ids")), 256)
+    held = held.withColumn("__key", own)
+    rows = held.select(F.col("__key").alias("key"), F.col("__low").alias("low"), F.col("__ids").alias("ids"))
+    hits = matched(rows if key else rows.dropDuplicates(["key"]), table, strict).withColumnRenamed("key", "__key")
+    out = held.join(hits, "__key", "left")
+    evidence = F.coalesce(F.transform("hits", lambda h: h["evidence"]), F.array().cast("array<string>"))
+    names = F.array_distinct(F.coalesce(F.transform("hits", lambda h: h["family"]), F.array().cast("array<string>")))
     return out.withColumns({
-        "is_druggable_family": F.size("__hit") > 0, "druggable_family_type": F.array_join(F.transform("__hit", lambda f: f["family"]), "|"),
+        "is_druggable_family": F.col("hits").isNotNull(), "druggable_family_type": F.array_join(names, "|"),
         "druggable_family_confidence": bands(F.size(evidence), (3, "HIGH"), (2, "MEDIUM"), (1, "LOW"), default="NONE"), "druggable_family_evidence": capped_join(evidence, 10),
-    }).drop("__hit", "__low", "__ids")
+    }).drop("hits", "__low", "__ids", "__key")
+
+
+def family_columns(side: DataFrame, families: dict | DataFrame | None = None) -> DataFrame:
+    """gene_symbol, a protein's entry, and its domains by annotation and by domain entries -> the columns of the stage."""
+    words = F.transform("entry.keywords", lambda k: k["name"])
+    about = lambda kind: F.filter(F.flatten(F.array_compact(F.transform(F.filter("entry.comments", lambda c: c["commentType"] == kind), lambda c: F.transform(c["texts"], lambda t: t["value"])))), lambda t: t != "")
+    named = F.col("entry.proteinDescription.recommendedName.fullName.value")
+    df = side.withColumns({
+        "uniprot_protein_name": named, "uniprot_function": F.try_element_at(about("FUNCTION"), F.lit(-1)), "uniprot_protein_families": F.nullif(F.array_join(about("SIMILARITY"), "|"), F.lit("")),
+        "uniprot_keywords": F.nullif(capped_join(words, 20), F.lit("")), "__words": words,
+    })
+    text = F.concat_ws(" ", "uniprot_protein_name", "uniprot_function", "uniprot_protein_families", F.array_join("__words", " "))
+    (pfam, pfam_named), (_, interpro_named) = (cross_references("entry.uniProtKBCrossReferences", name) for name in ("Pfam", "InterPro"))
+    for kind, said in (("pfam", pfam_named), ("interpro", interpro_named)):
+        df = df.withColumns({f"{kind}_domains__s3": F.nullif(capped_join(said, 15), F.lit("")), f"{kind}_domain_count": F.size(said)})
+    ids = F.concat(first_list("__entries", "__interpro"), first_list(pfam, "__pfam"))
+    df = classify_families(df, text, ids, families, key="gene_symbol").drop("__entries", "__interpro", "__pfam")
+    return df.withColumn("protein_class", protein_class("druggable_family_type", "__words")).drop("entry", "__words")
 
 
 def protein_class(family_type: Column | str, keywords: Column | str) -> Column:

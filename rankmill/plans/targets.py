@@ -2,95 +2,97 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankmill.functions.columns import capped_join
-from rankmill.operators.tables import attach
+from rankmill.operators.tables import attach, lookup
 from rankmill.plans import composite, features, validation
 from rankmill.sources.sinks import stage_store
-from rankmill.sources.snapshots import read_snapshot
+from rankmill.sources.snapshots import failed_answers, ingest
 
 LAST = 12
-log = logging.getLogger(__name__)
 
 
-def run(spark: SparkSession, genes: DataFrame, root: str, *, families: dict | None = None, pockets: DataFrame | None = None, files: DataFrame | None = None, census: DataFrame | None = None, sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None) -> DataFrame:
+def run(
+    spark: SparkSession, genes: DataFrame, root: str, *, families: dict | DataFrame | None = None, pockets: DataFrame | None = None, files: DataFrame | None = None, census: DataFrame | None = None,
+    sequences: DataFrame | None = None, confidence: DataFrame | None = None, until: int = LAST, location_default: str = "", stages: str | None = None, disease: str = validation.DISEASE,
+) -> DataFrame:
     """Stages 1 to ``until`` over the snapshots under ``root``; genes has gene_symbol.
 
-    Each stage's table is kept under ``stages`` (see ``stage_store``). Pockets (gene_symbol and the
-    pocket numbers), sequences and confidence come from their readers, where there are any. Families are
-    those of ``rules.FAMILIES`` unless others are given. Files (structure, path) are those of ``structure_files``. The census is that of ``pocket_census``.
+    Each stage's table is kept under ``stages`` (see ``stage_store``), and so are the snapshots, parsed once; failed answers are left out
+    and kept as the table ``refetch``. A stage makes its new columns on the keys alone (``own``) and attaches them to the wide table at
+    once, by gene: that table, kept in buckets of genes, isn't shuffled. Pockets (gene_symbol and the pocket numbers), sequences and
+    confidence come from their readers, where there are any. Families are those of ``rules.FAMILIES`` unless others are
+    given, as a dict or as a table of rules. Files (structure, path) are those of ``structure_files``. The census is that of ``pocket_census``.
     """
-    snap = lambda name: read_snapshot(spark, root, name)
-    store = stage_store(spark, stages)
+    keep = stage_store(spark, stages)
+    taken: dict[str, DataFrame] = {}
+
+    def snap(name: str) -> DataFrame:
+        if name not in taken:
+            taken[name] = ingest(spark, root, name, f"{keep.base}/snapshots")
+        return taken[name]
+
+    def own(df: DataFrame, *more: str) -> DataFrame:
+        return df.select("gene_symbol", *more)
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        held = store(df, name)
-        log.info("%s kept: %d columns", name, len(held.columns))
-        return held
+    def grown(df: DataFrame, side: DataFrame) -> DataFrame:
+        """The wide table with the columns of a side that has its genes."""
+        return attach(df, side.drop(*[c for c in side.columns if c != "gene_symbol" and c in df.columns]), "gene_symbol", unique=True)
 
     proteins = snap("protein_entry")
-    df = attach(features.unique_genes(genes.select("gene_symbol")), features.identifiers(snap("gene_annotation"), proteins), "gene_symbol")
+    df = attach(features.unique_genes(genes.select("gene_symbol")), features.identifiers(snap("gene_annotation"), proteins), "gene_symbol", unique=True)
     df = keep(df, "stage01")
     if until >= 2:
-        df = attach(df, features.drug_interactions(snap("drug_interactions")), "gene_symbol", {"dgidb_found": False, "dgidb_num_interactions": 0, "dgidb_num_approved": 0})
-        df = attach(df, features.compound_activities(snap("compound_activities")), "gene_symbol", {"chembl_found": False})
-        df = attach(df, features.known_drugs(snap("known_drugs")), "ensembl_gene_id", {"opentargets_found": False})
-        df = features.drug_evidence(df)
-    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.min_by(F.struct("keywords", "comments", "proteinDescription", "uniProtKBCrossReferences"), features.best_first()).alias("entry"))
+        side = attach(own(df, "ensembl_gene_id"), features.drug_interactions(snap("drug_interactions")), "gene_symbol", {"dgidb_found": False, "dgidb_num_interactions": 0, "dgidb_num_approved": 0}, unique=True)
+        side = attach(side, features.compound_activities(snap("compound_activities")), "gene_symbol", {"chembl_found": False}, unique=True)
+        side = lookup(side, features.known_drugs(snap("known_drugs")), "ensembl_gene_id", {"opentargets_found": False})
+        df = grown(df, features.drug_evidence(side))
     df = keep(df, "stage02")
+    entry = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.min_by(F.struct("keywords", "comments", "proteinDescription", "uniProtKBCrossReferences"), features.best_first()).alias("entry"))
     if until >= 3:
-        words = F.transform("entry.keywords", lambda k: k["name"])
-        about = lambda kind: F.filter(F.flatten(F.array_compact(F.transform(F.filter("entry.comments", lambda c: c["commentType"] == kind), lambda c: F.transform(c["texts"], lambda t: t["value"])))), lambda t: t != "")
-        df = attach(df, entry, "gene_symbol").withColumns({"uniprot_protein_name": F.col("entry.proteinDescription.recommendedName.fullName.value"), "uniprot_function": F.try_element_at(about("FUNCTION"), F.lit(-1)), "uniprot_protein_families": F.nullif(F.array_join(about("SIMILARITY"), "|"), F.lit("")), "uniprot_keywords": F.nullif(capped_join(words, 20), F.lit("")), "__words": words})
-        text = F.concat_ws(" ", "uniprot_protein_name", "uniprot_function", "uniprot_protein_families", F.array_join("__words", " "))
-        df = attach(df, features.annotated_domains(snap("gene_annotation")), "gene_symbol")
-        df = attach(df, features.domain_entries(snap("domain_entries")).withColumnRenamed("uniprot", "uniprot_swissprot"), "uniprot_swissprot")
-        (pfam, pfam_named), (_, interpro_named) = (features.cross_references("entry.uniProtKBCrossReferences", name) for name in ("Pfam", "InterPro"))
-        for kind, named in (("pfam", pfam_named), ("interpro", interpro_named)):
-            df = df.withColumns({f"{kind}_domains__s3": F.nullif(capped_join(named, 15), F.lit("")), f"{kind}_domain_count": F.size(named)})
-        ids = F.concat(features.first_list("__entries", "__interpro"), features.first_list(pfam, "__pfam"))
-        df = features.classify_families(df, text, ids, families).drop("__entries", "__interpro", "__pfam")
-        df = df.withColumn("protein_class", features.protein_class("druggable_family_type", "__words")).drop("entry", "__words")
+        side = attach(own(df, "uniprot_swissprot"), entry, "gene_symbol", unique=True)
+        side = attach(side, features.annotated_domains(snap("gene_annotation")), "gene_symbol", unique=True)
+        side = lookup(side, features.domain_entries(snap("domain_entries")).withColumnRenamed("uniprot", "uniprot_swissprot"), "uniprot_swissprot")
+        df = grown(df, features.family_columns(side, families))
     df = keep(df, "stage03")
     if until >= 4:
-        own = df.select("gene_symbol", F.col("uniprot_swissprot").alias("uniprot"))
-        df = attach(df, features.structures(own, snap("structure_search"), snap("structure_meta"), snap("predicted_structure"), files).drop("uniprot"), "gene_symbol")
+        named = own(df, "uniprot_swissprot").withColumnRenamed("uniprot_swissprot", "uniprot")
+        df = grown(df, features.structures(named, snap("structure_search"), snap("structure_meta"), snap("predicted_structure"), files).drop("uniprot"))
     df = keep(df, "stage04")
     if until >= 5 and pockets is not None:
-        df = attach(df, features.best_pockets(features.assess_pockets(pockets)), "gene_symbol", {"fpocket_run": False, "has_druggable_pocket": False})
+        df = attach(df, features.best_pockets(features.assess_pockets(pockets)), "gene_symbol", {"fpocket_run": False, "has_druggable_pocket": False}, unique=True)
     df = keep(df, "stage05")
     if until >= 6:
         places, sides = features.locations("entry.comments")
         seen = entry.select("gene_symbol", F.array_join(places, "; ").alias("Step6_Subcellular_Location"), F.array_join(sides, "; ").alias("Step6_Topology"))
         counted = {"Step6_Total_Pockets": 0, "Step6_PDB_Structures": 0, "Step6_Avg_Pockets_Per_Structure": 0.0}
         held = census if census is not None else spark.createDataFrame([], "gene string, Step6_Total_Pockets long, Step6_PDB_Structures long, Step6_Avg_Pockets_Per_Structure double")
-        df = attach(df, held.select(F.col("gene").alias("gene_symbol"), *counted), "gene_symbol", counted)
-        df = features.accessibility(attach(df, seen, "gene_symbol", {"Step6_Subcellular_Location": location_default, "Step6_Topology": ""}))
+        side = attach(own(df), held.select(F.col("gene").alias("gene_symbol"), *counted), "gene_symbol", counted, unique=True)
+        side = attach(side, seen, "gene_symbol", {"Step6_Subcellular_Location": location_default, "Step6_Topology": ""}, unique=True)
+        df = grown(df, features.accessibility(side))
     df = keep(df, "stage06")
     if until >= 7:
-        df = attach(df, features.expression_profile(snap("tissue_expression")), "gene_symbol", {"Step7_GTEx_Data_Available": False})
+        df = attach(df, features.expression_profile(snap("tissue_expression")), "gene_symbol", {"Step7_GTEx_Data_Available": False}, unique=True)
     df = keep(df, "stage07")
     if until >= 8:
         none = lambda schema: spark.createDataFrame([], schema)
-        own = df.select("gene_symbol", F.col("uniprot_swissprot").alias("uniprot"))
+        named = own(df, "uniprot_swissprot").withColumnRenamed("uniprot_swissprot", "uniprot")
         low, letters = confidence or none("uniprot string, n_low long, n_records long"), sequences or none("uniprot string, sequence string")
-        df = attach(df, features.disorder(own, snap("disorder"), low, letters), "gene_symbol")
+        df = grown(df, features.disorder(named, snap("disorder"), low, letters))
     df = keep(df, "stage08")
     if until >= 9:
-        df = attach(df, features.development(snap("target_level")), "gene_symbol", {"Step9_Pharos_Data_Available": False})
+        df = attach(df, features.development(snap("target_level")), "gene_symbol", {"Step9_Pharos_Data_Available": False}, unique=True)
     df = keep(df, "stage09")
     if until >= 10:
-        df = attach(df, features.network(snap("network_edges"), snap("enrichment")), "gene_symbol", {"Step10_STRING_Data_Available": False})
+        df = attach(df, features.network(snap("network_edges"), snap("enrichment")), "gene_symbol", {"Step10_STRING_Data_Available": False}, unique=True)
     df = keep(df, "stage10")
     if until >= 11:
         df = composite.composite(df)
     df = keep(df, "stage11")
     if until >= 12:
-        df = validation.validate(df, validation.evidence(snap("literature"), snap("trials")))
+        df = validation.validate(df, validation.evidence(snap("literature"), snap("trials"), disease))
+    keep(failed_answers(spark, f"{keep.base}/snapshots", taken), "refetch")
     return df
 
 

@@ -12,8 +12,15 @@ from rankmill.functions.columns import bands, has_any, ladder, lines, optional
 from rankmill.operators import metrics
 
 
-def evidence(literature: DataFrame, trials: DataFrame) -> DataFrame:
-    """Publications and trials per gene; of the trials the first five count."""
+#: The disease that publications are looked up with, unless another is given.
+DISEASE = "migraine"
+
+
+def evidence(literature: DataFrame, trials: DataFrame, disease: str = DISEASE) -> DataFrame:
+    """Publications and trials per gene; of the trials the first five count. Publications found with another disease don't; a
+    snapshot that names none is of the one asked for."""
+    if "disease" in literature.columns:
+        literature = literature.where(F.lower(F.coalesce("disease", F.lit(disease))) == disease.lower())
     papers = literature.select(F.col("gene").alias("gene_symbol"), F.coalesce("count", F.lit(0)).alias("Step12_Literature_Publications"), F.transform(F.slice("papers", 1, 5), lambda p: F.struct(p["pmid"].alias("pmid"), p["title"].alias("title"), F.split(p["pubdate"], " ")[0].alias("year"))).alias("papers"))
     first = F.slice("studies", 1, 5)
     among = lambda *words: F.size(F.filter(first, lambda s: reduce(lambda a, b: a | b, [F.upper(s["overallStatus"]).contains(w) for w in words])))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:
     """The stage's table as Parquet, read again: a restart begins from it."""
@@ -51,14 +53,63 @@ def metrics_report(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat_ws("\n", *parts, cells, F.concat(F.lit("discrimination: "), area), F.concat(F.lit("correlation: "), strength)).alias("value"))
 
 
-def stage_store(spark: SparkSession, path: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
-    """Keeps each stage's table in a shared folder and gives it back as read from there.
+class StageStore:
+    """Keeps each stage's table in a shared folder, laid out for the next attach, and gives it back as read from there.
 
-    So plans stay small from stage to stage, a restart begins at the last table, and a lost executor loses none. The
-    folder is the given one, else one under spark.checkpoint.dir; a local one only where that is unset, as in tests.
+    A table with the key is written in as many buckets of it as a shuffle has partitions, sorted: attaching by the key then moves
+    the new columns alone. Plans stay small from stage to stage, a restart begins at the last table (``open``), and a
+    lost executor loses none. In the same pass as the write its rows and the coverage of its new columns are counted:
+    ``profile`` has them by table, and a log line each. The tables' names are in the session's catalog until ``forget``.
     """
+
+    def __init__(self, spark: SparkSession, base: str, key: str = "gene_symbol"):
+        self.spark, self.base, self.key = spark, base.rstrip("/"), key
+        self.prefix, self.names = f"stage_{uuid.uuid4().hex}", []
+        self.profile: dict[str, dict] = {}
+        self._seen: set[str] = set()
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        new = [c for c in df.columns if c not in self._seen]
+        counts, watch = {f"c{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(new)}, Observation()
+        watched = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[x.alias(a) for a, x in counts.items()])
+        if self.key in df.columns:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer = watched.write.bucketBy(buckets, self.key).sortBy(self.key)
+            writer.mode("overwrite").option("path", f"{self.base}/{name}").saveAsTable(self._table(name))
+            held = self.spark.table(self._table(name))
+        else:
+            held = write_stage(watched, f"{self.base}/{name}")
+        found = watch.get
+        rows = found["rows"]
+        self._seen.update(new)
+        self.profile[name] = {"rows": rows, "coverage": {c: found[f"c{i}"] for i, c in enumerate(new)}}
+        shares = ", ".join(f"{c} {100 * n / rows:.1f} %" for c, n in self.profile[name]["coverage"].items()) if rows else "no rows"
+        log.info("%s kept: %d rows, %d columns, new: %s", name, rows, len(df.columns), shares)
+        return held
+
+    def _table(self, name: str) -> str:
+        table = f"{self.prefix}_{name}"
+        if table not in self.names:
+            self.names.append(table)
+        return table
+
+    def open(self, name: str, buckets: int) -> DataFrame:
+        """A table that an earlier run has kept in so many buckets, with its layout."""
+        schema = self.spark.read.parquet(f"{self.base}/{name}").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        self.spark.sql(f"CREATE TABLE {self._table(name)} ({columns}) USING parquet CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {buckets} BUCKETS LOCATION '{self.base}/{name}'")
+        return self.spark.table(self._table(name))
+
+    def forget(self) -> None:
+        """Takes the names out of the catalog; the files stay."""
+        for table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.names = []
+
+
+def stage_store(spark: SparkSession, path: str | None = None, key: str = "gene_symbol") -> StageStore:
+    """A store in the given folder, else in one under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     shared = path or spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give one")
-    base = path or f"{(shared or tempfile.mkdtemp(prefix='rankmill-')).rstrip('/')}/stages-{uuid.uuid4().hex}"
-    return lambda df, name: write_stage(df, f"{base}/{name}")
+    return StageStore(spark, path or f"{(shared or tempfile.mkdtemp(prefix='rankmill-')).rstrip('/')}/stages-{uuid.uuid4().hex}", key)

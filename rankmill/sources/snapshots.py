@@ -1,18 +1,23 @@
 """Readers of snapshots: what the remote services answered, as JSON lines or text under one folder.
 
 A snapshot ``name`` is the folder or file ``<root>/<name>``; its schema is fixed here, so nothing is inferred. Services are
-never called from tasks. Rows carry ``_status`` and ``_error`` where the answer failed.
+never called from tasks. Rows carry ``_status`` and ``_error`` where the answer failed; a line that isn't JSON, or that has
+a value of another kind than the schema says, has its text in ``_corrupt``. ``ingest`` parses a snapshot once and parts the two: stages
+see good answers alone, and ``failed_answers`` tells what to ask again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmill.functions.columns import sentinel_null
 from rankmill.functions.rules import EMPTY_MARKS
 
-_END = ", _status string, _error string"
+_END = ", _status string, _error string, _corrupt string"
+NOTHING_THERE = "404"  # an answer: there is nothing; it needn't be asked again
 SCHEMAS = {
     "gene_annotation": "query string, seq long, symbol string, name string, summary string, type_of_gene string, alias string, other_names string, ensembl string, uniprot string, entrezgene string, refseq string, HGNC string, MIM string, pharmgkb string, pdb string, ec string, prosite string, interpro string, pfam string, genomic_pos string, taxid string, homologene string, wikipedia string, pathway string",
     "protein_entry": "gene string, seq long, reviewed boolean, primaryAccession string, uniProtkbId string, sequence struct<length:int,value:string>, comments array<struct<commentType:string,subcellularLocations:array<struct<location:struct<value:string>,topology:struct<value:string>>>,texts:array<struct<value:string>>>>, uniProtKBCrossReferences array<struct<database:string,id:string,properties:array<struct<key:string,value:string>>>>, features array<struct<type:string,description:string>>, keywords array<struct<name:string>>, proteinDescription struct<recommendedName:struct<fullName:struct<value:string>>>",
@@ -28,14 +33,45 @@ SCHEMAS = {
     "target_level": "sym string, name string, tdl string, fam string, description string, novelty double",
     "network_edges": "gene string, preferredName_B string, stringId_B string, score double",
     "enrichment": "gene string, seq long, category string, description string, term string",
-    "literature": "gene string, count int, papers array<struct<pmid:string,title:string,pubdate:string>>",
+    "literature": "gene string, disease string, count int, papers array<struct<pmid:string,title:string,pubdate:string>>",
     "trials": "gene string, studies array<struct<nctId:string,briefTitle:string,overallStatus:string,phase:string>>",
 }
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of a snapshot; polymorphic fields are kept as JSON text."""
-    return spark.read.schema(SCHEMAS[name] + _END).json(f"{root.rstrip('/')}/{name}")
+    """All rows of a snapshot, good or not; polymorphic fields are kept as JSON text."""
+    return spark.read.schema(SCHEMAS[name] + _END).option("columnNameOfCorruptRecord", "_corrupt").json(f"{root.rstrip('/')}/{name}")
+
+
+def ingest(spark: SparkSession, root: str, name: str, path: str) -> DataFrame:
+    """A snapshot as a table under ``path``, parsed in one pass: its good answers, each column read only when needed.
+
+    ``_outcome`` parts the table's folders: "good", "nothing" (the service has nothing) or "failed": a status that isn't of the 200s, an
+    error, or a line that can't be read. An empty snapshot, or one without good answers, gives an empty table.
+    """
+    rows = read_snapshot(spark, root, name)
+    known = F.trim(F.coalesce("_status", F.lit("")))
+    bad = F.col("_corrupt").isNotNull() | (F.trim(F.coalesce("_error", F.lit(""))) != "") | ~(known.isin("", "OK") | known.rlike(r"^2\d\d$"))
+    outcome = F.when(F.col("_corrupt").isNull() & (known == NOTHING_THERE), "nothing").when(bad, "failed").otherwise("good")
+    rows.withColumn("_outcome", outcome).write.mode("overwrite").partitionBy("_outcome").parquet(f"{path.rstrip('/')}/{name}")
+    return answers(spark, name, path).where("_outcome = 'good'").drop("_status", "_error", "_corrupt", "_outcome")
+
+
+def answers(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """All rows of a snapshot that has been taken in, with their outcome."""
+    return spark.read.schema(SCHEMAS[name] + _END + ", _outcome string").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def failed_answers(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
+    """What to ask again, of all snapshots taken in: snapshot, key (of a broken line as far as it can be read), status, error, answer."""
+    out = None
+    for name in names:
+        key = SCHEMAS[name].partition(" ")[0]
+        rows = answers(spark, name, path).where("_outcome = 'failed'")
+        said = F.nullif(F.regexp_extract("_corrupt", rf'"{key}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+        one = rows.select(F.lit(name).alias("snapshot"), F.coalesce(key, said).alias("key"), F.col("_status").alias("status"), F.coalesce("_error", F.when(F.col("_corrupt").isNotNull(), "not readable")).alias("error"), F.col("_corrupt").alias("answer"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "snapshot string, key string, status string, error string, answer string")
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
