@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder, letters_sum, present_mean, safe_ratio, starts_with_any, truncated, upper_median
+from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder, letters_sum, present_mean, safe_ratio, starts_with_any, truncated
 from rankmill.functions import rules
 from rankmill.operators import metrics
+from rankmill.operators.selection import kth_value, upper_medians
 from rankmill.operators.tables import attach, keep_first, lookup, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
 from rankmill.plans import validation
 from rankmill.plans.features import classify_families, id_and_name
@@ -248,7 +249,16 @@ def q_phase_pivot(spark, sf):
 
 @query("SELECT user_id, list_sort(list(value))[CAST(count(*) // 2 + 1 AS INT)] AS upper_median FROM events WHERE value > 0 GROUP BY user_id")
 def q_upper_median(spark, sf):
-    return table(spark, sf, "events").where("value > 0").groupBy("user_id").agg(upper_median(F.collect_list("value")).alias("upper_median"))
+    return upper_medians(table(spark, sf, "events").where("value > 0"), ["user_id"], "value")
+
+
+# one key has all rows
+@query("SELECT list_sort(list(l_extendedprice))[CAST(count(*) // 2 + 1 AS INT)] AS median_price, list_sort(list(l_extendedprice))[CAST(count(*) * 9 // 10 + 1 AS INT)] AS ninth_price FROM lineitem")
+def q_kth_values(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.lit(1).alias("all_rows"), "l_extendedprice")
+    half = upper_medians(lines, ["all_rows"], "l_extendedprice", "median_price")
+    ninth = kth_value(lines, ["all_rows"], "l_extendedprice", F.floor(F.col("n") * 9 / 10), "ninth_price")
+    return half.join(ninth, "all_rows").drop("all_rows")
 
 
 @query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value > 0) AS n_expressed, count(*) FILTER (WHERE value >= 100) AS n_high, count(*) FILTER (WHERE value >= 10) AS n_medium, count(*) FILTER (WHERE value >= 1) AS n_low,
