@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankmill.functions.columns import bands, capped_join, has_any, hits, ladder, letters_sum, present_mean, safe_ratio, starts_with_any, truncated
 from rankmill.functions import rules
+from rankmill.functions.polymorphic import listed, members, parsed, value
 from rankmill.operators import metrics
 from rankmill.operators.selection import kth_value, upper_medians
 from rankmill.operators.tables import attach, keep_first, lookup, multilabel_counts, null_coverage, ordered_join, priority_lookup, top_k, value_counts
@@ -52,6 +53,19 @@ def q_json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed.alias("k")).where("k >= 50")
 
 
+# a field that is an object, a list of objects, a list, a text in quotes or a bare text
+@query("""SELECT event_id, CASE event_id % 5 WHEN 2 THEN event_type || '|x' WHEN 3 THEN event_type WHEN 4 THEN event_type END AS items, CASE WHEN event_id % 5 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
+CASE WHEN event_id % 5 < 2 THEN json_extract_string(props, '$.k') || CASE event_id % 5 WHEN 1 THEN '|7' ELSE '' END END AS all_k FROM events""")
+def q_polymorphic_fields(spark, sf):
+    kind, word = F.col("event_id") % 5, F.col("event_type")
+    quoted = F.concat(F.lit('"'), word, F.lit('"'))
+    field = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("["), "props", F.lit(', {"k": 7}]'))).when(kind == 2, F.concat(F.lit("["), quoted, F.lit(', "x"]'))).when(kind == 3, quoted).otherwise(word)
+    read = parsed(table(spark, sf, "events").select("event_id", field.alias("field")), "field")
+    joined = lambda c: F.nullif(F.array_join(c, "|"), F.lit(""))
+    told = F.col("event_id") % 5
+    return read.select("event_id", F.when(told > 1, joined(listed("field"))).alias("items"), value("field", "$.k", "bigint", first=True).alias("k"), joined(members("field", "k")).alias("all_k"))
+
+
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?]*)', 1) AS first_part, regexp_extract(url, '[?&]([^=]+)=', 1) AS first_key FROM pages")
 def q_url_parts(spark, sf):
     part = lambda p: F.regexp_extract("url", p, 1)

@@ -13,28 +13,13 @@ from pyspark.sql import functions as F
 
 from rankmill.functions import rules
 from rankmill.functions.columns import bands, capped_join, col, has_any, ladder, letters_sum, present_mean, upper_median
+from rankmill.functions.polymorphic import drop_parsed, listed, listed_in, members, parsed, value
 from rankmill.operators.rule_index import matched, rule_table
 from rankmill.operators.tables import top_k
 
 # -- 1: identifiers from annotation ----------------------------------------------------------------------------------
 
 
-def json_list(x: Column | str) -> Column:
-    """A JSON text that is a list or one value -> array<string>."""
-    x = col(x)
-    return F.when(F.trim(x).startswith("["), F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(F.when(F.trim(x).startswith('"'), F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0]).otherwise(x)))
-
-
-def json_first(x: Column | str) -> Column:
-    """A JSON text that is an object or a list of them -> the (first) object's text."""
-    x = col(x)
-    return F.when(F.trim(x).startswith("["), F.get_json_object(x, "$[0]")).otherwise(x)
-
-
-def capped(x: Column | str, n: int) -> Column:
-    return F.nullif(capped_join(json_list(x), n), F.lit(""))
-
-
 def best_first() -> Column:
     """The order of a gene's protein entries: reviewed ones, then as they were answered (``seq``), then by accession."""
     return F.struct(~F.coalesce(F.col("reviewed"), F.lit(False)), F.coalesce("seq", F.lit(2**62)), F.coalesce("primaryAccession", F.lit("")))
@@ -43,18 +28,21 @@ def best_first() -> Column:
 def identifiers(annotation: DataFrame, proteins: DataFrame) -> DataFrame:
     """Identifiers per gene. Of several answers to one query the last counts; proteins fill what annotation lacks."""
     last = annotation.groupBy("query").agg(F.max_by(F.struct(*[c for c in annotation.columns if c != "query"]), F.coalesce("seq", F.lit(0))).alias("a")).select(F.col("query").alias("gene_symbol"), "a.*")
-    ids = lambda field, key: F.nullif(capped_join(F.transform(F.from_json(F.when(F.trim(F.col(field)).startswith("["), F.col(field)).otherwise(F.concat(F.lit("["), field, F.lit("]"))), "array<struct<id:string>>"), lambda e: e["id"]), key), F.lit(""))
-    get = F.get_json_object
-    place, gene = json_first("genomic_pos"), json_first("ensembl")
-    table = last.select(
+    fields = ("alias", "other_names", "ensembl", "uniprot", "refseq", "pdb", "ec", "interpro", "pfam", "prosite", "genomic_pos", "homologene", "wikipedia")
+    shown = lambda items, n: F.nullif(capped_join(items, n), F.lit(""))
+    place = lambda path: value("genomic_pos", path, first=True)
+    whole = F.when(~F.trim("uniprot").startswith("{"), F.get(listed("uniprot"), 0))
+    table = parsed(last, *fields).select(
         "gene_symbol", F.col("symbol").alias("gene_symbol_official"), F.col("name").alias("gene_name"), F.col("summary").alias("gene_description"), F.col("type_of_gene").alias("gene_type"),
-        capped("alias", 1000).alias("aliases"), capped("other_names", 5).alias("other_names"), get(gene, "$.gene").alias("ensembl_gene_id"), capped(get(gene, "$.transcript"), 5).alias("ensembl_transcript_ids"), capped(get(gene, "$.protein"), 5).alias("ensembl_protein_ids"),
-        F.coalesce(F.get(json_list(get("uniprot", "$.Swiss-Prot")), 0), F.when(~F.trim("uniprot").startswith("{"), F.get(json_list("uniprot"), 0))).alias("uniprot_swissprot"), capped(get("uniprot", "$.TrEMBL"), 3).alias("uniprot_trembl"),
-        F.col("entrezgene").alias("entrez_gene_id"), capped(get("refseq", "$.rna"), 3).alias("refseq_mrna"), capped(get("refseq", "$.protein"), 3).alias("refseq_protein"), capped(get("refseq", "$.genomic"), 3).alias("refseq_genomic"),
-        F.col("HGNC").alias("hgnc_id"), F.col("MIM").alias("omim_id"), F.col("pharmgkb").alias("pharmgkb_id"), capped("pdb", 20).alias("pdb_ids"), capped("ec", 10).alias("ec_number"), ids("interpro", 10).alias("interpro_domains"), capped("pfam", 10).alias("pfam_domains"), capped("prosite", 10).alias("prosite_domains"),
-        get(place, "$.chr").alias("chromosome"), get(place, "$.start").try_cast("long").alias("start_position"), get(place, "$.end").try_cast("long").alias("end_position"), get(place, "$.strand").try_cast("int").alias("strand"),
-        F.col("taxid").alias("taxonomy_id"), get("homologene", "$.id").alias("homologene_id"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), get("wikipedia", "$.url_stub")).alias("wikipedia_url"), pathways("pathway").alias("pathways"),
-    )
+        shown(listed("alias"), 1000).alias("aliases"), shown(listed("other_names"), 5).alias("other_names"), value("ensembl", "$.gene", first=True).alias("ensembl_gene_id"),
+        shown(listed_in("ensembl", "$.transcript", True), 5).alias("ensembl_transcript_ids"), shown(listed_in("ensembl", "$.protein", True), 5).alias("ensembl_protein_ids"),
+        F.coalesce(F.get(listed_in("uniprot", "$['Swiss-Prot']"), 0), whole).alias("uniprot_swissprot"), shown(listed_in("uniprot", "$.TrEMBL"), 3).alias("uniprot_trembl"),
+        F.col("entrezgene").alias("entrez_gene_id"), *[shown(listed_in("refseq", f"$.{k}"), 3).alias(name) for k, name in (("rna", "refseq_mrna"), ("protein", "refseq_protein"), ("genomic", "refseq_genomic"))],
+        F.col("HGNC").alias("hgnc_id"), F.col("MIM").alias("omim_id"), F.col("pharmgkb").alias("pharmgkb_id"), shown(listed("pdb"), 20).alias("pdb_ids"), shown(listed("ec"), 10).alias("ec_number"),
+        shown(members("interpro", "id"), 10).alias("interpro_domains"), shown(listed("pfam"), 10).alias("pfam_domains"), shown(listed("prosite"), 10).alias("prosite_domains"),
+        place("$.chr").alias("chromosome"), place("$.start").try_cast("long").alias("start_position"), place("$.end").try_cast("long").alias("end_position"), place("$.strand").try_cast("int").alias("strand"),
+        F.col("taxid").alias("taxonomy_id"), value("homologene", "$.id").alias("homologene_id"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), value("wikipedia", "$.url_stub")).alias("wikipedia_url"), pathways("pathway").alias("pathways"),
+    )
     best = proteins.groupBy(F.col("gene").alias("gene_symbol")).agg(F.min_by(F.struct("primaryAccession", "uniProtkbId", "sequence", "comments", "uniProtKBCrossReferences"), best_first()).alias("p"))
     refs = lambda db: F.transform(F.filter("p.uniProtKBCrossReferences", lambda r: r["database"] == db), lambda r: r["id"])
     joined = table.join(best, "gene_symbol", "left")
@@ -130,8 +118,7 @@ def drug_evidence(df: DataFrame) -> DataFrame:
 def annotated_domains(annotation: DataFrame) -> DataFrame:
     """All InterPro and Pfam ids of each gene's annotation; ``identifiers`` shows only the first ones."""
     last = annotation.groupBy("query").agg(F.max_by(F.struct("interpro", "pfam"), F.coalesce("seq", F.lit(0))).alias("a"))
-    many = F.when(F.trim("a.interpro").startswith("["), F.col("a.interpro")).otherwise(F.concat(F.lit("["), "a.interpro", F.lit("]")))
-    return last.select(F.col("query").alias("gene_symbol"), F.transform(F.from_json(many, "array<struct<id:string>>"), lambda e: e["id"]).alias("__interpro"), json_list("a.pfam").alias("__pfam"))
+    return drop_parsed(parsed(last.select(F.col("query").alias("gene_symbol"), "a.*"), "interpro", "pfam").select("gene_symbol", members("interpro", "id").alias("__interpro"), listed("pfam").alias("__pfam")))
 
 
 def id_and_name(key: Column, name: Column) -> Column:
