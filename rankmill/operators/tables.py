@@ -12,17 +12,28 @@ from pyspark.sql import functions as F
 SPREAD = 32  # parts that rows without a key are dealt to where they meet others without
 
 
-def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults: dict | None = None, unique: bool = False) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults: dict | None = None, unique: bool = False, both: bool = False) -> DataFrame:
     """A left join on the key in which null meets null, with defaults for what isn't found.
 
     Rows with a whole key meet in an equi-join, and the optimizer picks which. Those of ``left`` with a null in the key never enter it, so
     they burden no task: where ``right`` is ``unique`` (one row per key at most) a single one can answer them, which is handed to
     each; else they are dealt to parts, and the few rows of ``right`` without a key are there in each part. Equal rows on either side
     are rows of their own; an empty side gives nulls or nothing; columns keep the order left, right.
+
+    If ``both`` sides have one row per key at most, one row of each can be without it: then ``left`` is read once, its one row stays in the
+    join, and a chain of such attaches is no larger than its links.
     """
     keys = [key] if isinstance(key, str) else list(key)
     whole, broken = _whole(keys), ~_whole(keys)
     others = [c for c in right.columns if c not in keys]
+    if both and len(keys) == 1 and others:
+        (k,) = keys
+        held = right.select(F.col(k).alias("__key"), F.struct(*others).alias("__own"))
+        one = F.broadcast(held.where("__key IS NULL").select(F.col("__own").alias("__one")))
+        out = left.join(held.where("__key IS NOT NULL"), F.col(k) == F.col("__key"), "left").join(one, F.lit(True), "left")
+        answer = F.when(F.col(k).isNull(), F.col("__one")).otherwise(F.col("__own"))
+        out = out.withColumn("__answer", answer).select("*", "__answer.*").drop("__key", "__own", "__one", "__answer")
+        return out.fillna(defaults) if defaults else out
     met = left.where(whole).join(right.where(whole), keys, "left").select(*left.columns, *others)
     without, answers = left.where(broken), right.where(broken)
     if unique and len(keys) == 1:

@@ -530,8 +530,11 @@ def q_target_recommendation(spark, sf):
 def q_trial_evidence(spark, sf):
     # a user's events stand for trials: clicks for active ones, signups for recruiting ones, which are active too
     status = ladder((F.col("event_type") == "click", "ACTIVE_NOT_STARTED"), (F.col("event_type") == "signup", "Recruiting, active"), default="COMPLETED")
-    studies = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", status.alias("overallStatus")))), lambda e: F.struct(e["overallStatus"].alias("overallStatus")))
-    trials = table(spark, sf, "events").groupBy(F.col("user_id").alias("gene")).agg(studies.alias("studies"))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("gene"), "ts", "event_id", status.alias("overallStatus"))
+    # only the first five of a user are gathered
+    first = top_k(events, ["gene"], [F.col("ts"), F.col("event_id")], 5).groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("rank", "overallStatus"))).alias("e"))
+    studies = first.select("gene", F.transform("e", lambda e: F.struct(e["overallStatus"].alias("overallStatus"))).alias("studies"))
+    trials = studies.join(events.groupBy("gene").agg(F.count("*").cast("int").alias("total")), "gene")
     papers = spark.createDataFrame([], "gene bigint, count int, papers array<struct<pmid:string,title:string,pubdate:string>>")
     found = validation.evidence(papers, trials)
     counts = {"Total_Clinical": "trials", "Active": "active", "Recruiting": "recruiting"}

@@ -167,7 +167,7 @@ def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[s
     """
     families = rules.FAMILIES if families is None else families
     table = rule_table(df.sparkSession, families) if isinstance(families, dict) else families
-    held = df.withColumns({"__low": F.lower(text), "__ids": ids})
+    held = df.withColumns({"__low": F.lower(text), "__ids": ids})  # a column __ids of the table's own is taken up
     own = F.struct(F.col(key)) if key else F.sha2(F.to_json(F.struct("__low", "__ids")), 256)
     held = held.withColumn("__key", own)
     rows = held.select(F.col("__key").alias("key"), F.col("__low").alias("low"), F.col("__ids").alias("ids"))
@@ -181,8 +181,8 @@ def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[s
     }).drop("hits", "__low", "__ids", "__key")
 
 
-def family_columns(side: DataFrame, families: dict | DataFrame | None = None) -> DataFrame:
-    """gene_symbol, a protein's entry, and its domains by annotation and by domain entries -> the columns of the stage."""
+def protein_texts(side: DataFrame) -> DataFrame:
+    """gene_symbol, a protein's entry, and its domains by annotation and by domain entries -> what is said of it: the stage's texts, ``__text``, ``__ids`` and ``__words``."""
     words = F.transform("entry.keywords", lambda k: k["name"])
     about = lambda kind: F.filter(F.flatten(F.array_compact(F.transform(F.filter("entry.comments", lambda c: c["commentType"] == kind), lambda c: F.transform(c["texts"], lambda t: t["value"])))), lambda t: t != "")
     named = F.col("entry.proteinDescription.recommendedName.fullName.value")
@@ -195,8 +195,13 @@ def family_columns(side: DataFrame, families: dict | DataFrame | None = None) ->
     for kind, said in (("pfam", pfam_named), ("interpro", interpro_named)):
         df = df.withColumns({f"{kind}_domains__s3": F.nullif(capped_join(said, 15), F.lit("")), f"{kind}_domain_count": F.size(said)})
     ids = F.concat(first_list("__entries", "__interpro"), first_list(pfam, "__pfam"))
-    df = classify_families(df, text, ids, families, key="gene_symbol").drop("__entries", "__interpro", "__pfam")
-    return df.withColumn("protein_class", protein_class("druggable_family_type", "__words")).drop("entry", "__words")
+    return df.withColumns({"__text": text, "__ids": ids}).drop("entry", "__entries", "__interpro", "__pfam")
+
+
+def family_columns(told: DataFrame, families: dict | DataFrame | None = None) -> DataFrame:
+    """The texts with the families that the rules give."""
+    df = classify_families(told, F.col("__text"), F.col("__ids"), families, key="gene_symbol")
+    return df.withColumn("protein_class", protein_class("druggable_family_type", "__words")).drop("__words", "__text")
 
 
 def protein_class(family_type: Column | str, keywords: Column | str) -> Column:
@@ -297,6 +302,17 @@ def tissue_category(name: Column | str) -> Column:
     return ladder(*[(reduce(lambda a, b: a | b, [col(name).contains(p) for p in words]), k) for k, words in rules.TISSUES.items()], default="Other")
 
 
+def by_gene(expression: DataFrame, reference: DataFrame) -> DataFrame:
+    """Expression answers by gene: a gene's first versioned id by the reference leads to the answer with that id.
+
+    A gene that the reference knows has no other answer; an answer that names a gene unknown there is that gene's.
+    """
+    first = reference.where("geneId IS NOT NULL").groupBy("geneId").agg(F.nullif(F.min_by("gencodeId", F.coalesce("seq", F.lit(0))), F.lit("")).alias("gencodeId"))
+    led = first.where("gencodeId IS NOT NULL").withColumnRenamed("geneId", "__gene").join(expression.where("gencodeId IS NOT NULL"), "gencodeId")
+    named = expression.where("gene IS NOT NULL").join(first.select(F.col("geneId").alias("gene")), "gene", "left_anti")
+    return led.select(F.col("__gene").alias("gene"), "gencodeId", "data").unionByName(named.select("gene", "gencodeId", "data"))
+
+
 def expression_profile(snapshot: DataFrame) -> DataFrame:
     """Of each gene: where it is expressed and how much. Tissues are few per gene, so they stay a list."""
     data = F.transform("data", lambda t: F.struct(t["tissueSiteDetailId"].alias("tissue"), F.coalesce(t["median"], F.lit(0.0)).alias("tpm")))

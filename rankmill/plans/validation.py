@@ -17,7 +17,7 @@ DISEASE = "migraine"
 
 
 def evidence(literature: DataFrame, trials: DataFrame, disease: str = DISEASE) -> DataFrame:
-    """Publications and trials per gene; of the trials the first five count. Publications found with another disease don't; a
+    """Publications and trials per gene; of the trials the first five count (``total``, where the trials have it, says how many there are). Publications found with another disease don't; a
     snapshot that names none is of the one asked for."""
     if "disease" in literature.columns:
         literature = literature.where(F.lower(F.coalesce("disease", F.lit(disease))) == disease.lower())
@@ -26,7 +26,7 @@ def evidence(literature: DataFrame, trials: DataFrame, disease: str = DISEASE) -
     among = lambda *words: F.size(F.filter(first, lambda s: reduce(lambda a, b: a | b, [F.upper(s["overallStatus"]).contains(w) for w in words])))
     studies = trials.select(
         F.col("gene").alias("gene_symbol"),
-        F.size("studies").alias("Step12_Total_Clinical_Trials"),
+        (F.coalesce("total", F.size("studies")) if "total" in trials.columns else F.size("studies")).alias("Step12_Total_Clinical_Trials"),
         among("ACTIVE", "RECRUITING").alias("Step12_Active_Trials"),
         among("RECRUITING").alias("Step12_Recruiting_Trials"),
     )

@@ -21,7 +21,8 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mark: str = "|") -> None:
     """An export with lists joined into one cell."""
-    flat = [F.array_join(c, mark).alias(c) if t == "array<string>" else (F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c)) for c, t in df.dtypes]
+    own = lambda c: F.col(f"`{c}`")  # noqa: E731  # names may have dots
+    flat = [(F.array_join(own(c), mark) if t == "array<string>" else F.to_json(own(c)) if t.startswith(("array", "struct", "map")) else own(c)).alias(c) for c, t in df.dtypes]
     df.select(flat).write.mode("overwrite").csv(path, header=True, escape='"')
 
 

@@ -29,6 +29,7 @@ SCHEMAS = {
     "structure_meta": "pdb_id string, title string, method string, resolution double, deposit_date string, organism string",
     "predicted_structure": "uniprot string, modelCreatedDate string, paeDocUrl string, pdbUrl string, avgPlddt double",
     "tissue_expression": "gene string, gencodeId string, data array<struct<tissueSiteDetailId:string,median:double>>",
+    "gene_reference": "geneId string, seq long, gencodeId string",
     "disorder": "uniprot string, length int, regions array<struct<start:int,end:int>>",
     "target_level": "sym string, name string, tdl string, fam string, description string, novelty double",
     "network_edges": "gene string, preferredName_B string, stringId_B string, score double",

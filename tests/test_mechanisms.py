@@ -40,8 +40,8 @@ def test_null_keys_meet_null_keys(spark):
     found = attach(a, b, "k").select("k", "j", "v", "w")
     assert some(found.collect()) == some([(x[0], x[1], x[2], y[2] if y else None) for x in left for y in ([r for r in right if r[0] == x[0]] or [None])])
     one = [r for r in right if r[2] != 7 and r != ("a", 5, 5)]
-    for unique in (False, True):
-        got = attach(a, frame(one, ("k", "o", "w")), "k", {"w": -1}, unique=unique).select("k", "v", "w")
+    for how in ({}, {"unique": True}, {"both": True}):
+        got = attach(a, frame(one, ("k", "o", "w")), "k", {"w": -1}, **how).select("k", "v", "w")
         assert some(got.collect()) == some([(x[0], x[2], next((r[2] for r in one if r[0] == x[0]), -1)) for x in left])
     for rows in ([], right):
         empty = attach(frame([], ("k", "j", "v")), frame(rows, ("k", "o", "w")), "k")
