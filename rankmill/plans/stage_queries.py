@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankmill.functions import rules
+from rankmill.operators.tables import attach, lookup
 from rankmill.plans import features, validation
 from rankmill.plans.catalogue import query
 from rankmill.sources.tables import table
@@ -119,3 +120,133 @@ def q_stage_network(spark, sf):
         "pathways": "Pathways", "processes": "Biological_Processes", "score": "Overall_Network_Score", "relevance": "Pathway_Relevance_Score", "connectivity": "Network_Connectivity", "quality": "Network_Quality",
     }
     return features.network(edges, terms).select(F.col("gene_symbol").alias("gene"), *[F.col(f"Step10_{c}").alias(k) for k, c in shown.items()])
+
+
+# -- expression --------------------------------------------------------------------------------------------------------
+
+_SEEN = ["Brain_Cortex", "Whole_Blood", "Artery_Aorta", "Heart_Atrial", "Spleen", "Stomach", "Liver", "Colon_Sigmoid", "Testis", "Kidney_Cortex", "Lung", "Skin_Leg", "Muscle_Skeletal", "Nerve_Tibial", "Thyroid", "Brain_Cerebellum", "Pituitary"]
+_within = lambda words: " OR ".join(f"contains(tissue, {quoted(w)})" for w in words)
+_CATEGORIES = ", ".join(f"coalesce(max(tpm) FILTER ({_within(words)}), 0.0) AS c{i}" for i, words in enumerate(rules.TISSUES.values()))
+_AT = {name: f"c{i}" for i, name in enumerate(rules.TISSUES)}
+_GREATEST = f"greatest({', '.join(_AT.values())})"
+_BEST = "CASE " + " ".join(f"WHEN {c} = {_GREATEST} THEN {quoted(name)}" for name, c in _AT.items()) + " END"
+
+
+@query(f"""WITH lines AS (SELECT 'P' || l_partkey AS gene, {listed(_SEEN)}[1 + l_suppkey * 3 % {len(_SEEN)}] AS tissue, CASE WHEN l_returnflag <> 'N' THEN l_quantity WHEN l_linenumber < 3 THEN l_linenumber / 2.0 ELSE 0.0 END AS tpm FROM lineitem),
+sums AS (SELECT gene, count(*) AS total, count(*) FILTER (tpm > 0) AS expressed, coalesce(max(tpm) FILTER (tpm > 0), 0.0) AS most, coalesce(round(sum(tpm) FILTER (tpm > 0) / count(*) FILTER (tpm > 0), 3), 0.0) AS mean,
+  coalesce(list_sort(list(tpm) FILTER (tpm > 0))[CAST(count(*) FILTER (tpm > 0) // 2 + 1 AS INT)], 0.0) AS median, count(*) FILTER (tpm >= 10) AS high, count(*) FILTER (tpm >= 1 AND tpm < 10) AS medium, count(*) FILTER (tpm >= 0.1 AND tpm < 1) AS low,
+  coalesce(array_to_string((list(tissue || ':' || printf('%.1f', tpm) ORDER BY tpm DESC, tissue) FILTER (tpm > 0))[:3], '; '), '') AS top, count(*) FILTER (tpm > 0.1) AS seen, {_CATEGORIES} FROM lines GROUP BY 1),
+told AS (SELECT *, CASE WHEN seen <= 5 THEN 'Highly Specific' WHEN seen <= 15 THEN 'Moderately Specific' WHEN seen <= 30 THEN 'Broadly Expressed' ELSE 'Ubiquitous' END AS spread, {_AT["Blood"]} AS blood, {_AT["Brain"]} AS brain,
+  CASE WHEN most >= 50 THEN 5 WHEN most >= 10 THEN 4 WHEN most >= 1 THEN 3 WHEN most >= 0.1 THEN 2 WHEN most > 0 THEN 1 ELSE 0 END AS a FROM sums),
+scored AS (SELECT *, CASE WHEN blood >= 10 THEN 5 WHEN blood > 1 THEN 4 WHEN brain > 1 THEN 3 WHEN {_AT["Vascular"]} > 1 OR {_AT["Lung"]} > 1 OR {_AT["Skin"]} > 1 THEN 2 ELSE 1 END AS b FROM told)
+SELECT gene, total, expressed, most, mean, median, high, medium, low, top, spread, brain, blood, CASE WHEN blood > 1 OR brain > 1 THEN 'Yes' WHEN blood > 0.1 THEN 'Partial' ELSE 'No' END AS accessible, CAST(least(a + b, 10) AS BIGINT) AS score,
+CASE WHEN least(a + b, 10) >= 8 THEN 'Excellent' WHEN least(a + b, 10) >= 6 THEN 'Good' WHEN least(a + b, 10) >= 4 THEN 'Moderate' WHEN least(a + b, 10) >= 2 THEN 'Poor' ELSE 'Very Poor' END AS quality,
+CASE WHEN most >= 10 THEN 'Excellent - High expression enables robust validation' WHEN most >= 1 THEN 'Good - Sufficient for most validation methods' WHEN most >= 0.1 THEN 'Moderate - May require sensitive methods' ELSE 'Poor - Low expression may limit validation' END AS feasible,
+CASE WHEN blood > 1 THEN 'Systemic delivery feasible' WHEN brain > 1 THEN 'CNS delivery required (BBB penetration)' ELSE 'Targeted delivery to ' || {_BEST} || ' may be needed' END AS delivery,
+CASE spread WHEN 'Highly Specific' THEN 'Low - Tissue-specific expression' WHEN 'Moderately Specific' THEN 'Moderate - Some off-target expression expected' ELSE 'High - Broad expression may cause off-target effects' END AS risk FROM scored""")
+def q_stage_expression(spark, sf):
+    # of half of the genes the answer is found through the reference
+    tissue = F.get(F.array(*map(F.lit, _SEEN)), (F.col("l_suppkey") * 3 % len(_SEEN)).cast("int"))
+    tpm = F.when(F.col("l_returnflag") != "N", F.col("l_quantity").cast("double")).when(F.col("l_linenumber") < 3, F.col("l_linenumber") / 2.0).otherwise(0.0)
+    data = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.collect_list(F.struct(tissue.alias("tissueSiteDetailId"), tpm.alias("median"))).alias("data"))
+    led, gene = F.col("l_partkey") % 2 == 0, F.concat(F.lit("P"), "l_partkey")
+    answers = data.select(F.when(~led, gene).alias("gene"), F.when(led, F.concat(F.lit("G"), "l_partkey")).alias("gencodeId"), "data")
+    reference = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("geneId"), F.lit(1).cast("long").alias("seq"), F.concat(F.lit("G"), "p_partkey").alias("gencodeId"))
+    shown = {
+        "total": "Total_Tissues", "expressed": "Tissues_With_Expression", "most": "Max_TPM", "mean": "Mean_TPM", "median": "Median_TPM", "high": "High_Expression_Tissues", "medium": "Medium_Expression_Tissues", "low": "Low_Expression_Tissues", "top": "Top_3_Tissues",
+        "spread": "Tissue_Specificity", "brain": "Brain_Max_TPM", "blood": "Blood_TPM", "accessible": "Accessible_Expression", "score": "Overall_Expression_Score", "quality": "Expression_Quality", "feasible": "Target_Validation_Feasibility",
+        "delivery": "Drug_Delivery_Considerations", "risk": "Off_Target_Risk",
+    }
+    return features.expression_profile(features.by_gene(answers, reference)).select(F.col("gene_symbol").alias("gene"), *[F.col(f"Step7_{c}").alias(k) for k, c in shown.items()])
+
+
+# -- disorder and development ------------------------------------------------------------------------------------------
+
+
+@query("""WITH regions AS (SELECT l_partkey, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS BIGINT) % 40 AS b FROM lineitem WHERE l_partkey % 3 = 0), consensus AS (
+SELECT l_partkey AS k, 100.0 * sum(b - a + 1) / 300 AS pct, sum(b - a + 1) AS n, 300 AS total, count(*) AS regions, max(b - a + 1) AS longest, 'MobiDB Consensus' AS method FROM regions GROUP BY 1), low AS (
+SELECT l_partkey AS k, 100.0 * count(*) FILTER (l_quantity < 25) / count(*) AS pct, count(*) FILTER (l_quantity < 25) AS n, count(*) AS total, 0 AS regions, 0 AS longest, 'AlphaFold pLDDT' AS method FROM lineitem WHERE l_partkey % 3 <= 1 GROUP BY 1),
+told AS (SELECT 'P' || p_partkey AS gene, coalesce(c.pct, l.pct) AS p, coalesce(c.n, l.n, 0) AS n, coalesce(c.total, l.total, 0) AS total, coalesce(c.regions, l.regions, 0) AS regions, coalesce(c.longest, l.longest, 0) AS longest, coalesce(c.method, l.method, 'None') AS method
+FROM part LEFT JOIN consensus c ON c.k = p_partkey LEFT JOIN low l ON l.k = p_partkey)
+SELECT gene, round(coalesce(p, 0.0), 2) AS pct, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total, CAST(regions AS BIGINT) AS regions, CAST(longest AS BIGINT) AS longest, method,
+CASE WHEN p IS NULL THEN 'Unknown' WHEN p < 10 THEN 'Highly Ordered' WHEN p < 30 THEN 'Mostly Ordered' WHEN p < 50 THEN 'Moderately Disordered' WHEN p < 70 THEN 'Highly Disordered' ELSE 'Intrinsically Disordered' END AS category,
+CASE WHEN p IS NULL THEN 0 WHEN p < 10 THEN 5 WHEN p < 20 THEN 4 WHEN p < 50 THEN 3 WHEN p < 70 THEN 2 ELSE 1 END AS score,
+CASE WHEN p IS NULL THEN 0 WHEN longest <= 0 THEN 5 WHEN 100.0 * longest / total < 10 AND regions <= 2 THEN 5 WHEN 100.0 * longest / total < 30 AND regions <= 5 THEN 4 WHEN 100.0 * longest / total < 50 THEN 3 ELSE 2 END AS quality,
+CASE WHEN p IS NULL THEN 'Unknown' WHEN p < 20 THEN 'Excellent - Well-structured' WHEN p < 50 THEN 'Good - Druggable (<50% disorder)' WHEN p < 70 THEN 'Challenging - High disorder (>50%)' ELSE 'Poor - Mostly disordered (>70%)' END AS impact,
+coalesce(p < 50, false) AS passes FROM told""")
+def q_stage_disorder(spark, sf):
+    lines, number = table(spark, sf, "lineitem"), F.col("l_linenumber") * 10
+    region = F.struct(number.cast("int").alias("start"), (number + F.col("l_quantity").cast("long") % 40).cast("int").alias("end"))
+    own = F.concat(F.lit("U"), "l_partkey").alias("uniprot")
+    consensus = lines.where("l_partkey % 3 = 0").groupBy(own).agg(F.collect_list(region).alias("regions")).select("uniprot", F.lit(300).alias("length"), "regions")
+    low = lines.where("l_partkey % 3 <= 1").groupBy(own).agg(F.count_if(F.col("l_quantity") < 25).alias("n_low"), F.count("*").alias("n_records"))
+    genes = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("gene_symbol"), F.concat(F.lit("U"), "p_partkey").alias("uniprot"))
+    shown = {
+        "pct": "Disorder_Percentage", "n": "Disordered_Residues", "total": "Total_Residues", "regions": "Num_Disordered_Regions", "longest": "Longest_Disordered_Region", "method": "Disorder_Method", "category": "Disorder_Category", "score": "Disorder_Score",
+        "quality": "Structural_Quality_Score", "impact": "Druggability_Impact", "passes": "Passes_50_Percent_Rule",
+    }
+    found = features.disorder(genes, consensus, low, spark.createDataFrame([], "uniprot string, sequence string"))
+    whole = {"n", "total", "regions", "longest"}
+    return found.select(F.col("gene_symbol").alias("gene"), *[(F.col(f"Step8_{c}").cast("bigint") if k in whole else F.col(f"Step8_{c}")).alias(k) for k, c in shown.items()])
+
+
+_LEVEL = lambda i, default: "CASE tdl " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v[i]) if isinstance(v[i], str) else v[i]}" for k, v in rules.LEVELS.items()) + f" ELSE {quoted(default) if isinstance(default, str) else default} END"
+_KINDS = [*rules.LEVELS, "Other"]
+
+
+@query(f"""WITH told AS (SELECT 'S' || s_suppkey AS gene, s_name AS name, coalesce({listed(_KINDS)}[1 + s_suppkey % {len(_KINDS) + 1}], 'Unknown') AS tdl, coalesce(CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey / 25.0 END, 0.5) AS novelty, nullif(repeat(s_name || ' ', s_nationkey), '') AS about,
+CASE s_nationkey % 3 WHEN 0 THEN 'Kinase' WHEN 1 THEN '' END AS fam FROM supplier), scored AS (SELECT *, {_LEVEL(1, 0)} AS a, CASE WHEN novelty < 0.1 THEN 5 WHEN novelty < 0.3 THEN 4 WHEN novelty < 0.5 THEN 3 WHEN novelty < 0.7 THEN 2 ELSE 1 END AS b FROM told)
+SELECT gene, name, tdl AS level, {_LEVEL(0, "Unknown")} AS means, coalesce(nullif(fam, ''), 'Unknown') AS family, {_LEVEL(3, "Unknown")} AS status, coalesce(about[:200], 'N/A') AS about, a AS level_score, b AS novelty_score, least(a + b, 10) AS score,
+{_LEVEL(4, "Unknown")} AS confidence, {_LEVEL(2, "Unknown")} AS potential, {_LEVEL(5, "Further assessment needed")} AS strategy,
+CASE WHEN a + b >= 8 THEN 'Excellent' WHEN a + b >= 6 THEN 'Very Good' WHEN a + b >= 4 THEN 'Good' ELSE 'Moderate' END AS quality FROM scored""")
+def q_stage_development(spark, sf):
+    nation = F.col("s_nationkey")
+    answers = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("sym"), F.col("s_name").alias("name"), F.get(F.array(*map(F.lit, _KINDS)), (F.col("s_suppkey") % (len(_KINDS) + 1)).cast("int")).alias("tdl"), F.when(nation % 3 == 0, "Kinase").when(nation % 3 == 1, "").alias("fam"),
+        F.repeat(F.concat("s_name", F.lit(" ")), nation.cast("int")).alias("description"), F.when(nation % 3 > 0, nation / 25.0).alias("novelty"),
+    )
+    shown = {
+        "name": "Target_Name", "level": "Target_Development_Level", "means": "TDL_Description", "family": "Protein_Family", "status": "Development_Status", "about": "Target_Description", "level_score": "TDL_Score", "novelty_score": "Novelty_Score",
+        "score": "Overall_Pharos_Score", "confidence": "Druggability_Confidence", "potential": "Drug_Development_Potential", "strategy": "Recommended_Strategy", "quality": "Target_Quality",
+    }
+    return features.development(answers).select(F.col("gene_symbol").alias("gene"), *[F.col(f"Step9_{c}").alias(k) for k, c in shown.items()])
+
+
+# -- drugs and pockets -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH lines AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS i FROM lineitem), dgidb AS (
+SELECT l_partkey AS k, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS approved, array_to_string(list('D' || l_suppkey ORDER BY i)[:20], '|') AS drugs, coalesce(array_to_string((list('D' || l_suppkey ORDER BY i) FILTER (l_returnflag = 'R'))[:20], '|'), '') AS approved_drugs,
+  array_to_string(list('D' || l_suppkey ORDER BY l_quantity DESC, i)[:5], '|') AS top FROM lines WHERE l_partkey % 4 = 0 GROUP BY 1), kinds AS (
+SELECT k, string_agg(t, '|' ORDER BY i) AS types FROM (SELECT l_partkey AS k, l_linestatus || l_returnflag AS t, min(i) AS i FROM lines WHERE l_partkey % 4 = 0 GROUP BY 1, 2) GROUP BY 1), compounds AS (
+SELECT l_partkey AS k, l_suppkey AS m, max(CAST(l_linenumber = 4 AS INT)) AS p4, max(CAST(l_linenumber BETWEEN 1 AND 3 AS INT)) AS p13, max(CAST(l_linenumber > 4 AS INT)) AS p0, count(*) AS n FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1, 2), chembl AS (
+SELECT k, sum(p4) AS approved, sum(p13) AS clinical, sum(p0) AS bioactive, count(*) AS compounds, sum(n) AS activities FROM compounds GROUP BY 1), known AS (
+SELECT l_partkey AS k, count(*) AS total, count(*) FILTER (l_linenumber = 4) AS p4, count(*) FILTER (l_linenumber = 3) AS p3, count(*) FILTER (l_linenumber = 2) AS p2, count(*) FILTER (l_linenumber = 1) AS p1, array_to_string(list('D' || l_suppkey ORDER BY i)[:10], '|') AS names
+  FROM lines WHERE l_partkey % 5 = 0 GROUP BY 1), told AS (
+SELECT p_partkey AS k, d.n, d.approved AS da, drugs, approved_drugs, top, types, c.approved AS ca, c.clinical AS cc, c.bioactive AS cb, compounds, activities, o.total, o.p4, o.p3, o.p2, o.p1, names,
+  coalesce(d.approved, 0) + coalesce(c.approved, 0) + coalesce(o.p4, 0) AS sold, coalesce(c.clinical, 0) + coalesce(o.p3, 0) + coalesce(o.p2, 0) + coalesce(o.p1, 0) AS trials
+FROM part LEFT JOIN dgidb d ON d.k = p_partkey LEFT JOIN kinds t ON t.k = p_partkey LEFT JOIN chembl c ON c.k = p_partkey LEFT JOIN known o ON o.k = p_partkey)
+SELECT 'P' || k AS gene, coalesce(n, 0) AS interactions, coalesce(da, 0) AS approved, drugs, approved_drugs, top, types, CAST(ca AS BIGINT) AS compound_approved, CAST(cc AS BIGINT) AS compound_clinical, CAST(cb AS BIGINT) AS compound_bioactive, compounds, CAST(activities AS BIGINT) AS activities,
+total AS known, p4, p3, p2, p1, names, sold > 0 AS has_approved, trials > 0 AS has_clinical, coalesce(cb, 0) > 0 AS has_bioactive, CASE WHEN sold > 0 THEN 'HIGH - Approved drugs exist' WHEN trials > 0 THEN 'MEDIUM - Clinical trials ongoing'
+WHEN coalesce(cb, 0) > 0 OR coalesce(n, 0) > 0 THEN 'LOW - Bioactive compounds known' ELSE 'NONE - No known drugs' END AS evidence FROM told""")
+def q_stage_drugs(spark, sf):
+    lines, key = table(spark, sf, "lineitem"), F.col("l_partkey")
+    gene, drug = F.concat(F.lit("P"), key).alias("gene"), F.concat(F.lit("D"), "l_suppkey")
+    ordered = lambda rows, item: rows.groupBy(gene).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", item.alias("x")))).alias("e")).select("gene", F.transform("e", lambda e: e["x"]).alias("items"))
+    kind = F.array(F.struct(F.concat("l_linestatus", "l_returnflag").alias("type")))
+    acted = F.struct(F.struct(drug.alias("name"), (F.col("l_returnflag") == "R").alias("approved")).alias("drug"), F.col("l_quantity").cast("double").alias("interactionScore"), kind.alias("interactionTypes"), F.array(F.struct(F.lit("S").alias("fullName"))).alias("sources"))
+    interactions = ordered(lines.where(key % 4 == 0), acted).select("gene", F.lit(None).cast("string").alias("longName"), F.array().cast("array<struct<name:string>>").alias("geneCategories"), F.col("items").alias("interactions"))
+    measured = F.struct(F.col("l_suppkey").cast("string").alias("molecule_chembl_id"), F.when(F.col("l_linenumber") <= 4, F.col("l_linenumber")).cast("int").alias("molecule_max_phase"))
+    compounds = lines.where(key % 3 == 0).groupBy(gene).agg(F.collect_list(measured).alias("activities")).select("gene", F.lit("C").alias("target_chembl_id"), F.lit("SINGLE").alias("target_type"), "activities")
+    row = F.struct(F.struct(F.lit(None).cast("string").alias("id"), drug.alias("name")).alias("drug"), F.lit("Small molecule").alias("drugType"), F.lit(None).cast("string").alias("mechanismOfAction"), F.col("l_linenumber").cast("int").alias("phase"))
+    known = ordered(lines.where(key % 5 == 0), row).select(F.regexp_replace("gene", "P", "E").alias("ensembl_id"), F.lit(None).cast("int").alias("uniqueDrugs"), F.col("items").alias("rows"))
+    genes = table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("gene_symbol"), F.concat(F.lit("E"), "p_partkey").alias("ensembl_gene_id"))
+    out = attach(genes, features.drug_interactions(interactions), "gene_symbol", {"dgidb_num_interactions": 0, "dgidb_num_approved": 0}, both=True)
+    out = lookup(attach(out, features.compound_activities(compounds), "gene_symbol", both=True), features.known_drugs(known), "ensembl_gene_id")
+    shown = {
+        "interactions": "dgidb_num_interactions", "approved": "dgidb_num_approved", "drugs": "dgidb_drugs", "approved_drugs": "dgidb_approved_drugs", "top": "dgidb_top_5_drugs", "types": "dgidb_interaction_types", "compound_approved": "chembl_approved_drugs",
+        "compound_clinical": "chembl_clinical_compounds", "compound_bioactive": "chembl_bioactive_compounds", "compounds": "chembl_total_compounds", "activities": "chembl_total_activities", "known": "opentargets_total_drugs", "p4": "opentargets_approved",
+        "p3": "opentargets_phase3", "p2": "opentargets_phase2", "p1": "opentargets_phase1", "names": "opentargets_drug_names", "has_approved": "has_approved_drugs", "has_clinical": "has_clinical_drugs", "has_bioactive": "has_bioactive_compounds",
+        "evidence": "druggability_evidence",
+    }
+    return features.drug_evidence(out).select(F.col("gene_symbol").alias("gene"), *[F.col(c).alias(k) for k, c in shown.items()])

@@ -3,6 +3,7 @@
 import contextlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,8 +73,6 @@ def test_rows_without_a_key_are_not_shuffled_by_it(spark):
 
 
 def plain_hits(text, ids, families, strict):
-    import re
-
     out = []
     for name, rule in families.items():
         low = None if text is None else text.lower()
@@ -140,7 +139,7 @@ def wide_scans(node, exchanged=False):
     """Of a plan's scans of stage tables with more than a few columns: whether an exchange stands above."""
     name = node.nodeName()
     exchanged = exchanged or "Exchange" in name
-    found = [(exchanged, node.output().size())] if name.startswith("Scan") and "stage_" in name and node.output().size() > 6 else []
+    found = [(exchanged, node.output().size())] if re.search(r"^Scan .*_stage\d\d(?!_)", name) and node.output().size() > 6 else []
     children = node.children()
     for i in range(children.size()):
         found += wide_scans(children.apply(i), exchanged)
