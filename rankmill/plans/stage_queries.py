@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankmill.functions import rules
@@ -250,3 +251,49 @@ def q_stage_drugs(spark, sf):
         "evidence": "druggability_evidence",
     }
     return features.drug_evidence(out).select(F.col("gene_symbol").alias("gene"), *[F.col(c).alias(k) for k, c in shown.items()])
+
+
+@query("""WITH held AS (SELECT 'P' || l_partkey AS gene, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_discount, l_tax) AS id, nullif(l_quantity * 20, 20.0) AS v, nullif(l_discount * 10, 0.0) AS d, nullif(l_tax * 10, 0.0) AS h,
+  nullif(l_linenumber / 8.0, 0.125) AS s FROM lineitem WHERE l_partkey % 3 = 0), parts AS (
+SELECT *, CASE WHEN v >= 500 THEN 1.0 WHEN v >= 200 THEN 0.7 WHEN v IS NOT NULL THEN 0.3 END AS a, CASE WHEN d >= 0.7 THEN 1.0 WHEN d >= 0.5 THEN 0.6 WHEN d IS NOT NULL THEN 0.3 END AS b, CASE WHEN h > 0.5 THEN 0.8 WHEN h > 0.3 THEN 0.5 END AS c, CASE WHEN s > 0.5 THEN 0.7 WHEN s IS NOT NULL THEN 0.4 END AS e FROM held),
+told AS (SELECT *, round(CAST(coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) + coalesce(e, 0) AS DOUBLE) / nullif(CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) + CAST(c IS NOT NULL AS INT) + CAST(e IS NOT NULL AS INT), 0), 8) AS m FROM parts),
+best AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY coalesce(d, 0.0) DESC, id) AS r, count(*) OVER (PARTITION BY gene) AS n, count(*) FILTER (m >= 0.5) OVER (PARTITION BY gene) AS good FROM told)
+SELECT gene, n AS found, good AS druggable, good > 0 AS has, id AS best, v AS volume, round(d, 2) AS druggability, CASE WHEN m >= 0.8 THEN 'Excellent' WHEN m >= 0.65 THEN 'Good' WHEN m >= 0.5 THEN 'Moderate' ELSE 'Poor' END AS category,
+CASE WHEN m >= 0.8 THEN 'High' WHEN m >= 0.65 THEN 'Medium' ELSE 'Low' END AS confidence,
+concat_ws('|', CASE WHEN v >= 500 THEN 'Optimal volume (' || printf('%.0f', v) || 'A3)' WHEN v >= 200 THEN 'Adequate volume (' || printf('%.0f', v) || 'A3)' END, CASE WHEN d >= 0.7 THEN 'High druggability (' || printf('%.2f', d) || ')' END) AS favorable,
+concat_ws('|', CASE WHEN v < 200 THEN 'Small volume (' || printf('%.0f', v) || 'A3)' END, CASE WHEN d < 0.5 THEN 'Low druggability (' || printf('%.2f', d) || ')' END) AS concerns FROM best WHERE r = 1""")
+def q_stage_pockets(spark, sf):
+    order = [F.col(f"l_{c}") for c in ("orderkey", "linenumber", "suppkey", "quantity", "discount", "tax")]
+    number = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order))
+    rare = lambda x, nothing: F.when(x != nothing, x)
+    pockets = table(spark, sf, "lineitem").where("l_partkey % 3 = 0").select(
+        F.concat(F.lit("P"), "l_partkey").alias("gene_symbol"), number.alias("pocket_id"), rare(F.col("l_quantity").cast("double") * 20, 20.0).alias("volume"), (F.col("l_discount").cast("double") * 10).alias("druggability"), (F.col("l_tax").cast("double") * 10).alias("hydrophobicity"),
+        rare(F.col("l_linenumber") / 8.0, 0.125).alias("score"),
+    )
+    shown = {
+        "found": "pockets_found", "druggable": "num_druggable_pockets", "has": "has_druggable_pocket", "best": "best_pocket_id", "volume": "best_pocket_volume", "category": "best_pocket_category", "confidence": "best_pocket_confidence",
+        "favorable": "favorable_features", "concerns": "concerns",
+    }
+    out = features.best_pockets(features.assess_pockets(pockets))
+    return out.select(F.col("gene_symbol").alias("gene"), *[F.col(c).alias(k) for k, c in shown.items()], F.round(F.nullif("best_pocket_druggability", F.lit(0.0)), 2).alias("druggability"))
+
+
+@query("""WITH search AS (SELECT p_partkey AS k, 'S' || p_partkey % 50 AS best, 1 + p_size % 12 AS n FROM part WHERE p_partkey % 2 = 0), meta AS (SELECT 'S' || s_suppkey AS id, CASE WHEN s_suppkey % 5 > 0 THEN 1 + s_nationkey / 10.0 END AS r, s_name AS title FROM supplier),
+model AS (SELECT p_partkey AS k, CASE WHEN p_size > 2 THEN 2.0 * p_size END AS p FROM part WHERE p_partkey % 3 = 0), told AS (
+SELECT p_partkey AS k, coalesce(s.n, 0) AS n, s.best, m.r, m.title, a.k IS NOT NULL AS modelled, a.p FROM part LEFT JOIN search s ON s.k = p_partkey LEFT JOIN meta m ON m.id = s.best LEFT JOIN model a ON a.k = p_partkey), named AS (
+SELECT *, CASE WHEN NOT modelled THEN NULL WHEN p >= 90 THEN 'Very High (>90)' WHEN p >= 70 THEN 'High (70-90)' WHEN p >= 50 THEN 'Low (50-70)' WHEN p IS NOT NULL THEN 'Very Low (<50)' ELSE 'Unknown' END AS q, CASE WHEN n > 0 THEN 'PDB' WHEN modelled THEN 'AlphaFold' END AS source FROM told)
+SELECT 'P' || k AS gene, n, n > 0 AS held, modelled, best, title, r AS resolution, q AS quality, source, CASE source WHEN 'PDB' THEN CASE WHEN r <= 2.0 THEN 'Excellent (<2.0Å)' WHEN r <= 2.5 THEN 'Good (2.0-2.5Å)' WHEN r <= 3.0 THEN 'Moderate (2.5-3.0Å)'
+WHEN r IS NOT NULL THEN 'Low (>' || printf('%.1f', r) || 'Å)' END WHEN 'AlphaFold' THEN q END AS score FROM named""")
+def q_stage_structures(spark, sf):
+    parts, key = table(spark, sf, "part"), F.col("p_partkey")
+    genes = parts.select(F.concat(F.lit("P"), key).alias("gene_symbol"), F.concat(F.lit("U"), key).alias("uniprot"))
+    first = F.concat(F.lit("S"), key % 50)
+    search = parts.where("p_partkey % 2 = 0").select(F.concat(F.lit("U"), key).alias("uniprot"), F.transform(F.sequence(F.lit(0), F.col("p_size").cast("int") % 12), lambda i: F.when(i == 0, first).otherwise(F.concat(F.lit("X"), i))).alias("ids"))
+    nothing = F.lit(None).cast("string")
+    meta = table(spark, sf, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("pdb_id"), F.when(F.col("s_suppkey") % 5 > 0, 1 + F.col("s_nationkey") / 10.0).alias("resolution"), nothing.alias("method"), F.col("s_name").alias("title"), nothing.alias("deposit_date"), nothing.alias("organism"))
+    model = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("U"), key).alias("uniprot"), nothing.alias("modelCreatedDate"), F.when(F.col("p_size") > 2, 2.0 * F.col("p_size")).alias("avgPlddt"))
+    shown = {
+        "n": "num_pdb_structures", "held": "has_pdb_structure", "modelled": "has_alphafold_structure", "best": "best_pdb_id", "title": "best_pdb_title", "resolution": "best_pdb_resolution", "quality": "alphafold_quality", "source": "structure_source",
+        "score": "structure_quality_score",
+    }
+    return features.structures(genes, search, meta, model).select(F.col("gene_symbol").alias("gene"), *[F.col(c).alias(k) for k, c in shown.items()])
