@@ -157,24 +157,48 @@ def first_list(*lists: Column | str) -> Column:
     return F.coalesce(*[F.when(F.size(x) > 0, x) for x in some], F.array().cast("array<string>"))
 
 
+FEW_RULES = 32
+
+
 def classify_families(df: DataFrame, text: Column, ids: Column, families: dict[str, dict] | DataFrame | None = None, strict: bool = False, key: str | None = None) -> DataFrame:
     """Families by keywords and domain ids. ``families``: name -> {"keywords": [...], "ids": [...]}, in order, or a table
     as of ``rule_table``; those of ``rules.FAMILIES`` unless given.
 
     Keywords are substrings of the text in lower case, or whole words if ``strict``. Every family that is hit counts, and
-    its hits are evidence. The rules are rows, met through their index; ``key`` names a column of which each row has
+    its hits are evidence. The rules are rows, met through their index (a dict of up to ``FEW_RULES`` is one expression, with
+    the same results); ``key`` names a column of which each row has
     its own value, without it rows of equal text and ids are looked at once. A null text has no keyword.
     """
     families = rules.FAMILIES if families is None else families
-    table = rule_table(df.sparkSession, families) if isinstance(families, dict) else families
     held = df.withColumns({"__low": F.lower(text), "__ids": ids})  # a column __ids of the table's own is taken up
+    if isinstance(families, dict) and sum(len(r.get("keywords", [])) + len(r.get("ids", [])) for r in families.values()) <= FEW_RULES:
+        return _with_families(held.withColumn("hits", _few_hits(families, strict)))
+    table = rule_table(df.sparkSession, families) if isinstance(families, dict) else families
     own = F.struct(F.col(key)) if key else F.sha2(F.to_json(F.struct("__low", "__ids")), 256)
     held = held.withColumn("__key", own)
     rows = held.select(F.col("__key").alias("key"), F.col("__low").alias("low"), F.col("__ids").alias("ids"))
     hits = matched(rows if key else rows.dropDuplicates(["key"]), table, strict).withColumnRenamed("key", "__key")
-    out = held.join(hits, "__key", "left")
-    evidence = F.coalesce(F.transform("hits", lambda h: h["evidence"]), F.array().cast("array<string>"))
-    names = F.array_distinct(F.coalesce(F.transform("hits", lambda h: h["family"]), F.array().cast("array<string>")))
+    return _with_families(held.join(hits, "__key", "left"))
+
+
+def _few_hits(families: dict[str, dict], strict: bool) -> Column:
+    """The hits of a row by a few rules, as one expression."""
+    low = F.col("__low")
+    found = lambda k: low.rlike(rf"\b\Q{k}\E\b") if strict else low.contains(k)
+    said = lambda name, kind, value: F.struct(F.lit(name).alias("family"), F.lit(f"{name}: {kind}: {value}").alias("evidence"))
+    each = []
+    for name, rule in families.items():
+        each += [F.when(found(k.lower()), said(name, "Keyword", k)) for k in rule.get("keywords", [])]
+        each += [F.when(F.array_contains("__ids", i), said(name, "Pfam" if i.startswith("PF") else "InterPro", i)) for i in rule.get("ids", [])]
+    hits = F.array_compact(F.array(*each).cast("array<struct<family:string,evidence:string>>"))
+    return F.when(F.size(hits) > 0, hits)
+
+
+def _with_families(out: DataFrame) -> DataFrame:
+    """The columns of families from a row's hits (family, evidence), in order; null without any."""
+    none = F.array().cast("array<string>")
+    evidence = F.coalesce(F.transform("hits", lambda h: h["evidence"]), none)
+    names = F.array_distinct(F.coalesce(F.transform("hits", lambda h: h["family"]), none))
     return out.withColumns({
         "is_druggable_family": F.col("hits").isNotNull(), "druggable_family_type": F.array_join(names, "|"),
         "druggable_family_confidence": bands(F.size(evidence), (3, "HIGH"), (2, "MEDIUM"), (1, "LOW"), default="NONE"), "druggable_family_evidence": capped_join(evidence, 10),

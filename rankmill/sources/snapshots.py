@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from rankmill.functions.columns import sentinel_null
 from rankmill.functions.rules import EMPTY_MARKS
 
 _END = ", _status string, _error string, _corrupt string"
+OPTIONAL = ("gene_reference",)  # answers may be by gene themselves
 NOTHING_THERE = "404"  # an answer: there is nothing; it needn't be asked again
 SCHEMAS = {
     "gene_annotation": "query string, seq long, symbol string, name string, summary string, type_of_gene string, alias string, other_names string, ensembl string, uniprot string, entrezgene string, refseq string, HGNC string, MIM string, pharmgkb string, pdb string, ec string, prosite string, interpro string, pfam string, genomic_pos string, taxid string, homologene string, wikipedia string, pathway string",
@@ -48,9 +50,15 @@ def ingest(spark: SparkSession, root: str, name: str, path: str) -> DataFrame:
     """A snapshot as a table under ``path``, parsed in one pass: its good answers, each column read only when needed.
 
     ``_outcome`` parts the table's folders: "good", "nothing" (the service has nothing) or "failed": a status that isn't of the 200s, an
-    error, or a line that can't be read. An empty snapshot, or one without good answers, gives an empty table.
+    error, or a line that can't be read. An empty snapshot, or one without good answers, gives an empty table; so does an ``OPTIONAL`` one
+    that isn't there.
     """
-    rows = read_snapshot(spark, root, name)
+    try:
+        rows = read_snapshot(spark, root, name)
+    except AnalysisException as e:
+        if name not in OPTIONAL or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SCHEMAS[name] + _END)
     known = F.trim(F.coalesce("_status", F.lit("")))
     bad = F.col("_corrupt").isNotNull() | (F.trim(F.coalesce("_error", F.lit(""))) != "") | ~(known.isin("", "OK") | known.rlike(r"^2\d\d$"))
     outcome = F.when(F.col("_corrupt").isNull() & (known == NOTHING_THERE), "nothing").when(bad, "failed").otherwise("good")

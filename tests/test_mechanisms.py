@@ -109,6 +109,10 @@ def test_a_table_of_rules_classifies_like_the_families(spark):
     by = [features.classify_families(df, df["t"], features.first_list("i"), f) for f in (None, rules.FAMILIES, rule_table(spark, rules.FAMILIES))]
     found = [some(x.select("t", "druggable_family_type", "druggable_family_evidence").collect()) for x in by]
     assert found[0] == found[1] == found[2] and len(found[0]) == 5
+    few = {"A": {"keywords": ["Kinase", "7tm"], "ids": ["PF00001"]}, "B": {"keywords": [], "ids": []}, "C": {"keywords": ["the"], "ids": ["IPR000719"]}}
+    for strict in (False, True):
+        by = [features.classify_families(df, df["t"], features.first_list("i"), f, strict) for f in (few, rule_table(spark, few))]
+        assert some(by[0].collect()) == some(by[1].collect())
     for t, _, evidence in found[0]:
         assert not t or set(evidence.split("|")) >= set(plain_hits(t, None, rules.FAMILIES, False)[:3]) - {""}
     none = features.classify_families(df, df["t"], features.first_list("i"), spark.createDataFrame([], RULES)).collect()
