@@ -147,3 +147,22 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = Template()
     done = format_conversations(rows.unionByName(extra), template)
     return read_back(done, template)
+
+
+#: The same in SQL: what is added to a text is counted, and the order of turns is a pattern over roles.
+SQL = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS x FROM conversations
+    UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]', CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS t(i)
+), counted AS (
+    SELECT *, len(regexp_extract_all(role || chr(10) || text, CONTROLS)) AS controls, length(role || text) - length(replace(role || text, chr(92), '')) AS marks FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(FRAME + length(role) + length(text) + 2 * controls + marks) AS BIGINT) AS formatted_chars,
+    count(*) = count(turn) AND regexp_full_match(string_agg(role, ' ' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST), '(system )?user assistant( user assistant)*') AS valid
+FROM counted GROUP BY conv_id
+"""
+_controls = {Template.open, Template.middle, Template.close, *Template.others}
+SQL = SQL.replace("CONTROLS", "'" + "|".join(map(re.escape, sorted(_controls, key=lambda x: (-len(x), x)))).replace("'", "''") + "'").replace("FRAME", str(len(Template.open + Template.middle + Template.close)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankmill.llm import centroids, repair
+from rankmill.llm import centroids, chat, repair
 from rankmill.llm.bpe import op3_byte_bpe
 from rankmill.llm.centroids import op13_centroid_clustering
 from rankmill.llm.chat import op7_chat_formatting
@@ -45,4 +45,4 @@ WITH RECURSIVE said AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, l.component_id, coalesce(d.n, 0) AS n_links
 FROM sets s JOIN least_seen l ON l.node = s.doc_id LEFT JOIN degrees d ON d.a = s.doc_id
 """
-SQL: dict[str, str] = {"op10_ngram_jaccard": _JACCARD, "op13_centroid_clustering": centroids.sql(), "op12_conversation_repair": repair.SQL}
+SQL: dict[str, str] = {"op10_ngram_jaccard": _JACCARD, "op13_centroid_clustering": centroids.sql(), "op12_conversation_repair": repair.SQL, "op7_chat_formatting": chat.SQL}
