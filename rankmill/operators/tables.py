@@ -21,7 +21,7 @@ def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults
     are rows of their own; an empty side gives nulls or nothing; columns keep the order left, right.
 
     If ``both`` sides have one row per key at most, one row of each can be without it: then ``left`` is read once, its one row stays in the
-    join, and a chain of such attaches is no larger than its links.
+    join, and a chain of such attaches is no larger than its links. If ``right`` has more of them after all, the least is the answer.
     """
     keys = [key] if isinstance(key, str) else list(key)
     whole, broken = _whole(keys), ~_whole(keys)
@@ -29,8 +29,10 @@ def attach(left: DataFrame, right: DataFrame, key: str | Sequence[str], defaults
     if both and len(keys) == 1 and others:
         (k,) = keys
         held = right.select(F.col(k).alias("__key"), F.struct(*others).alias("__own"))
-        one = F.broadcast(held.where("__key IS NULL").select(F.col("__own").alias("__one")))
-        out = left.join(held.where("__key IS NOT NULL"), F.col(k) == F.col("__key"), "left").join(one, F.lit(True), "left")
+        # one row, whatever is there: of several without a key the least counts
+        least = F.first if any("map<" in t or "variant" in t for _, t in right.dtypes) else F.min
+        one = F.broadcast(held.where("__key IS NULL").agg(least("__own").alias("__one")))
+        out = left.join(held.where("__key IS NOT NULL"), F.col(k) == F.col("__key"), "left").join(one, F.col(k).isNull(), "left")
         answer = F.when(F.col(k).isNull(), F.col("__one")).otherwise(F.col("__own"))
         out = out.withColumn("__answer", answer).select("*", "__answer.*").drop("__key", "__own", "__one", "__answer")
         return out.fillna(defaults) if defaults else out

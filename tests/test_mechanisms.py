@@ -44,6 +44,8 @@ def test_null_keys_meet_null_keys(spark):
     for how in ({}, {"unique": True}, {"both": True}):
         got = attach(a, frame(one, ("k", "o", "w")), "k", {"w": -1}, **how).select("k", "v", "w")
         assert some(got.collect()) == some([(x[0], x[2], next((r[2] for r in one if r[0] == x[0]), -1)) for x in left])
+    many = attach(a, frame(right[1:3], ("k", "o", "w")), "k", both=True)
+    assert some(many.select("k", "v", "w").collect()) == some([(x[0], x[2], 7 if x[0] is None else None) for x in left])
     for rows in ([], right):
         empty = attach(frame([], ("k", "j", "v")), frame(rows, ("k", "o", "w")), "k")
         assert empty.collect() == [] and empty.columns == ["k", "j", "v", "o", "w"]
