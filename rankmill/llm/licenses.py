@@ -351,9 +351,24 @@ def needed(pattern: str) -> tuple[frozenset, ...]:
     return tuple(c for c in found[:2] if min(map(len, c)) > 2)
 
 
+#: Identifiers whose licenses go by another label in what is written out above.
+_OTHER_NAMES = {
+    "busl-1.1": "bsl-1.1", "bsl-1": "boost-1", "cc0-1": "cc0", "php-3.01": "php-3", "psf-2": "python-2", "cdla-permissive-2": "cdla-permissive", "mulanpsl-2": "mulan-2", "libpng-2": "libpng",
+    "cc-by-sa-4": "cc-by-sa", "cc-by-nc-4": "cc-by-nc", "cc-by-nc-sa-4": "cc-by-nc-sa", "cc-by-nc-nd-4": "cc-by-nc-nd",
+}
+
+
+def label_of(identifier: str) -> str:
+    """An identifier's label, the same as that of its name: without ``only``, with the version as it is written there."""
+    label = re.sub(r" only$", "", identifier)
+    label = re.sub(r" (\d+) 0(?= |$)", r" \1", label)
+    label = re.sub(r" (\d+) (\d+)(?= |$)", r" \1.\2", label).replace(" ", "-")
+    return _OTHER_NAMES.get(label, label)
+
+
 def make_rules() -> list[Rule]:
     """All rules in order of priority: tags, with the longer identifiers first, then what is written out above."""
-    tags = [(i.replace(" ", "-"), 1.0, f"spdx license identifier {i}") for i in sorted(IDENTIFIERS, key=lambda i: (-len(i), i))]
+    tags = [(label_of(i), 1.0, f"spdx license identifier {i}") for i in sorted(IDENTIFIERS, key=lambda i: (-len(i), i))]
     return [Rule(f"{label}:{i}", label, needed(p), re.compile(f" {p}(?= )"), score) for i, (label, score, p) in enumerate((*tags, *WRITTEN))]
 
 

@@ -115,6 +115,17 @@ def test_license_scan(spark):
     assert rows[4]["score"] == 0 and 0 < rows[7]["score"] <= 1 and len(licenses.make_rules()) >= 200
 
 
+def test_tags_and_names_have_the_same_labels():
+    scanner = licenses.Scanner()
+    of = lambda text: {d[0] for d in scanner.scan(text)["detections"]}
+    pairs = {"GPL-2.0-only": "GNU General Public License version 2", "Apache-2.0": "Apache License 2.0", "MPL-2.0": "Mozilla Public License 2.0", "LGPL-2.1-only": "GNU Lesser General Public License 2.1", "GPL-3.0-or-later": "GNU General Public License v3 or later", "MIT-0": "released under the MIT-0 license"}
+    for tag, name in pairs.items():
+        assert of(f"SPDX-License-Identifier: {tag}") and of(f"SPDX-License-Identifier: {tag}") <= of(name), (tag, of(f"SPDX-License-Identifier: {tag}"), of(name))
+    written = {label for label, _, _ in licenses.WRITTEN}
+    assert licenses.label_of("bsd 3 clause") == "bsd-3-clause" and licenses.label_of("mit 0") == "mit-0" and licenses.label_of("cc by nc 4 0") == "cc-by-nc"
+    assert {licenses.label_of(i) for i in licenses.IDENTIFIERS if i.startswith(("mit", "apache", "mpl", "lgpl 2 1", "cc0", "cddl", "epl", "isc", "zlib"))} <= written | {"lgpl-2.1-or-later"}
+
+
 def samples(tree):
     """For a parsed pattern, strings that it matches, with each of its branches in one of them."""
     from re import _constants as C
