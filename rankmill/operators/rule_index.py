@@ -3,6 +3,8 @@
 A keyword rule can only hold where all its trigrams are. Each one is filed under a single trigram, the one that the fewest texts have; texts
 meet the rules by equality of trigrams, and what meets is verified. A rule with a trigram that no text has is left out. Rules of ids
 meet the rows' ids. So a row is compared with the rules that it may satisfy, not with each, and thousands of rules cost no longer plan.
+
+The trigrams of texts are never shuffled: up to ``HANDED`` rules are handed to each task, and a text meets them where it was read. Only hits move, by key.
 """
 
 from __future__ import annotations
@@ -11,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAM = 3
+HANDED = 100_000  # rules; beyond, rows and rules meet in a shuffle, in parts
+PARTS = 32
 KEYWORD = "Keyword"
 RULES = "family_no int, rule_no int, family string, kind string, value string"
+HIT = ["family_no", "rule_no", "family", "evidence"]
 
 
 def rule_table(spark: SparkSession, families: dict[str, dict]) -> DataFrame:
@@ -30,34 +35,46 @@ def _grams(text: str, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), 1) if size else F.array(F.lit(""))
 
 
-def keyword_hits(texts: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
-    """(key, low) and rules -> key, family_no, rule_no of the keywords, in lower case, that a text has; as whole words if ``strict``."""
-    words = rules.where(F.col("kind") == KEYWORD).select("family_no", "rule_no", F.lower("value").alias("word"))
-    sizes = sorted(r[0] for r in words.select(F.least(F.lit(GRAM), F.char_length("word"))).distinct().collect())  # four at most
-    if not sizes:
-        return texts.select("key", F.lit(0).alias("family_no"), F.lit(0).alias("rule_no")).limit(0)
+def _met(rows: DataFrame, rules: DataFrame, on: str, handed: bool) -> DataFrame:
+    """Rows, with a column key, and the rules filed under the same value. A value that most rows have is no task's alone: the rules go to the rows, or both
+    are dealt to parts by key, with each rule in every part."""
+    if handed:
+        return rows.join(F.broadcast(rules), on)
+    dealt = rows.withColumn("__part", F.pmod(F.hash("key"), F.lit(PARTS)))
+    return dealt.join(rules.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [on, "__part"]).drop("__part")
+
+
+def keyword_hits(texts: DataFrame, rules: DataFrame, sizes: list[int], strict: bool, handed: bool) -> DataFrame:
+    """(key, low) and rules -> key and ``HIT`` of the keywords, in lower case, that a text has; as whole words if ``strict``. ``sizes``: of the grams that they are filed under."""
+    words = rules.where(F.col("kind") == KEYWORD).select(*HIT, F.lower("value").alias("word"))
     size_of = F.least(F.lit(GRAM), F.char_length("word"))
     own = F.coalesce(*[F.when(size_of == n, _grams("word", n)) for n in sizes])
     filed = words.select("family_no", "rule_no", F.explode(F.array_distinct(own)).alias("gram"))
     every = F.array_distinct(F.concat(*[_grams("low", n) for n in sizes]))
-    seen = texts.where("low IS NOT NULL").select("key", F.explode(every).alias("gram")).join(filed.select("gram").distinct(), "gram", "left_semi")
-    often = seen.groupBy("gram").agg(F.count("*").alias("n"))
+    seen = texts.where("low IS NOT NULL").select("key", "low", F.explode(every).alias("gram"))
+    # counted before any shuffle
+    told = seen.join(F.broadcast(filed.select("gram").distinct()), "gram", "left_semi") if handed else seen
+    often = told.groupBy("gram").agg(F.count("*").alias("n"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
     rarest = filed.join(often, "gram", "left").groupBy("family_no", "rule_no").agg(F.min(rank).alias("r")).where("r.n > 0")
-    maybe = seen.join(rarest.select("family_no", "rule_no", F.col("r.gram").alias("gram")), "gram").drop("gram")
+    by_gram = rarest.join(words, ["family_no", "rule_no"]).select(F.col("r.gram").alias("gram"), *HIT, "word")
     there = F.expr(r"low RLIKE concat('\\b\\Q', word, '\\E\\b')") if strict else F.col("low").contains(F.col("word"))
-    return maybe.join(words, ["family_no", "rule_no"]).join(texts, "key").where(there).select("key", "family_no", "rule_no")
+    return _met(seen, by_gram, "gram", handed).where(there).select("key", *HIT)
 
 
-def id_hits(held: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, ids) and rules -> key, family_no, rule_no of the ids that a row has."""
+def id_hits(held: DataFrame, rules: DataFrame, handed: bool) -> DataFrame:
+    """(key, ids) and rules -> key and ``HIT`` of the ids that a row has."""
     each = held.select("key", F.explode(F.array_distinct("ids")).alias("value"))
-    return each.join(rules.where(F.col("kind") != KEYWORD).select("family_no", "rule_no", "value"), "value").select("key", "family_no", "rule_no")
+    return _met(each, rules.where(F.col("kind") != KEYWORD).select("value", *HIT), "value", handed).select("key", *HIT)
 
 
 def matched(rows: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
     """(key, low, ids) and rules -> key and its hits, (family_no, rule_no, family, evidence) in order; only rows with some. A key is one row."""
-    hits = keyword_hits(rows.select("key", "low"), rules, strict).unionByName(id_hits(rows.select("key", "ids"), rules))
-    told = rules.select("family_no", "rule_no", "family", F.concat_ws(": ", "family", "kind", "value").alias("evidence"))
-    # no longer than the table of rules
-    return hits.join(told, ["family_no", "rule_no"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("family_no", "rule_no", "family", "evidence"))).alias("hits"))
+    size = F.when(F.col("kind") == KEYWORD, F.least(F.lit(GRAM), F.char_length(F.lower("value"))))
+    counts = dict(rules.groupBy(size.alias("size")).agg(F.count("*")).collect())  # five rows at most
+    handed = sum(counts.values()) <= HANDED
+    rules = rules.withColumn("evidence", F.concat_ws(": ", "family", "kind", "value"))
+    hits = id_hits(rows.select("key", "ids"), rules, handed)
+    if sizes := sorted(n for n in counts if n is not None):
+        hits = hits.unionByName(keyword_hits(rows.select("key", "low"), rules, sizes, strict, handed))
+    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*HIT))).alias("hits"))
