@@ -41,7 +41,8 @@ def _met(rows: DataFrame, rules: DataFrame, on: str, handed: bool) -> DataFrame:
     if handed:
         return rows.join(F.broadcast(rules), on)
     dealt = rows.withColumn("__part", F.pmod(F.hash("key"), F.lit(PARTS)))
-    return dealt.join(rules.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [on, "__part"]).drop("__part")
+    # merged: from a small file's size Spark would take the rows, one for each trigram of a text, for a table to hand out
+    return dealt.hint("merge").join(rules.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), [on, "__part"]).drop("__part")
 
 
 def keyword_hits(texts: DataFrame, rules: DataFrame, sizes: list[int], strict: bool, handed: bool) -> DataFrame:
@@ -59,7 +60,9 @@ def keyword_hits(texts: DataFrame, rules: DataFrame, sizes: list[int], strict: b
     rarest = filed.join(often, "gram", "left").groupBy("family_no", "rule_no").agg(F.min(rank).alias("r")).where("r.n > 0")
     by_gram = rarest.join(words, ["family_no", "rule_no"]).select(F.col("r.gram").alias("gram"), *HIT, "word")
     there = F.expr(r"low RLIKE concat('\\b\\Q', word, '\\E\\b')") if strict else F.col("low").contains(F.col("word"))
-    return _met(seen, by_gram, "gram", handed).where(there).select("key", *HIT)
+    # what is shuffled doesn't carry a text for each of its trigrams
+    maybe = _met(seen, by_gram, "gram", True) if handed else _met(seen.drop("low"), by_gram, "gram", False).hint("merge").join(texts, "key")
+    return maybe.where(there).select("key", *HIT)
 
 
 def id_hits(held: DataFrame, rules: DataFrame, handed: bool) -> DataFrame:

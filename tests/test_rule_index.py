@@ -32,6 +32,16 @@ def test_texts_that_share_their_trigrams_are_not_shuffled_by_them(spark, length)
     assert max(rows for kind, rows in moved if kind == "BroadcastExchange") < 40
 
 
+def test_rows_are_never_handed_out_where_rules_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(rule_index, "HANDED", 0)
+    rows = spark.range(400).select(F.struct("id").alias("key"), F.concat(F.lit("the kinase "), "id").alias("low"), F.array(F.lit("PF00001")).alias("ids"))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = matched(rows, rule_table(spark, {"A": {"keywords": ["kinase", "the"], "ids": ["PF00001"]}}))._jdf.queryExecution()
+        assert plan.toRdd().count() == 400
+    # the trigrams' counts may be
+    assert not [n for kind, n in shuffled(plan.executedPlan()) if kind == "BroadcastExchange" and (n == 400 or n > 1500)]
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_rules_that_are_dealt_hold_like_those_handed_out(spark, monkeypatch, strict):
     roll = random.Random(5)
